@@ -1,7 +1,7 @@
 """Access-log analytics on Spark: syslog capture to typed tables, and reports over them."""
 
 from .operators.filters import RANGES, Filter
-from .plans.dashboard import dashboard, dashboard_long
+from .plans.dashboard import dashboard, dashboard_in_one_pass, dashboard_long, in_one_frame
 from .plans.ingest import ingest, parse_messages
 from .plans.registry import AccessLogType, LogType, Registry
 from .sources.log_table import read_log, read_rejects
@@ -17,7 +17,9 @@ __all__ = [
     "Registry",
     "SourceTable",
     "dashboard",
+    "dashboard_in_one_pass",
     "dashboard_long",
+    "in_one_frame",
     "ingest",
     "parse_messages",
     "read_log",

@@ -28,7 +28,7 @@ from .operators.source_changes import (
     list_sources,
     upsert_sources,
 )
-from .plans.dashboard import dashboard_long
+from .plans.dashboard import dashboard_in_one_pass, dashboard_long, in_one_frame
 from .plans.ingest import classify, ingest, parse_messages, reject_report, rejected
 from .plans.registry import AccessLogType, Registry
 from .session import shared_folder
@@ -399,10 +399,10 @@ for _class in (2, 4, 5, 6):
     )
 register(
     "filter_stacked",
-    _filtered(Filter(range="7d").with_path("/view/5").with_status(3).with_ip("192.168.2.42")),
+    _filtered(Filter(range="7d").with_path("/error/11").with_status(5).with_ip("192.168.2.26")),
     _filter_sql(
         "7d",
-        "path = '/view/5' AND CAST(status / 100 AS INTEGER) = 3 AND remote_host = '192.168.2.42'",
+        "path = '/error/11' AND CAST(status / 100 AS INTEGER) = 5 AND remote_host = '192.168.2.26'",
     ),
 )
 
@@ -663,6 +663,13 @@ register(
     lambda spark, sf_dir: dashboard_long(ingested_rows(spark, sf_dir), Filter(range="7d"), AS_OF),
     dashboard_sql("7d", window_sql("7d", rows=ingested_sql())),
 )
+register(
+    "dashboard_one_pass",
+    lambda spark, sf_dir: in_one_frame(
+        dashboard_in_one_pass(ingested_rows(spark, sf_dir), Filter(range="7d"), AS_OF)
+    ),
+    dashboard_sql("7d", window_sql("7d", rows=ingested_sql())),
+)
 register(
     "dashboard_drilled_down",
     lambda spark, sf_dir: dashboard_long(
@@ -689,8 +696,8 @@ register(
 )
 register(
     "stored_dashboard",
-    lambda spark, sf_dir: dashboard_long(
-        streamed_store(spark, sf_dir).read(spark), Filter(range="24h"), AS_OF
+    lambda spark, sf_dir: in_one_frame(
+        dashboard_in_one_pass(streamed_store(spark, sf_dir).read(spark), Filter(range="24h"), AS_OF)
     ),
     dashboard_sql("24h", window_sql("24h", rows=ingested_sql())),
 )

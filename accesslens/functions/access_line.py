@@ -1,11 +1,15 @@
 """Common and Combined access-log lines to typed fields.
 
 A line costs ONE regular-expression pass. The expression always matches: the grammar is an
-optional group, and the rest of the line is swallowed either way. The replacement lays all
-captures out behind each other, parted by a quote and a space. No capture can contain that
-pair (unquoted fields hold no white space, quoted ones no quote), so splitting on it is exact
-for any input, and a line that is no access line shows by its empty first part: a matched
-client address has at least one character.
+optional group, and the rest of the line is swallowed either way. The replacement lays the
+captures out again so that splitting finds them exactly, for any input:
+
+- first all captures that cannot contain a quote, each closed by one (a single-character
+  separator also spares the splitter a regular expression of its own);
+- then the three that may contain quotes but no white space, parted by spaces.
+
+A line that is no access line leaves all captures empty, so its last part starts with a space;
+that of an access line starts with the client address, which has at least one character.
 """
 
 from __future__ import annotations
@@ -28,10 +32,9 @@ _GRAMMAR = (
 )
 ACCESS_LINE = "(?U)^(?:" + _GRAMMAR + ")?(?s:.*)$"
 
-_PARTS = (
-    "remote_host",
-    "ident",
-    "auth_user",
+# The grammar's captures in order. The first three are the unquoted ones.
+_UNQUOTED = ("remote_host", "ident", "auth_user")
+_QUOTELESS = (
     "day",
     "month",
     "year",
@@ -49,25 +52,34 @@ _PARTS = (
     "referer",
     "user_agent",
 )
-_SEPARATOR = '" '
-_LAYOUT = "".join(f"${n}{_SEPARATOR}" for n in range(1, len(_PARTS) + 1))
+_LAYOUT = (
+    "".join(f'${n}"' for n in range(len(_UNQUOTED) + 1, len(_UNQUOTED) + len(_QUOTELESS) + 1))
+    + "$1 $2 $3"
+)
 
 
 def access_tokens(raw: Column) -> Column:
-    """ARRAY of the line's parts, all as text; the first is '' when the line does not match.
+    """ARRAY of the line's parts, all as text.
 
     Select it as a column of its own: read many times from within one expression, Catalyst
     would run the regular expression once per field.
     """
-    return F.split(F.regexp_replace(raw, ACCESS_LINE, _LAYOUT), _SEPARATOR, -1)
+    return F.split(F.regexp_replace(raw, ACCESS_LINE, _LAYOUT), '"', len(_QUOTELESS) + 1)
+
+
+def _unquoted(tokens: Column) -> Column:
+    return F.get(tokens, F.lit(len(_QUOTELESS)))
 
 
 def part(tokens: Column, name: str) -> Column:
-    return F.get(tokens, F.lit(_PARTS.index(name)))
+    if name in _QUOTELESS:
+        return F.get(tokens, F.lit(_QUOTELESS.index(name)))
+    upto = F.substring_index(_unquoted(tokens), " ", _UNQUOTED.index(name) + 1)
+    return F.substring_index(upto, " ", -1)
 
 
 def is_access_line(tokens: Column) -> Column:
-    return part(tokens, "remote_host") != ""
+    return ~F.startswith(_unquoted(tokens), F.lit(" "))
 
 
 def access_time(tokens: Column) -> Column:

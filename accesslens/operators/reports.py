@@ -67,28 +67,32 @@ def error_rate(errors: Column, requests: Column) -> Column:
 
 def share_of(count: Column, peak: Column) -> Column:
     """Whole percent of the largest count, within 0..100; 0 when there is none."""
-    percent = F.expr("CAST(100 AS BIGINT)") * count
-    whole = F.floor(percent / peak).cast("bigint")
-    return F.when(peak > 0, F.greatest(F.least(whole, F.lit(100)), F.lit(0))).otherwise(0).cast("bigint")
+    percent = F.call_function("div", count * 100, peak)
+    return F.when(peak > 0, F.greatest(F.least(percent, F.lit(100)), F.lit(0))).otherwise(F.lit(0)).cast("bigint")
 
 
 def timeline(rows: DataFrame, time_range: TimeRange) -> DataFrame:
-    """Requests per time bucket, empty buckets left out, oldest first.
-
-    Grouped by the bucket itself: the label can repeat, as 24 hours touch 25 clock hours. The
-    peak is a scalar subquery that reuses the grouping's shuffle, so the buckets, whose number
-    has no bound when senders' clocks are wrong, never gather in one task.
-    """
-    grouped = rows.groupBy(time_range.bucket(F.col("ts")).alias("bucket")).agg(
+    """Requests per time bucket, empty buckets left out, oldest first."""
+    counts = rows.groupBy(time_range.bucket(F.col("ts")).alias("bucket")).agg(
         F.count(F.lit(1)).alias("requests")
     )
-    peak = grouped.agg(F.max("requests")).scalar()
-    return grouped.select(
+    return show_timeline(counts, time_range).orderBy("bucket")
+
+
+def show_timeline(counts: DataFrame, time_range: TimeRange) -> DataFrame:
+    """Label (bucket, requests) and add each bucket's share of the peak.
+
+    Rows stay apart by bucket, never by label: 24 hours touch 25 clock hours, so a label can
+    repeat. The peak is a scalar subquery that reuses the shuffle of `counts`; the buckets,
+    whose number has no bound when senders' clocks are wrong, never gather in one task.
+    """
+    peak = counts.agg(F.max("requests")).scalar()
+    return counts.select(
         "bucket",
         time_range.bucket_label(F.col("bucket")).alias("label"),
         "requests",
         share_of(F.col("requests"), peak).alias("pct"),
-    ).orderBy("bucket")
+    )
 
 
 def _with_share(few_rows: DataFrame) -> DataFrame:
@@ -98,23 +102,30 @@ def _with_share(few_rows: DataFrame) -> DataFrame:
 
 
 def status_breakdown(rows: DataFrame, mode: str = "rounded") -> DataFrame:
-    """Requests per status class, rows without a status left out. At most 11 classes exist."""
-    classes = (
+    """Requests per status class, rows without a status left out."""
+    counts = (
         rows.where(F.col("status").isNotNull())
         .groupBy(status_class(F.col("status"), mode).alias("class"))
         .agg(F.count(F.lit(1)).alias("requests"))
     )
-    shared = _with_share(classes)
-    return shared.select(
-        "class", class_label(F.col("class")).alias("label"), "requests", "pct"
-    ).orderBy("class")
+    return show_statuses(counts)
+
+
+def show_statuses(counts: DataFrame) -> DataFrame:
+    """Label (class, requests) and add shares, by class. A three-digit status has at most 11 classes."""
+    label = class_label(F.col("class")).alias("label")
+    return _with_share(counts).select("class", label, "requests", "pct").orderBy("class")
 
 
 def top_n(rows: DataFrame, column: str, n: int = TOP_N) -> DataFrame:
     """The n most frequent values, equal counts in the values' byte order."""
-    counted = rows.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("requests"))
-    best = counted.orderBy(F.desc("requests"), F.asc_nulls_last("label")).limit(n)
-    return _with_share(best)
+    counts = rows.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("requests"))
+    return show_top(counts, n)
+
+
+def show_top(counts: DataFrame, n: int = TOP_N) -> DataFrame:
+    """The first n of (label, requests), with shares."""
+    return _with_share(counts.orderBy(F.desc("requests"), F.asc_nulls_last("label")).limit(n))
 
 
 def top_urls(rows: DataFrame, n: int = TOP_N) -> DataFrame:

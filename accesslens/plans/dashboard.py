@@ -9,16 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import utc_now
+from ..operators import panel_counts as counted
 from ..operators.filters import Filter
 from ..operators.reports import (
     key_figure_texts,
     key_figures,
     report_state,
+    show_statuses,
+    show_timeline,
+    show_top,
     status_breakdown,
     timeline,
     top_clients,
     top_urls,
 )
+from ..session import shared_folder
 
 # The panels of a view.
 PANELS = ("state", "key_figures", "timeline", "statuses", "top_urls", "top_clients")
@@ -27,7 +32,10 @@ PANELS = ("state", "key_figures", "timeline", "statuses", "top_urls", "top_clien
 def dashboard(
     rows: DataFrame, filter: Filter = Filter(), as_of: datetime | None = None
 ) -> dict[str, DataFrame]:
-    """One lazy DataFrame per panel. All share one cutoff and, through `rows`, one file listing."""
+    """One lazy DataFrame per panel, each with a scan of its own once it is asked for.
+
+    All share one cutoff and, through `rows`, one file listing.
+    """
     filter = filter.normalized()
     as_of = as_of or utc_now()
     covered = filter.apply(rows, as_of)
@@ -41,15 +49,41 @@ def dashboard(
     }
 
 
-def dashboard_long(
-    rows: DataFrame, filter: Filter = Filter(), as_of: datetime | None = None
-) -> DataFrame:
+def dashboard_in_one_pass(
+    rows: DataFrame,
+    filter: Filter = Filter(),
+    as_of: datetime | None = None,
+    folder: str | None = None,
+) -> dict[str, DataFrame]:
+    """The same panels after one scan of the window, which runs at once.
+
+    Its counts are written, distributed and by aspect, to `folder` (by default a new one in
+    the cluster's shared checkpoint folder), and the panels read them from there: a lost
+    executor costs no second scan, and nothing stays cached. Prefer this for a whole view, and
+    `dashboard` for a panel or two.
+    """
+    filter = filter.normalized()
+    covered = filter.apply(rows, as_of or utc_now())
+    folder = folder or shared_folder(rows.sparkSession, "panel-counts")
+    plan = counted.count_panels(covered, filter.time_range)
+    plan.write.partitionBy("aspect").parquet(folder)
+    counts = rows.sparkSession.read.schema(plan.schema).parquet(folder)
+    return {
+        "state": report_state(rows, counts),
+        "key_figures": key_figure_texts(counted.key_figures_of(counts)),
+        "timeline": show_timeline(counted.bucket_counts(counts), filter.time_range).orderBy("bucket"),
+        "statuses": show_statuses(counted.class_counts(counts)),
+        "top_urls": show_top(counted.path_counts(counts)),
+        "top_clients": show_top(counted.client_counts(counts)),
+    }
+
+
+def in_one_frame(panels: dict[str, DataFrame]) -> DataFrame:
     """The counted panels in one frame: (panel, key, label, requests, pct).
 
     `key` is what a drill-down filters by: a bucket's start, a status class, a path, a client;
     for the key figures it is the figure's name and `requests` its value.
     """
-    panels = dashboard(rows, filter, as_of)
 
     def panel(name: str, key: str) -> DataFrame:
         return panels[name].select(
@@ -85,3 +119,10 @@ def dashboard_long(
         panel("top_clients", "label"),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def dashboard_long(
+    rows: DataFrame, filter: Filter = Filter(), as_of: datetime | None = None
+) -> DataFrame:
+    """`dashboard` as one lazy frame."""
+    return in_one_frame(dashboard(rows, filter, as_of))
