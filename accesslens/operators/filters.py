@@ -45,8 +45,8 @@ DEFAULT_RANGE = "24h"
 
 # Unicode white space, as trimmed from typed text. `str.strip()` alone would also take U+001C..U+001F.
 _WHITE_SPACE = (
-    "\t\n\v\f\r \x85\xa0         "
-    "       　"
+    "\t\n\v\f\r \u0085             "
+    "    　"
 )
 
 

@@ -1,0 +1,106 @@
+import pytest
+from pyspark.sql import functions as F
+
+from accesslens.operators.framing import decode_datagrams, frame_lines, to_messages
+from tests.helpers import captures
+
+MSG = '1.2.3.4 - - [12/Jun/2026:09:00:00 +0000] "GET / HTTP/1.1" 200 1'
+
+
+def opened(spark, text):
+    row = to_messages(captures(spark, [("10.0.0.1", text.encode())])).first()
+    return row["hostname"], row["raw"]
+
+
+@pytest.mark.parametrize(
+    "header, host",
+    [
+        ("", None),
+        ("<134>1 2026-06-12T09:00:00Z web-1 apache 77 - - ", "web-1"),
+        ("<134>1 2026-06-12T09:00:00.123+02:00 - - - - - ", None),
+        ('<134>1 - web-1 apache 77 ID7 [ex@1 a="1" b="x\\"]y"][z] ', "web-1"),
+        ("<134>1 - web-1 apache 77 ID7 - \ufeff", "web-1"),
+        ("<134>Jun 12 09:00:00 web-1 apache: ", "web-1"),
+        ("<134>Jun  2 09:00:00 web-1 apache[77]: ", "web-1"),
+        ("<134>Jun 2 09:00:00 web-1 apache:", "web-1"),
+        ("<134>Jun 12 2026 09:00:00 web-1 apache: ", "web-1"),
+        ("<134>Jun 12 09:00:00 web-1 ", "web-1"),
+        ("<134>Jun 12 09:00:00 apache: ", None),
+        ("<134>Jun 12 09:00:00 apache[77]: ", None),
+        ("<134>2026-06-12T09:00:00.123456+00:00 web-1 apache: ", "web-1"),
+        ("<134>2026-06-12T09:00:00Z web-1 apache ", "web-1"),
+        ("<134>2026-06-12T09:00:00Z web-1 apache[77]: ", "web-1"),
+        ("<134>2026-06-12T09:00:00Z web-1 ", "web-1"),
+    ],
+)
+def test_headers(spark, header, host):
+    assert opened(spark, header + MSG) == (host, MSG)
+
+
+def test_ipv6_client_is_no_tag(spark):
+    message = MSG.replace("1.2.3.4", "2001:db8::7")
+    assert opened(spark, "<134>Jun 12 09:00:00 web-1 " + message) == ("web-1", message)
+    assert opened(spark, "<134>Jun 12 09:00:00 web-1 apache: " + message) == ("web-1", message)
+
+
+@pytest.mark.parametrize("text", ["<134>", "<134>hello", "<x>1 - - - - - - m", "", " lead", "a\nb"])
+def test_other_text_is_all_message(spark, text):
+    assert opened(spark, text) == (None, text)
+
+
+def test_message_keeps_spaces_and_line_breaks(spark):
+    assert opened(spark, "<134>1 - h a p m -  two  spaces\nnext ") == ("h", " two  spaces\nnext ")
+
+
+def test_empty_message(spark):
+    assert opened(spark, "<134>1 - h a p m -") == ("h", "")
+
+
+def test_large_structured_data_does_not_overflow_the_stack(spark):
+    data = "".join(f'[id{n} k="{chr(92)}{chr(34)}v" l="]"]' for n in range(3000))
+    assert opened(spark, f"<134>1 - h a p m {data} {MSG}") == ("h", MSG)
+    assert opened(spark, f"<134>1 - h a p m {data[:-1]}") [0] is None
+
+
+@pytest.mark.parametrize(
+    "payload, text",
+    [
+        (b"a\xffb", "a�b"),
+        (b"\xe2\x82|", "�|"),
+        (b"\xc0\xaf", "��"),
+        (b"\xf0\x9f\x98\x80", "\U0001f600"),
+        (b"\xf0\x9f\x98", "�"),
+        (b"\xed\xa0\x80", "���"),
+        (b"", ""),
+    ],
+)
+def test_decoding(spark, payload, text):
+    assert decode_datagrams(captures(spark, [("p", payload)])).first()["line"] == text
+
+
+@pytest.mark.parametrize(
+    "payload, lines",
+    [
+        (b"a\nb\n", ["a", "b"]),
+        (b"a\r\nb", ["a", "b"]),
+        (b"a\n\nb\n", ["a", "", "b"]),
+        (b"a\rb\n", ["a\rb"]),
+        (b"a\r", ["a\r"]),
+        (b"\n", [""]),
+        (b"", []),
+    ],
+)
+def test_framing(spark, payload, lines):
+    rows = frame_lines(captures(spark, [("p", payload)])).collect()
+    assert [r["line"] for r in rows] == lines
+
+
+def test_datagram_keeps_line_breaks(spark):
+    rows = decode_datagrams(captures(spark, [("p", b"a\nb\n")])).collect()
+    assert [r["line"] for r in rows] == ["a\nb\n"]
+
+
+def test_one_regular_expression_pass(spark):
+    frame = to_messages(captures(spark, [("p", b"x")])).where(F.col("source_ip") == "p")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
