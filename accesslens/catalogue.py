@@ -173,7 +173,7 @@ def _damaged_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 register(
     "decode_payload",
     _damaged_payloads,
-    "SELECT peer_ip, received_at, '�' || line || '�|��' AS line"
+    "SELECT peer_ip, received_at, '\ufffd' || line || '\ufffd|\ufffd\ufffd' AS line"
     f" FROM ({samples.traffic_sql()})",
 )
 

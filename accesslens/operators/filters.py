@@ -45,8 +45,9 @@ DEFAULT_RANGE = "24h"
 
 # Unicode white space, as trimmed from typed text. `str.strip()` alone would also take U+001C..U+001F.
 _WHITE_SPACE = (
-    "\t\n\v\f\r \u0085             "
-    "    　"
+    "\t\n\v\f\r "
+    "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 
