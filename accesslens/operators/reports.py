@@ -174,11 +174,10 @@ OK = "ok"
 def report_state(all_rows: DataFrame, covered: DataFrame) -> DataFrame:
     """Whether anything is stored at all, and whether the filter covers any of it.
 
-    Both are questions of existence: each side stops at its first row.
+    The first question is answered here, by a look at the first file that has a row; the second
+    when the result is read, each task stopping at its first row.
     """
-    found = all_rows.limit(1).select(F.lit(1).alias("stored"), F.lit(0).alias("covered")).unionAll(
-        covered.limit(1).select(F.lit(1).alias("stored"), F.lit(1).alias("covered"))
-    )
-    figures = found.agg(F.max("stored").alias("stored"), F.max("covered").alias("covered"))
-    state = F.when(F.col("stored").isNull(), NO_LOGS).when(F.col("covered") == 0, NO_MATCH)
-    return figures.select(state.otherwise(OK).alias("state"))
+    if all_rows.isEmpty():
+        return all_rows.sparkSession.range(1).select(F.lit(NO_LOGS).alias("state"))
+    found = covered.select(F.lit(1).alias("found")).limit(1).agg(F.count("found").alias("found"))
+    return found.select(F.when(F.col("found") > 0, OK).otherwise(NO_MATCH).alias("state"))

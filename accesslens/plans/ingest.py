@@ -57,7 +57,11 @@ def classify(routed: DataFrame, registry: Registry) -> DataFrame:
         .when(~F.col("log_type").isin(registry.names()), UNKNOWN_TYPE)
         .when(~parsed, UNPARSED)
     )
-    return routed.withColumns(tokens).withColumns(entries).drop(*tokens).withColumn("reason", reason)
+    return (
+        routed.withColumns(tokens)
+        .withColumns(entries)
+        .select("source_ip", "received_at", "raw", *entries, reason.alias("reason"))
+    )
 
 
 def accepted(classified: DataFrame, log_type: LogType) -> DataFrame:

@@ -113,7 +113,7 @@ def _typed(expression: str, text: str, timestamp: str) -> str:
 
 def traffic(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
     """Every row of the table with the request it stands for and its raw syslog line."""
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*_columns(BASES[table]))
+    rows = _spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*_columns(BASES[table])))
     for step in STEPS:
         rows = rows.selectExpr(
             "*", *[f"{_typed(e, 'STRING', 'TIMESTAMP_NTZ')} AS {name}" for name, e in step.items()]
@@ -121,6 +121,12 @@ def traffic(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFram
     return rows
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Use all cores on a table that is one small file; larger ones split by themselves."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, "id")
+
+
 def _columns(base: str) -> list[str]:
     # No column expression of a base holds a comma.
     return [c.strip() for c in base.split(",")]

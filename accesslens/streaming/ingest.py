@@ -47,11 +47,12 @@ class LogStore:
     ) -> None:
         """Store one batch. Running it again with the same ids replaces the batch.
 
-        The classified batch is kept for its several writes, in memory or on disk; a lost
-        executor's share is computed again from the capture.
+        The classified batch is kept on executors' disks for its several writes, so parsing
+        runs once and a large batch takes no memory from other work; a lost executor's share
+        is computed again from the capture.
         """
         routed = route(to_messages(capture, framing), sources)
-        classified = classify(routed, self.registry).persist(StorageLevel.MEMORY_AND_DISK)
+        classified = classify(routed, self.registry).persist(StorageLevel.DISK_ONLY)
         try:
             for log_type in self.registry:
                 write_log_batch(
