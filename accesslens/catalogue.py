@@ -88,13 +88,20 @@ def streamed_store(spark: SparkSession, sf_dir: str) -> LogStore:
         sources,
         store,
         checkpoint=f"{folder}/checkpoint",
-        regroup=True,
         trigger={"availableNow": True},
     )
     query.awaitTermination()
     return store
 
 
+def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored table after one batch with all of the table's messages."""
+    traffic = samples.traffic(spark, sf_dir)
+    store = LogStore(shared_folder(spark, "store"))
+    store.write_batch(samples.capture(traffic), samples.senders(traffic), "batch", 0)
+    return store.read(spark)
+
+
 ACCESS_COLUMNS = (
     "peer_ip AS source_ip, remote_host, ident, auth_user, ts, method, path, protocol,"
     " CAST(status AS INTEGER) AS status, bytes, referer, user_agent, received_at, msg AS raw"
@@ -660,7 +667,7 @@ def dashboard_sql(range_key: str, rows: str) -> str:
 
 register(
     "dashboard_long",
-    lambda spark, sf_dir: dashboard_long(ingested_rows(spark, sf_dir), Filter(range="7d"), AS_OF),
+    lambda spark, sf_dir: dashboard_long(stored_rows(spark, sf_dir), Filter(range="7d"), AS_OF),
     dashboard_sql("7d", window_sql("7d", rows=ingested_sql())),
 )
 register(
@@ -672,8 +679,10 @@ register(
 )
 register(
     "dashboard_drilled_down",
-    lambda spark, sf_dir: dashboard_long(
-        access_rows(spark, sf_dir), Filter(range="30d").with_status(5).with_path("/error/3"), AS_OF
+    lambda spark, sf_dir: in_one_frame(
+        dashboard_in_one_pass(
+            access_rows(spark, sf_dir), Filter(range="30d").with_status(5).with_path("/error/3"), AS_OF
+        )
     ),
     dashboard_sql(
         "30d",

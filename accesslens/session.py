@@ -42,13 +42,14 @@ def local_session(cores: int = 8, app: str = "accesslens", memory: str = "8g") -
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under `spark.checkpoint.dir`.
 
-    On a cluster that setting names storage all executors reach. It is set here only
-    where the session leaves it unset, as in a local test run.
+    On a cluster that setting names storage all executors reach. Only where it is unset, and
+    only in a local session, a temporary folder becomes the session's checkpoint folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="accesslens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="accesslens-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -46,32 +46,32 @@ def _batch_folder(root: str, query_id: str, batch_id: int) -> str:
     return f"{root}/query_id={query_id}/batch_id={batch_id}"
 
 
+def _write(rows: DataFrame, dates: list[str], folder: str, regroup: bool) -> None:
+    if regroup:
+        rows = rows.hint("rebalance", *dates)
+    rows.write.mode("overwrite").partitionBy(*dates).parquet(folder)
+
+
 def write_log_batch(
-    rows: DataFrame, root: str, query_id: str, batch_id: int, regroup: bool = False
+    rows: DataFrame, root: str, query_id: str, batch_id: int, regroup: bool = True
 ) -> None:
     """Store one batch of parsed rows.
 
-    Live batches touch a date or two, and each task writes straight from its input. With
-    `regroup`, for backfills that mix many dates, rows are first gathered by date; the
-    rebalance hint lets adaptive execution split a date that is too big for one task.
+    Rows are first gathered by date into files of the advisory partition size: a batch read by
+    a thousand tasks would otherwise leave a thousand small files per date, every minute.
+    The rebalance hint lets adaptive execution split a date too big for one task, so a batch
+    of a single day still writes in parallel. Without `regroup` each task writes its own files
+    and nothing is shuffled, which suits input that is already large and by date.
     """
-    out = with_pruning_columns(rows)
-    if regroup:
-        out = out.hint("rebalance", "event_date", "received_date")
-    (
-        out.write.mode("overwrite")
-        .partitionBy("event_date", "received_date")
-        .parquet(_batch_folder(root, query_id, batch_id))
-    )
+    folder = _batch_folder(root, query_id, batch_id)
+    _write(with_pruning_columns(rows), ["event_date", "received_date"], folder, regroup)
 
 
-def write_reject_batch(rows: DataFrame, root: str, query_id: str, batch_id: int) -> None:
-    (
-        rows.withColumn("received_date", F.col("received_at").cast("date"))
-        .write.mode("overwrite")
-        .partitionBy("received_date")
-        .parquet(_batch_folder(root, query_id, batch_id))
-    )
+def write_reject_batch(
+    rows: DataFrame, root: str, query_id: str, batch_id: int, regroup: bool = True
+) -> None:
+    dated = rows.withColumn("received_date", F.col("received_at").cast("date"))
+    _write(dated, ["received_date"], _batch_folder(root, query_id, batch_id), regroup)
 
 
 def _read(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:

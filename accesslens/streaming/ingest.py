@@ -43,7 +43,7 @@ class LogStore:
         query_id: str,
         batch_id: int,
         framing: str = "datagrams",
-        regroup: bool = False,
+        regroup: bool = True,
     ) -> None:
         """Store one batch. Running it again with the same ids replaces the batch.
 
@@ -62,7 +62,9 @@ class LogStore:
                     batch_id,
                     regroup,
                 )
-            write_reject_batch(rejected(classified), self.rejects_path, query_id, batch_id)
+            write_reject_batch(
+                rejected(classified), self.rejects_path, query_id, batch_id, regroup
+            )
         finally:
             classified.unpersist()
 
@@ -73,7 +75,7 @@ def start_ingest(
     store: LogStore,
     checkpoint: str,
     framing: str = "datagrams",
-    regroup: bool = False,
+    regroup: bool = True,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Run the ingest over a capture stream until stopped.
