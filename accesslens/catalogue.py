@@ -706,7 +706,7 @@ register(
 register(
     "stored_dashboard",
     lambda spark, sf_dir: in_one_frame(
-        dashboard_in_one_pass(streamed_store(spark, sf_dir).read(spark), Filter(range="24h"), AS_OF)
+        streamed_store(spark, sf_dir).dashboard(spark, Filter(range="24h"), AS_OF)
     ),
     dashboard_sql("24h", window_sql("24h", rows=ingested_sql())),
 )

@@ -6,6 +6,8 @@ requests reaches its reducer as one partial row per task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,13 +173,16 @@ NO_MATCH = "no_match"
 OK = "ok"
 
 
-def report_state(all_rows: DataFrame, covered: DataFrame) -> DataFrame:
+def report_state(
+    rows: DataFrame, covered: DataFrame, stored: Callable[[], DataFrame] | None = None
+) -> DataFrame:
     """Whether anything is stored at all, and whether the filter covers any of it.
 
     The first question is answered here, by a look at the first file that has a row; the second
-    when the result is read, each task stopping at its first row.
+    when the result is read, each task stopping at its first row. Where `rows` is only a part
+    of the table, `stored` gives all of it, and is asked only if that part is empty.
     """
-    if all_rows.isEmpty():
-        return all_rows.sparkSession.range(1).select(F.lit(NO_LOGS).alias("state"))
+    if rows.isEmpty() and (stored is None or stored().isEmpty()):
+        return rows.sparkSession.range(1).select(F.lit(NO_LOGS).alias("state"))
     found = covered.select(F.lit(1).alias("found")).limit(1).agg(F.count("found").alias("found"))
     return found.select(F.when(F.col("found") > 0, OK).otherwise(NO_MATCH).alias("state"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
@@ -30,17 +31,21 @@ PANELS = ("state", "key_figures", "timeline", "statuses", "top_urls", "top_clien
 
 
 def dashboard(
-    rows: DataFrame, filter: Filter = Filter(), as_of: datetime | None = None
+    rows: DataFrame,
+    filter: Filter = Filter(),
+    as_of: datetime | None = None,
+    stored: Callable[[], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """One lazy DataFrame per panel, each with a scan of its own once it is asked for.
 
-    All share one cutoff and, through `rows`, one file listing.
+    All share one cutoff and, through `rows`, one file listing. If `rows` was read for recent
+    dates only, `stored` reads the whole table (see `report_state`).
     """
     filter = filter.normalized()
     as_of = as_of or utc_now()
     covered = filter.apply(rows, as_of)
     return {
-        "state": report_state(rows, covered),
+        "state": report_state(rows, covered, stored),
         "key_figures": key_figure_texts(key_figures(covered)),
         "timeline": timeline(covered, filter.time_range),
         "statuses": status_breakdown(covered),
@@ -54,6 +59,7 @@ def dashboard_in_one_pass(
     filter: Filter = Filter(),
     as_of: datetime | None = None,
     folder: str | None = None,
+    stored: Callable[[], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """The same panels after one scan of the window, which runs at once.
 
@@ -69,7 +75,7 @@ def dashboard_in_one_pass(
     plan.write.partitionBy("aspect").parquet(folder)
     counts = rows.sparkSession.read.schema(plan.schema).parquet(folder)
     return {
-        "state": report_state(rows, counts),
+        "state": _state_by_counts(rows, counts, stored),
         "key_figures": key_figure_texts(counted.key_figures_of(counts)),
         "timeline": show_timeline(counted.bucket_counts(counts), filter.time_range).orderBy("bucket"),
         "statuses": show_statuses(counted.class_counts(counts)),
@@ -78,6 +84,13 @@ def dashboard_in_one_pass(
     }
 
 
+def _state_by_counts(
+    rows: DataFrame, counts: DataFrame, stored: Callable[[], DataFrame] | None
+) -> DataFrame:
+    # Any count means there are rows, so the table need not be looked at.
+    return report_state(rows, counts, stored) if counts.isEmpty() else report_state(counts, counts)
+
+
 def in_one_frame(panels: dict[str, DataFrame]) -> DataFrame:
     """The counted panels in one frame: (panel, key, label, requests, pct).
 

@@ -1,9 +1,14 @@
 """Parsed rows and rejects as partitioned parquet.
 
-Layout: `query_id=/batch_id=/event_date=/received_date=`. One micro-batch owns one `batch_id`
-folder and replaces it whole, so a repeated batch leaves no trace of its first attempt, even
-if its rows now fall on other dates. `query_id` identifies the checkpoint: a job started on a
-new one counts batches from 0 again and must not overwrite another job's folders.
+Layout: `event_date=/received_date=/query_id=/batch_id=`, rejects without the event date.
+
+- Dates come first, so a report over a window lists only the folders it needs; with a batch a
+  minute, a year is half a million folders.
+- A micro-batch overwrites its own partitions (dynamic overwrite), so one that is run again
+  replaces its first attempt. That needs the same rows to come out again: the capture is
+  replayed by the checkpoint, and routing is pinned per batch (`SourceTable.read_for_batch`).
+- `query_id` identifies the checkpoint: a job started on a new one counts batches from 0 again
+  and must not replace another job's partitions.
 
 Parquet keeps no usable min/max for a TIMESTAMP_NTZ filter in Spark 4.1 (the scan reads every
 row), so the table carries pruning columns: the dates as partitions and the hour number, whose
@@ -12,6 +17,8 @@ min/max do skip row groups.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +27,12 @@ from pyspark.sql import types as T
 from ..functions.times import hour_number
 from ..schema import REJECTS, empty
 
-_PARTITIONS = T.StructType(
-    [
-        T.StructField("query_id", T.StringType()),
-        T.StructField("batch_id", T.LongType()),
-        T.StructField("event_date", T.DateType()),
-        T.StructField("received_date", T.DateType()),
-    ]
-)
+_EVENT_DATE = T.StructField("event_date", T.DateType())
+_ARRIVAL = [
+    T.StructField("received_date", T.DateType()),
+    T.StructField("query_id", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
+]
 _EVENT_HOUR = T.StructField("event_hour", T.IntegerType())
 
 
@@ -42,14 +47,18 @@ def with_pruning_columns(rows: DataFrame) -> DataFrame:
     )
 
 
-def _batch_folder(root: str, query_id: str, batch_id: int) -> str:
-    return f"{root}/query_id={query_id}/batch_id={batch_id}"
-
-
-def _write(rows: DataFrame, dates: list[str], folder: str, regroup: bool) -> None:
+def _write(
+    rows: DataFrame, dates: list[str], root: str, query_id: str, batch_id: int, regroup: bool
+) -> None:
     if regroup:
         rows = rows.hint("rebalance", *dates)
-    rows.write.mode("overwrite").partitionBy(*dates).parquet(folder)
+    (
+        rows.withColumns({"query_id": F.lit(query_id), "batch_id": F.lit(batch_id).cast("bigint")})
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*dates, "query_id", "batch_id")
+        .parquet(root)
+    )
 
 
 def write_log_batch(
@@ -63,36 +72,48 @@ def write_log_batch(
     of a single day still writes in parallel. Without `regroup` each task writes its own files
     and nothing is shuffled, which suits input that is already large and by date.
     """
-    folder = _batch_folder(root, query_id, batch_id)
-    _write(with_pruning_columns(rows), ["event_date", "received_date"], folder, regroup)
+    dates = ["event_date", "received_date"]
+    _write(with_pruning_columns(rows), dates, root, query_id, batch_id, regroup)
 
 
 def write_reject_batch(
     rows: DataFrame, root: str, query_id: str, batch_id: int, regroup: bool = True
 ) -> None:
     dated = rows.withColumn("received_date", F.col("received_at").cast("date"))
-    _write(dated, ["received_date"], _batch_folder(root, query_id, batch_id), regroup)
+    _write(dated, ["received_date"], root, query_id, batch_id, regroup)
+
 
+def dates_since(first: date) -> str:
+    """Glob for ISO dates from `first` on: per digit, all larger ones after the same prefix."""
+    text = first.isoformat()
+    later = [
+        f"{text[:n]}[{int(digit) + 1}-9]*" for n, digit in enumerate(text) if digit in "012345678"
+    ]
+    return "{" + ",".join([text, *later, "+*"]) + "}"
 
-def _read(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+
+def _read(spark: SparkSession, root: str, path: str, schema: T.StructType) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(root)
+        return spark.read.schema(schema).option("basePath", root).parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return empty(spark, schema)
         raise
 
 
-def read_log(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+def read_log(
+    spark: SparkSession, root: str, schema: T.StructType, since: date | None = None
+) -> DataFrame:
     """The stored rows with their pruning columns; empty before the first batch.
 
     The files are listed once, here: reports built on one returned DataFrame see one snapshot.
+    With `since`, only folders of event dates from then on are listed, and rows before it are
+    not part of the result.
     """
-    return _read(
-        spark, root, T.StructType(schema.fields + [_EVENT_HOUR] + _PARTITIONS.fields)
-    )
+    columns = T.StructType(schema.fields + [_EVENT_HOUR, _EVENT_DATE] + _ARRIVAL)
+    path = root if since is None else f"{root}/event_date={dates_since(since)}"
+    return _read(spark, root, path, columns)
 
 
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
-    fields = [_PARTITIONS["query_id"], _PARTITIONS["batch_id"], _PARTITIONS["received_date"]]
-    return _read(spark, root, T.StructType(REJECTS.fields + fields))
+    return _read(spark, root, root, T.StructType(REJECTS.fields + _ARRIVAL))

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import utc_now
@@ -47,13 +47,43 @@ class SourceTable:
             raise
         return [int(found.group(1)) for f in files if (found := re.search(r"/version=(\d+)/", f))]
 
+    def _read_version(self, version: int) -> DataFrame:
+        """One version; 0 is the table before the first edit."""
+        if version == 0:
+            return empty(self._spark, SOURCES)
+        return self._spark.read.schema(SOURCES).parquet(f"{self._root}/data/version={version}")
+
+    def _newest(self) -> int:
+        return max(self._versions("commits"), default=0)
+
     def read(self) -> DataFrame:
         """The newest version, listed anew on every call; empty before the first edit."""
-        versions = self._versions("commits")
-        if not versions:
-            return empty(self._spark, SOURCES)
-        path = f"{self._root}/data/version={max(versions)}"
-        return self._spark.read.schema(SOURCES).parquet(path)
+        return self._read_version(self._newest())
+
+    def read_for_batch(self, query_id: str, batch_id: int) -> DataFrame:
+        """The newest version at the first attempt of a micro-batch, and the same at later ones.
+
+        A batch that is run again then routes as before, and replaces exactly what its first
+        attempt wrote. One small pin per query is kept, for the batch it is working on.
+        """
+        path = f"{self._root}/pins/query_id={query_id}"
+        pin = self._pinned(path)
+        if pin is None or pin["batch_id"] != batch_id:
+            version = self._newest()
+            pins = self._spark.range(1).select(
+                F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(version).alias("version")
+            )
+            pins.write.mode("overwrite").parquet(path)
+            return self._read_version(version)
+        return self._read_version(pin["version"])
+
+    def _pinned(self, path: str) -> Row | None:
+        try:
+            return self._spark.read.schema("batch_id BIGINT, version INT").parquet(path).first()
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
 
     def write(self, rows: DataFrame) -> None:
         taken = self._versions("data") + self._versions("commits")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import date, datetime
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.times import utc_now
+from ..operators.filters import Filter
 from ..operators.framing import to_messages
 from ..operators.routing import route
+from ..plans.dashboard import dashboard_in_one_pass
 from ..plans.ingest import accepted, classify, rejected
 from ..plans.registry import Registry
 from ..sources.log_table import read_log, read_rejects, write_log_batch, write_reject_batch
@@ -30,8 +34,20 @@ class LogStore:
     def rejects_path(self) -> str:
         return f"{self.root}/rejects"
 
-    def read(self, spark: SparkSession, log_type: str = "apache") -> DataFrame:
-        return read_log(spark, self.table_path(log_type), self.registry.schemas()[log_type])
+    def read(
+        self, spark: SparkSession, log_type: str = "apache", since: date | None = None
+    ) -> DataFrame:
+        schema = self.registry.schemas()[log_type]
+        return read_log(spark, self.table_path(log_type), schema, since)
+
+    def dashboard(
+        self, spark: SparkSession, filter: Filter = Filter(), as_of: datetime | None = None
+    ) -> dict[str, DataFrame]:
+        """The access-log view in one pass, listing no folders from before its window."""
+        filter, as_of = filter.normalized(), as_of or utc_now()
+        since = date.fromisoformat(filter.cutoff(as_of)[:10])
+        rows = self.read(spark, since=since)
+        return dashboard_in_one_pass(rows, filter, as_of, stored=lambda: self.read(spark))
 
     def read_rejects(self, spark: SparkSession) -> DataFrame:
         return read_rejects(spark, self.rejects_path)
@@ -45,7 +61,7 @@ class LogStore:
         framing: str = "datagrams",
         regroup: bool = True,
     ) -> None:
-        """Store one batch. Running it again with the same ids replaces the batch.
+        """Store one batch. Running it again with the same input and ids replaces it.
 
         The classified batch is kept on executors' disks for its several writes, so parsing
         runs once and a large batch takes no memory from other work; a lost executor's share
@@ -80,13 +96,15 @@ def start_ingest(
 ) -> StreamingQuery:
     """Run the ingest over a capture stream until stopped.
 
-    The source table is read again for every micro-batch, so an edit takes effect with the
-    next one. A failed batch is run again from the checkpoint; nothing is lost or doubled.
+    The source table is looked up again for every micro-batch, so an edit takes effect with
+    the next one. A failed batch is run again from the checkpoint, with the routing it had;
+    nothing is lost or doubled.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        store.write_batch(batch, sources.read(), query_id, batch_id, framing, regroup)
+        routing = sources.read_for_batch(query_id, batch_id)
+        store.write_batch(batch, routing, query_id, batch_id, framing, regroup)
 
     return (
         capture.writeStream.foreachBatch(write)

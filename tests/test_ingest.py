@@ -1,17 +1,17 @@
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from accesslens import LogStore, Registry, SourceTable, start_ingest
+from accesslens import Filter, LogStore, Registry, SourceTable, start_ingest
 from accesslens.operators import routing
 from accesslens.operators.framing import to_messages
 from accesslens.plans.ingest import accepted, classify, ingest, reject_report, rejected
 from accesslens.plans.registry import AccessLogType
 from accesslens.sources.capture import read_text_capture, stream_capture, stream_text_capture
-from accesslens.sources.log_table import read_log
+from accesslens.sources.log_table import dates_since, read_log
 from tests.helpers import captures
 
 ACCESS = b'h - - [12/Jun/2026:09:00:00 +0000] "GET /%d HTTP/1.1" 200 1'
@@ -220,15 +220,35 @@ def test_source_edits_take_effect_with_the_next_batch(spark, tmp_path, source_ta
 
 def test_a_repeated_batch_replaces_its_first_attempt(spark, store):
     rows = captures(spark, MIXED)
-    store.write_batch(rows, mixed_sources(spark), "q", 3)
-    before = paths(spark, store)
-    store.write_batch(rows, mixed_sources(spark), "q", 3)
-    assert paths(spark, store) == before == ["/1"]
-    assert store.read_rejects(spark).count() == 5
-    # The sender was removed in between: its row moves, it is not in both tables.
-    store.write_batch(rows, sources(spark, s2="kv"), "q", 3)
-    assert paths(spark, store) == []
-    assert store.read_rejects(spark).count() == 6
+    for _ in range(2):
+        store.write_batch(rows, mixed_sources(spark), "q", 3)
+        assert paths(spark, store) == ["/1"]
+        assert store.read_rejects(spark).count() == 5
+    store.write_batch(rows, mixed_sources(spark), "q", 4)
+    assert paths(spark, store) == ["/1", "/1"]
+
+
+def test_a_batch_keeps_its_routing_when_run_again(spark, tmp_path, source_table, store):
+    land(spark, tmp_path / "capture", MIXED)
+
+    @dataclass(frozen=True)
+    class FailsHalfway(LogStore):
+        def write_batch(self, *arguments):
+            super().write_batch(*arguments)
+            source_table.remove("10.0.0.1")
+            raise RuntimeError("lost after the write")
+
+    failing = FailsHalfway(store.root, store.registry)
+    with pytest.raises(Exception, match="lost after the write"):
+        run(spark, tmp_path, source_table, failing)
+    assert paths(spark, store) == ["/1"]
+    land(spark, tmp_path / "capture", MIXED)
+    run(spark, tmp_path, source_table, store)
+    assert paths(spark, store) == ["/1"]
+    assert {(r["batch_id"], r["reason"]) for r in store.read_rejects(spark).where("raw LIKE '%GET /1 %'").collect()} == {
+        (1, "unrouted")
+    }
+    assert store.read_rejects(spark).count() == 5 + 6
 
 
 def test_a_new_checkpoint_overwrites_nothing(spark, tmp_path, source_table, store):
@@ -243,7 +263,7 @@ def test_a_failed_batch_is_run_again(spark, tmp_path, source_table, store):
     land(spark, tmp_path / "capture", [("10.0.0.1", ACCESS % 1)])
 
     class Failing:
-        def read(self):
+        def read_for_batch(self, query_id, batch_id):
             raise RuntimeError("no sources today")
 
     query = start_ingest(
@@ -284,8 +304,6 @@ def test_text_files(spark, tmp_path, source_table, store):
 
 
 def test_windows_prune_partitions_and_row_groups(spark, tmp_path, store):
-    from accesslens import Filter
-
     store.write_batch(captures(spark, MIXED), mixed_sources(spark), "q", 0)
     covered = Filter(range="1h").apply(store.read(spark), datetime(2026, 6, 12, 9, 30)).select("path")
     plan = covered._jdf.queryExecution().executedPlan().toString()
@@ -295,6 +313,54 @@ def test_windows_prune_partitions_and_row_groups(spark, tmp_path, store):
     assert "ReadSchema: struct<ts:timestamp_ntz,path:string,event_hour:int>" in scan
 
 
+@pytest.mark.parametrize(
+    "first", ["2026-06-12", "2026-06-13", "2025-12-31", "2019-09-09", "0999-01-01", "9999-12-31"]
+)
+def test_dates_since(first):
+    import re
+    from datetime import timedelta
+
+    glob = dates_since(date.fromisoformat(first))
+    pattern = re.compile("|".join(p.replace("+", "[+]").replace("*", ".*") for p in glob[1:-1].split(",")))
+    start = date.fromisoformat(first)
+    probes = {date(1, 1, 1), date(999, 12, 31), date(2000, 2, 29), date(2026, 6, 9), date(9999, 12, 31)}
+    for days in range(-800, 800):
+        try:
+            probes.add(start + timedelta(days=days))
+        except OverflowError:
+            pass
+    for day in probes:
+        assert bool(pattern.fullmatch(day.isoformat())) == (day >= start), day
+    assert pattern.fullmatch("+10000-01-01")
+
+
+def test_reading_since_a_date_lists_later_folders_only(spark, store):
+    lines = [
+        b'h - - [%02d/Jun/2026:09:00:00 +0000] "GET /%d HTTP/1.1" 200 1' % (day, day)
+        for day in (1, 9, 10, 11, 29)
+    ]
+    store.write_batch(captures(spark, [("10.0.0.1", line) for line in lines]), mixed_sources(spark), "q", 0)
+    part = store.read(spark, since=date(2026, 6, 10))
+    assert sorted(r["path"] for r in part.collect()) == ["/10", "/11", "/29"]
+    assert {f.split("event_date=")[1][:10] for f in part.inputFiles()} == {
+        "2026-06-10", "2026-06-11", "2026-06-29",
+    }
+    assert part.schema == store.read(spark).schema
+    assert store.read(spark, since=date(2027, 1, 1)).count() == 0
+
+
+def test_dashboard_of_a_store(spark, store):
+    as_of = datetime(2026, 6, 12, 10)
+    assert store.dashboard(spark, as_of=as_of)["state"].first()["state"] == "no_logs"
+    store.write_batch(captures(spark, MIXED), mixed_sources(spark), "q", 0)
+    view = store.dashboard(spark, Filter(), as_of)
+    assert view["state"].first()["state"] == "ok"
+    assert view["key_figures"].first()["requests"] == 1
+    later = store.dashboard(spark, Filter(), datetime(2027, 1, 1))
+    assert later["state"].first()["state"] == "no_match"
+    assert later["key_figures"].first()["requests"] == 0
+
+
 def test_rows_without_event_time_are_stored_under_arrival(spark, tmp_path, store):
     line = b'h - - [?] "GET /1 HTTP/1.1" 200 1'
     store.write_batch(captures(spark, [("10.0.0.1", line)]), mixed_sources(spark), "q", 0)

@@ -140,3 +140,19 @@ def test_a_version_without_its_marker_is_not_read(spark, tmp_path):
     assert [r["ip"] for r in sources.read().collect()] == ["10.0.0.1"]
     sources.add("db", "10.0.0.2", "apache")
     assert sorted(r["ip"] for r in sources.read().collect()) == ["10.0.0.1", "10.0.0.2"]
+
+
+def test_routing_is_pinned_per_batch(spark, tmp_path):
+    sources = SourceTable(spark, str(tmp_path / "sources"), ["apache"])
+
+    def seen(query_id, batch_id):
+        return sorted(r["ip"] for r in sources.read_for_batch(query_id, batch_id).collect())
+
+    assert seen("q", 0) == []
+    sources.add("web", "10.0.0.1", "apache")
+    assert seen("q", 0) == []
+    assert seen("r", 0) == ["10.0.0.1"]
+    assert seen("q", 1) == ["10.0.0.1"]
+    sources.remove("10.0.0.1")
+    assert seen("q", 1) == seen("r", 0) == ["10.0.0.1"]
+    assert seen("q", 2) == []
