@@ -511,9 +511,9 @@ def _timeline_1y(table: str) -> Query:
     )
 
 
-for _table in ("orders", "lineitem"):
+for _name, _table in (("timeline_1y", "orders"), ("timeline_1y_lineitem", "lineitem")):
     register(
-        f"timeline_1y_{_table}",
+        _name,
         _timeline_1y(_table),
         timeline_sql("1y", window_sql("1y", ORDERS_AS_OF, access_sql(_table))),
     )

@@ -313,6 +313,24 @@ def test_windows_prune_partitions_and_row_groups(spark, tmp_path, store):
     assert "ReadSchema: struct<ts:timestamp_ntz,path:string,event_hour:int>" in scan
 
 
+def test_a_large_single_date_is_written_by_several_tasks(spark, store):
+    rows = spark.range(0, 40_000, 1, 8).selectExpr(
+        "'10.0.0.1' AS peer_ip", "timestamp_ntz'2026-06-12 09:30:00' AS received_at",
+        """CAST(concat('h - - [12/Jun/2026:09:00:00 +0000] "GET /', uuid(), ' HTTP/1.1" 200 1') AS BINARY)
+        AS payload""",
+    )
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "1MB")
+    try:
+        store.write_batch(rows, mixed_sources(spark), "q", 0)
+    finally:
+        spark.conf.set(setting, before)
+    stored = store.read(spark)
+    assert stored.count() == 40_000
+    assert 1 < len(stored.inputFiles()) <= 8
+
+
 @pytest.mark.parametrize(
     "first", ["2026-06-12", "2026-06-13", "2025-12-31", "2019-09-09", "0999-01-01", "9999-12-31"]
 )
