@@ -32,11 +32,16 @@ def parse_messages(messages: DataFrame, log_type: LogType) -> DataFrame:
 
 
 def _entry_column(log_type: LogType) -> str:
-    return f"entry_{log_type.name}"
+    return f"entry {log_type.name}"
 
 
 def _tokens_column(log_type: LogType) -> str:
-    return f"tokens_{log_type.name}"
+    return f"tokens {log_type.name}"
+
+
+def _column(name: str) -> Column:
+    """A column of this very name, whatever characters a log type's name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def classify(routed: DataFrame, registry: Registry) -> DataFrame:
@@ -48,10 +53,8 @@ def classify(routed: DataFrame, registry: Registry) -> DataFrame:
     tokens = {
         _tokens_column(t): F.when(F.col("log_type") == t.name, t.tokens(F.col("raw"))) for t in types
     }
-    entries: dict[str, Column] = {
-        _entry_column(t): t.entry(F.col(_tokens_column(t))) for t in types
-    }
-    parsed = reduce(Column.__or__, [F.col(c).isNotNull() for c in entries], F.lit(False))
+    entries = {_entry_column(t): t.entry(_column(_tokens_column(t))) for t in types}
+    parsed = reduce(Column.__or__, [_column(c).isNotNull() for c in entries], F.lit(False))
     reason = (
         F.when(F.col("log_type").isNull(), UNROUTED)
         .when(~F.col("log_type").isin(registry.names()), UNKNOWN_TYPE)
@@ -60,15 +63,16 @@ def classify(routed: DataFrame, registry: Registry) -> DataFrame:
     return (
         routed.withColumns(tokens)
         .withColumns(entries)
-        .select("source_ip", "received_at", "raw", *entries, reason.alias("reason"))
+        .select(
+            "source_ip", "received_at", "raw", *map(_column, entries), reason.alias("reason")
+        )
     )
 
 
 def accepted(classified: DataFrame, log_type: LogType) -> DataFrame:
-    entry = _entry_column(log_type)
-    return classified.where(F.col(entry).isNotNull()).select(
-        "source_ip", f"{entry}.*", "received_at", "raw"
-    )
+    entry = _column(_entry_column(log_type))
+    fields = [entry[name].alias(name) for name in log_type.entry_schema.names]
+    return classified.where(entry.isNotNull()).select("source_ip", *fields, "received_at", "raw")
 
 
 def rejected(classified: DataFrame) -> DataFrame:

@@ -103,6 +103,8 @@ def start_ingest(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if query_id is None:
+            raise RuntimeError("no query id: foreachBatch needs pinned threads (PYSPARK_PIN_THREAD)")
         routing = sources.read_for_batch(query_id, batch_id)
         store.write_batch(batch, routing, query_id, batch_id, framing, regroup)
 

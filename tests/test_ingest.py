@@ -100,6 +100,27 @@ def test_dispatch_by_type_and_rejects(spark):
     rows.unpersist()
 
 
+def test_log_type_names_may_hold_any_character(spark):
+    named = KeyValueType(name="key-value `v1.2`")
+    routed = routing.route(
+        to_messages(captures(spark, MIXED)), sources(spark, s1="apache", s2=named.name)
+    )
+    rows = classify(routed, Registry(named, AccessLogType()))
+    assert [r["key"] for r in accepted(rows, named).collect()] == ["a"]
+    assert [r["path"] for r in accepted(rows, AccessLogType()).collect()] == ["/1"]
+    assert rejected(rows).count() == 5
+
+
+def test_missing_values_are_rejected_not_lost(spark):
+    odd = captures(spark, MIXED[:1]).selectExpr("peer_ip", "received_at", "CAST(NULL AS BINARY) AS payload")
+    odd = odd.unionAll(captures(spark, MIXED[:1]).selectExpr("CAST(NULL AS STRING)", "received_at", "payload"))
+    for limit in (0, routing.MAX_BROADCAST_BYTES):
+        routed = routing.route(to_messages(odd), mixed_sources(spark), max_broadcast_bytes=limit)
+        rows = classify(routed, Registry.with_defaults())
+        assert sorted(r["reason"] for r in rejected(rows).collect()) == ["unparsed", "unrouted"]
+    assert ingest(odd, mixed_sources(spark), AccessLogType()).count() == 0
+
+
 def test_ingest_one_type(spark):
     got = ingest(captures(spark, MIXED), mixed_sources(spark), AccessLogType())
     assert [r["path"] for r in got.collect()] == ["/1"]
