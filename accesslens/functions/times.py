@@ -1,7 +1,7 @@
 """Time expressions that keep to TIMESTAMP_NTZ, so the session zone has no part in them.
 
 `date_trunc` and `date_format` go through the session zone and move wall-clock times that
-fall in its daylight-saving gap; `window`, `trunc` on dates and text casts do not.
+fall in its daylight-saving gap; `window`, `trunc` on dates and the field functions do not.
 """
 
 from __future__ import annotations
@@ -50,12 +50,12 @@ def bucket_month(time: Column) -> Column:
 
 
 def label_hour_minute(time: Column) -> Column:
-    return F.substring(time.cast("string"), 12, 5)
+    return F.format_string("%02d:%02d", F.hour(time), F.minute(time))
 
 
 def label_month_day(time: Column) -> Column:
-    return F.substring(time.cast("string"), 6, 5)
+    return F.format_string("%02d-%02d", F.month(time), F.dayofmonth(time))
 
 
 def label_year_month(time: Column) -> Column:
-    return F.substring(time.cast("string"), 1, 7)
+    return F.format_string("%04d-%02d", F.year(time), F.month(time))

@@ -388,6 +388,23 @@ def test_reading_since_a_date_lists_later_folders_only(spark, store):
     assert store.read(spark, since=date(2027, 1, 1)).count() == 0
 
 
+def test_far_off_clocks_do_not_spoil_the_table(spark, store):
+    times = [
+        "31/Dec/9999:23:59:59 -2359", "01/Jan/0001:00:00:00 +2359", "01/Jan/0000:00:00:00 +0000",
+        "12/Jun/2026:00:00:00 +0000", "01/Jan/99999:00:00:00 +0000",
+    ]
+    lines = [b'h - - [%s] "GET /%d HTTP/1.1" 200 1' % (t.encode(), n) for n, t in enumerate(times)]
+    store.write_batch(captures(spark, [("10.0.0.1", line) for line in lines]), mixed_sources(spark), "q", 0)
+    got = {r["path"]: r["ts"] for r in store.read(spark).selectExpr("path", "CAST(ts AS STRING) AS ts").collect()}
+    assert got == {
+        "/0": "+10000-01-01 23:58:59", "/1": "0000-12-31 00:01:00", "/2": "0000-01-01 00:00:00",
+        "/3": "2026-06-12 00:00:00", "/4": None,
+    }
+    view = store.dashboard(spark, Filter(range="1y"), datetime(2026, 6, 12, 1))
+    assert [r["label"] for r in view["timeline"].select("label").collect()] == ["2026-06", "10000-01"]
+    assert view["key_figures"].first()["requests"] == 2
+
+
 def test_dashboard_of_a_store(spark, store):
     as_of = datetime(2026, 6, 12, 10)
     assert store.dashboard(spark, as_of=as_of)["state"].first()["state"] == "no_logs"
