@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 from functools import reduce
@@ -29,8 +30,8 @@ from ..functions.times import (
 class TimeRange:
     length: timedelta
     label: str
-    bucket: object
-    bucket_label: object
+    bucket: Callable[[Column], Column]
+    bucket_label: Callable[[Column], Column]
 
 
 # Range keys, lengths, labels and timeline buckets.

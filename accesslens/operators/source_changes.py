@@ -70,22 +70,24 @@ def check_changes(changes: DataFrame, log_types: Iterable[str]) -> DataFrame:
     )
 
 
+def _in_turn(rows: DataFrame, created_at: Column, step: int, at: Column, seq: Column) -> DataFrame:
+    turn = F.struct(
+        F.lit(step).alias("step"),
+        at.cast("timestamp_ntz").alias("at"),
+        seq.cast("bigint").alias("seq"),
+    )
+    return rows.select("ip", "name", "log_type", created_at.alias("created_at"), turn.alias("turn"))
+
+
 def upsert_sources(current: DataFrame, changes: DataFrame) -> DataFrame:
     """Insert new senders; on a known address take over name and log type, keep created_at.
 
     `changes` has ip, name, log_type, requested_at and, to order changes of one instant,
     optionally seq. Applied in that order, so the last change of an address wins.
     """
-    seq: Column = F.col("seq") if "seq" in changes.columns else F.lit(0)
-    before = current.select(
-        "ip", "name", "log_type", "created_at", F.struct(F.lit(0).alias("step"),
-        F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(0).cast("bigint").alias("seq")).alias("turn"),
-    )
-    after = changes.select(
-        "ip", "name", "log_type", F.col("requested_at").alias("created_at"),
-        F.struct(F.lit(1).alias("step"), F.col("requested_at").alias("at"),
-        seq.cast("bigint").alias("seq")).alias("turn"),
-    )
+    seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
+    before = _in_turn(current, F.col("created_at"), 0, F.lit(None), F.lit(0))
+    after = _in_turn(changes, F.col("requested_at"), 1, F.col("requested_at"), seq)
     latest = F.max_by(F.struct("name", "log_type"), "turn").alias("latest")
     first = F.min_by("created_at", "turn").alias("created_at")
     return (
@@ -98,8 +100,8 @@ def upsert_sources(current: DataFrame, changes: DataFrame) -> DataFrame:
 
 def delete_sources(current: DataFrame, removed: DataFrame) -> DataFrame:
     """Drop the addresses listed in `removed.ip`; an address that is not there changes nothing."""
-    typed = trim_whitespace(F.col("ip"))
-    gone = removed.select(F.coalesce(canonical_ip(typed), typed).alias("ip"))
+    typed = removed.select(trim_whitespace(F.col("ip")).alias("ip")).distinct()
+    gone = typed.select(F.coalesce(canonical_ip(F.col("ip")), "ip").alias("ip"))
     return current.join(gone, "ip", "left_anti")
 
 

@@ -50,7 +50,8 @@ def with_pruning_columns(rows: DataFrame) -> DataFrame:
 def _write(
     rows: DataFrame, dates: list[str], root: str, query_id: str, batch_id: int, regroup: bool
 ) -> None:
-    if regroup:
+    # Without adaptive execution the hint would send a whole date to one task.
+    if regroup and rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
         rows = rows.hint("rebalance", *dates)
     (
         rows.withColumns({"query_id": F.lit(query_id), "batch_id": F.lit(batch_id).cast("bigint")})
