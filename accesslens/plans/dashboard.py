@@ -35,20 +35,21 @@ def dashboard(
     filter: Filter = Filter(),
     as_of: datetime | None = None,
     stored: Callable[[], DataFrame] | None = None,
+    status_mode: str = "rounded",
 ) -> dict[str, DataFrame]:
     """One lazy DataFrame per panel, each with a scan of its own once it is asked for.
 
     All share one cutoff and, through `rows`, one file listing. If `rows` was read for recent
-    dates only, `stored` reads the whole table (see `report_state`).
+    dates only, `stored` reads the whole table (see `report_state`). `status_mode` says how
+    status classes are formed (see `status_class`), in the filter as in the breakdown.
     """
     filter = filter.normalized()
-    as_of = as_of or utc_now()
-    covered = filter.apply(rows, as_of)
+    covered = filter.apply(rows, as_of or utc_now(), status_mode)
     return {
         "state": report_state(rows, covered, stored),
         "key_figures": key_figure_texts(key_figures(covered)),
         "timeline": timeline(covered, filter.time_range),
-        "statuses": status_breakdown(covered),
+        "statuses": status_breakdown(covered, status_mode),
         "top_urls": top_urls(covered),
         "top_clients": top_clients(covered),
     }
@@ -60,6 +61,7 @@ def dashboard_in_one_pass(
     as_of: datetime | None = None,
     folder: str | None = None,
     stored: Callable[[], DataFrame] | None = None,
+    status_mode: str = "rounded",
 ) -> dict[str, DataFrame]:
     """The same panels after one scan of the window, which runs at once.
 
@@ -69,9 +71,9 @@ def dashboard_in_one_pass(
     `dashboard` for a panel or two.
     """
     filter = filter.normalized()
-    covered = filter.apply(rows, as_of or utc_now())
+    covered = filter.apply(rows, as_of or utc_now(), status_mode)
     folder = folder or shared_folder(rows.sparkSession, "panel-counts")
-    plan = counted.count_panels(covered, filter.time_range)
+    plan = counted.count_panels(covered, filter.time_range, status_mode)
     plan.write.partitionBy("aspect").parquet(folder)
     counts = rows.sparkSession.read.schema(plan.schema).parquet(folder)
     return {

@@ -41,13 +41,19 @@ class LogStore:
         return read_log(spark, self.table_path(log_type), schema, since)
 
     def dashboard(
-        self, spark: SparkSession, filter: Filter = Filter(), as_of: datetime | None = None
+        self,
+        spark: SparkSession,
+        filter: Filter = Filter(),
+        as_of: datetime | None = None,
+        status_mode: str = "rounded",
     ) -> dict[str, DataFrame]:
         """The access-log view in one pass, listing no folders from before its window."""
         filter, as_of = filter.normalized(), as_of or utc_now()
         since = date.fromisoformat(filter.cutoff(as_of)[:10])
         rows = self.read(spark, since=since)
-        return dashboard_in_one_pass(rows, filter, as_of, stored=lambda: self.read(spark))
+        return dashboard_in_one_pass(
+            rows, filter, as_of, stored=lambda: self.read(spark), status_mode=status_mode
+        )
 
     def read_rejects(self, spark: SparkSession) -> DataFrame:
         return read_rejects(spark, self.rejects_path)

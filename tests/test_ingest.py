@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from accesslens import Filter, LogStore, Registry, SourceTable, start_ingest
 from accesslens.operators import routing
 from accesslens.operators.framing import to_messages
+from accesslens.operators.panel_counts import count_panels
 from accesslens.plans.ingest import accepted, classify, ingest, reject_report, rejected
 from accesslens.plans.registry import AccessLogType
 from accesslens.sources.capture import read_text_capture, stream_capture, stream_text_capture
@@ -417,6 +418,29 @@ def test_dashboard_of_a_store(spark, store):
     assert later["key_figures"].first()["requests"] == 0
 
 
+def test_a_view_scans_its_columns_once(spark, store):
+    store.write_batch(captures(spark, MIXED), mixed_sources(spark), "q", 0)
+    filter = Filter(range="7d", ip="h")
+    covered = filter.apply(store.read(spark), datetime(2026, 6, 12, 10))
+    setting = "spark.sql.maxMetadataStringLength"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "10000")
+    plan = count_panels(covered, filter.time_range)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(setting, before)
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 1 and "Expand" in plan and "partial_count" in plan
+    assert "EqualTo(remote_host,h)" in scans[0]
+    assert scans[0].split("ReadSchema: struct<")[1].rstrip(">") == (
+        "remote_host:string,ts:timestamp_ntz,path:string,status:int,bytes:bigint,event_hour:int"
+    )
+
+
+def test_a_burst_lands_whole(spark, tmp_path, source_table, store):
+    land(spark, tmp_path / "capture", [("10.0.0.1", ACCESS % n) for n in range(500)])
+    run(spark, tmp_path, source_table, store)
+    assert store.read(spark).count() == 500 and store.read_rejects(spark).count() == 0
+
+
 def test_rows_without_event_time_are_stored_under_arrival(spark, tmp_path, store):
     line = b'h - - [?] "GET /1 HTTP/1.1" 200 1'
     store.write_batch(captures(spark, [("10.0.0.1", line)]), mixed_sources(spark), "q", 0)

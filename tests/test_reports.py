@@ -199,6 +199,14 @@ def test_one_pass_equals_panel_by_panel(spark, sf_dir, filter):
         assert apart[panel].dtypes == together[panel].dtypes, panel
 
 
+@pytest.mark.parametrize("view", [dashboard, dashboard_in_one_pass])
+def test_views_of_true_classes(spark, view):
+    rows = access_rows(spark, [(T0, "a", "/", s, 1) for s in (404, 451, 499, 500, 550)])
+    panels = view(rows, Filter(status=4), T0, status_mode="floor")
+    assert plain(panels["statuses"]) == [(4, "4xx", 3, 100)]
+    assert plain(view(rows, Filter(status=4), T0)["statuses"]) == [(4, "4xx", 1, 100)]
+
+
 def test_breakdown_adds_up(spark, sf_dir):
     rows = Filter(range="1y").apply(events_rows(spark, sf_dir), AS_OF)
     total = sum(r["requests"] for r in reports.status_breakdown(rows).collect())
