@@ -86,6 +86,16 @@ class SourceTable:
             raise
 
     def write(self, rows: DataFrame) -> None:
+        """Store a new version. An address must be unique: routing would double its messages."""
+        per_ip = rows.groupBy("ip").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count("name").alias("names"),
+            F.count("log_type").alias("log_types"),
+        )
+        wrong = per_ip.where("ip IS NULL OR rows > 1 OR names < rows OR log_types < rows").head(5)
+        if wrong:
+            listed = ", ".join(str(row["ip"]) for row in wrong)
+            raise ValueError(f"senders listed twice or without ip, name or log type: {listed}")
         taken = self._versions("data") + self._versions("commits")
         version = max(taken, default=0) + 1
         columns = [F.col(f.name).cast(f.dataType) for f in SOURCES.fields]

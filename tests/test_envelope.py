@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from accesslens.operators.framing import decode_datagrams, frame_lines, to_messages
@@ -104,3 +106,35 @@ def test_one_regular_expression_pass(spark):
     frame = to_messages(captures(spark, [("p", b"x")])).where(F.col("source_ip") == "p")
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1
+
+
+_text = st.text(st.characters(codec="utf-8", exclude_categories=("Cs",)), max_size=30).filter(
+    lambda t: not t.startswith(("<", chr(0xFEFF)))
+)
+_word = st.text(st.characters(min_codepoint=33, max_codepoint=126), min_size=1, max_size=8)
+_data = st.lists(
+    st.text(st.characters(codec="utf-8", exclude_categories=("Cs",)), max_size=8), min_size=1, max_size=3
+).map(
+    lambda values: "".join(
+        '[x k="' + "".join(chr(92) + c if c in '"]' + chr(92) else c for c in v) + '"]' for v in values
+    )
+)
+_headers = st.one_of(
+    st.just(("", "")),
+    st.tuples(_word, _word, _word, _word, st.one_of(st.just("-"), _data)).map(
+        lambda w: (f"<13>1 2026-06-12T09:00:00Z {w[0]} {w[1]} {w[2]} {w[3]} {w[4]} ", w[0])
+    ),
+    _word.filter(lambda w: not w.endswith(":")).map(
+        lambda w: (f"<13>Jun 12 09:00:00 {w} apache[1]: ", w)
+    ),
+)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(_headers, _text), min_size=30, max_size=60))
+def test_any_message_comes_back(spark, cases):
+    lines = [(str(n), (header + text).encode()) for n, ((header, _), text) in enumerate(cases)]
+    got = {int(r["source_ip"]): r for r in to_messages(captures(spark, lines)).collect()}
+    for n, ((_, host), text) in enumerate(cases):
+        assert got[n]["raw"] == text
+        assert got[n]["hostname"] == (None if host in ("", "-") else host)

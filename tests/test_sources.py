@@ -156,3 +156,19 @@ def test_routing_is_pinned_per_batch(spark, tmp_path):
     sources.remove("10.0.0.1")
     assert seen("q", 1) == seen("r", 0) == ["10.0.0.1"]
     assert seen("q", 2) == []
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [("a", "A", "t"), ("a", "B", "t")],
+        [(None, "A", "t")],
+        [("a", None, "t")],
+        [("a", "A", None)],
+    ],
+)
+def test_constraints(spark, tmp_path, rows):
+    sources = SourceTable(spark, str(tmp_path / "sources"), ["t"])
+    with pytest.raises(ValueError, match="listed twice or without"):
+        sources.write(table(spark, *[(*row, DAY[0]) for row in rows]))
+    assert sources.read().count() == 0
