@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 _PRI = r"<\d{1,3}>"
 _SD_ELEMENT = r'\[[^"\]]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^"\]]*+)*+\]'
 _RFC5424 = (
-    _PRI + r"\d{1,2} \S++ (\S++) \S++ \S++ \S++ (?:-|(?:" + _SD_ELEMENT + r")++)(?: |$)\x{FEFF}?"
+    _PRI + r"\d{1,2} \S++ (\S++) \S++ \S++ \S++ (?:-|(?:" + _SD_ELEMENT + r")++) ?\x{FEFF}?"
 )
 _BSD_TIME = r"[A-Z][a-z]{2} [ \d]?\d (?:\d{4} )?\d{2}:\d{2}:\d{2} "
 _ISO_TIME = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2}) "

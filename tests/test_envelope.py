@@ -21,6 +21,7 @@ def opened(spark, text):
         ("<134>1 2026-06-12T09:00:00Z web-1 apache 77 - - ", "web-1"),
         ("<134>1 2026-06-12T09:00:00.123+02:00 - - - - - ", None),
         ('<134>1 - web-1 apache 77 ID7 [ex@1 a="1" b="x\\"]y"][z] ', "web-1"),
+        ('<134>1 - web-1 apache 77 ID7 [z k="v"]', "web-1"),
         ("<134>1 - web-1 apache 77 ID7 - \ufeff", "web-1"),
         ("<134>Jun 12 09:00:00 web-1 apache: ", "web-1"),
         ("<134>Jun  2 09:00:00 web-1 apache[77]: ", "web-1"),
