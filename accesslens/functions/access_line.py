@@ -27,7 +27,7 @@ _TIME = (
 )
 _REQUEST = r'"([^" ]*+)(?: ([^" ]*+)(?: ([^"]*+))?+)?+"'
 _GRAMMAR = (
-    r"\s*+(\S++) (\S++) (\S++) \[(?:" + _TIME + r"|[^\]]+)\] " + _REQUEST + r" (\d{3}|-) (\d++|-)"
+    r"\s*+(\S++) (\S++) (\S++) \[(?:" + _TIME + r"|[^\]]++)\] " + _REQUEST + r" (\d{3}|-) (\d++|-)"
     r'(?: "([^"]*+)" "([^"]*+)")?+'
 )
 ACCESS_LINE = "(?U)^(?:" + _GRAMMAR + ")?(?s:.*)$"

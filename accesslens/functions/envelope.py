@@ -21,7 +21,7 @@ _ISO_TIME = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2}
 # A word that ends in ':' is the tag of a sender that leaves the host name out.
 _HOST = r"(?:(\S++)(?<!:) )?+"
 # An IPv6 client address opening the message must not be cut at its first ':' as if it were a tag.
-_NOT_IPV6 = r"(?!(?:[0-9A-Fa-f]*+:){2,}[0-9A-Fa-f.:]*+(?:\s|$))"
+_NOT_IPV6 = r"(?!(?:[0-9A-Fa-f]*+:){2,}+[0-9A-Fa-f.:]*+(?:\s|$))"
 _TAG = _NOT_IPV6 + r"[A-Za-z0-9_./-]++(?:\[[^\]]*+\])?+: ?"
 # Forwarders with RFC 3339 stamps always send a tag, sometimes without its ':'.
 _BARE_TAG = r"[A-Za-z][A-Za-z0-9_-]{0,31} "

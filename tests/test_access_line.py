@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -168,6 +169,14 @@ def test_unicode_space_parts_no_fields(spark):
     assert parse_one(spark, line(host="a\u2003b")) is None
 
 
+@pytest.mark.parametrize("filler", ["a", " ", "a ", "[", "]", '"', '" ', "1", "-", "\\", "/", ":", "[1/Jan/", '"a'])
+@pytest.mark.parametrize("start", ["", "h - - ", "h - - [", 'h - - [x] "', 'h - - [x] "r" 200 1 "'])
+def test_long_hostile_lines_take_linear_time(spark, start, filler):
+    begin = time.monotonic()
+    parse_one(spark, start + filler * (64_000 // len(filler)))
+    assert time.monotonic() - begin < 5
+
+
 def test_long_lines(spark):
     path = "/" + "a" * 64_000
     row = parse_one(spark, line(request=f"GET {path} HTTP/1.1", tail='200 1 "r" "' + "u" * 64_000 + '"'))

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -59,6 +61,15 @@ def test_empty_message(spark):
     assert opened(spark, "<134>1 - h a p m -") == ("h", "")
 
 
+@pytest.mark.parametrize("filler", [":", "a:", "[", "]", '"', "[x ", 'k="v" ', "<1>", " ", "-", chr(92)])
+@pytest.mark.parametrize("header", ["<134>Jun 12 09:00:00 h ", "<134>2026-06-12T09:00:00Z h ", "<134>1 - h a p m "])
+def test_long_hostile_text_is_split_in_linear_time(spark, header, filler):
+    text = header + filler * (64_000 // len(filler))
+    start = time.monotonic()
+    opened(spark, text)
+    assert time.monotonic() - start < 5
+
+
 def test_large_structured_data_does_not_overflow_the_stack(spark):
     data = "".join(f'[id{n} k="{chr(92)}{chr(34)}v" l="]"]' for n in range(3000))
     assert opened(spark, f"<134>1 - h a p m {data} {MSG}") == ("h", MSG)
