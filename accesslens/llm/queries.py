@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_lexicon import build_lexicon, decode, encode, frequent_words, read_vocabulary
 from .common import table
 from .decontamination import find_items
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_boilerplate_lines
+from .mil_quality import held_out, score, train
+from .pii_crf import KINDS, find_personal_data
+from .pii_crf import train as train_field
+from .site_templates import extract_text
 from .sketch_dedup import near_duplicates
 
 
@@ -19,6 +25,52 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("row.doc_id", "text", "n_lines", "n_dropped")
 
 
+def op4_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal_data(docs, train_field(docs))
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of_kind(spans, kind):
+        return F.filter(spans, lambda s: s["kind"] == kind)
+
+    # All spans in the same order: kinds as listed, then start.
+    every = F.concat(*(F.array_sort(of_kind(F.concat("base", "added"), kind)) for kind in KINDS))
+    return found.select(
+        "doc_id",
+        *(F.size(of_kind("base", kind)).cast("bigint").alias(f"n_{kind}") for kind in KINDS),
+        F.sha2(told(F.col("base")), 256).alias("base_sha256"),
+        told(every).alias("spans"),
+        F.size("added").cast("bigint").alias("n_added"),
+    )
+
+
+def op6_bpe_lexicon(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return encoded_digests(docs.select("doc_id", "text"), vocabulary_path).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
+    )
+
+
+def encoded_digests(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
+    """`docs` encoded and decoded, with digests of both instead of the ids and texts themselves."""
+    vocabulary = read_vocabulary(vocabulary_path or public_tokenizers.path("word_bpe_49k.json"))
+    lexicon = build_lexicon(frequent_words(docs, "text", vocabulary), vocabulary)
+    both = decode(encode(docs, vocabulary, lexicon), vocabulary)
+    return both.select(
+        *docs.columns,
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +83,18 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs, model)
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 _SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SQL_WORDS = f"list_filter(regexp_split_to_array({_SQL_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
@@ -82,7 +146,11 @@ FROM t WINDOW w AS (PARTITION BY h)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_site_templates": op4_site_templates,
+    "op5_pii_crf": op5_pii_crf,
+    "op6_bpe_lexicon": op6_bpe_lexicon,
     "op7_decontamination": op7_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_mil_quality": op10_mil_quality,
 }

@@ -12,9 +12,17 @@ from pyspark.sql import functions as F
 from accesslens.llm.common import Settled, settle, table
 from accesslens.llm.decontamination import find_items
 from accesslens.llm.line_dedup import drop_boilerplate_lines
+from accesslens.llm.mil_quality import score, train
+from accesslens.llm.queries import encoded_digests
 from accesslens.llm.sketch_dedup import near_duplicates
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5 by the quality classifier go."""
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")), score_col="_quality")
+    return scored.where(F.col("_quality") >= 0.5).select(*docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go, documents stay: `text` and `n_chars` are those of the cleaned text."""
     cleaned = drop_boilerplate_lines(docs)
@@ -43,10 +51,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")
 
 
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of token ids and decoded text, per document."""
+    return encoded_digests(docs.select("doc_id", "text")).drop("text")
+
+
 STAGES = [
+    ("quality classifier", quality),
     ("line dedup", line_dedup),
     ("MinHash near-dedup", near_dedup),
     ("benchmark decontamination", decontaminate),
+    ("BPE encoding and decoding", encoding),
 ]
 
 #: A trained model takes part, which SQL cannot express; tests compare with a brute-force version.
