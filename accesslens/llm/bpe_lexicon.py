@@ -20,10 +20,13 @@ from collections import Counter
 from functools import lru_cache
 from itertools import chain, pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 #: Words compiled into the automaton, and how often a word must occur to be worth it.
 LEXICON_WORDS = 20_000
@@ -272,19 +275,23 @@ def build_lexicon(words: list[str], vocabulary: str) -> bytes:
 
 def encode(docs: DataFrame, vocabulary: str, lexicon: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """`docs` with `ids_col` ARRAY<INT>: the whole text's token ids. NULL or empty texts have none."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((vocabulary, lexicon))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, lexicon))
 
-    @F.pandas_udf("array<int>")
-    def ids_of(texts: pd.Series) -> pd.Series:
+    def run(batches):
         spec, block = shared.value
         known = _vocabulary(spec)
         encoder = _Encoder(known, _lexicon(block))
-        return pd.Series(
-            [list(chain.from_iterable(map(encoder.__getitem__, known.pieces(t or "")))) for t in texts], dtype=object
-        )
+        for batch in batches:
+            ids, ends = array("i"), [0]
+            for text in batch.column(text_col).to_pylist():
+                ids.extend(chain.from_iterable(map(encoder.__getitem__, known.pieces(text or ""))))
+                ends.append(len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids_col])
 
-    return docs.withColumn(ids_col, ids_of(F.col(text_col).cast("string")))
+    # A map over batches, not a UDF: Spark would run a UDF anew inside each one that reads its ids.
+    schema = StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
+    return docs.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -299,7 +306,7 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str
     def text_of(rows: pd.Series) -> pd.Series:
         tokens = _vocabulary(shared.value).tokens
         return pd.Series(
-            [" ".join([tokens[i] for i in (() if r is None else r.tolist()) if i in tokens]) for r in rows], dtype=object
+            [" ".join([tokens[i] for i in (() if r is None else list(r)) if i in tokens]) for r in rows], dtype=object
         )
 
     return docs.withColumn(text_col, text_of(F.col(ids_col)))
