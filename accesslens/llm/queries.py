@@ -12,12 +12,24 @@ from .bpe_lexicon import build_lexicon, decode, encode, frequent_words, read_voc
 from .common import table
 from .decontamination import find_items
 from .exact_dedup import exact_duplicates
+from .hidden_markov import score_texts
 from .line_dedup import drop_boilerplate_lines
 from .mil_quality import held_out, score, train
 from .pii_crf import KINDS, find_personal_data
 from .pii_crf import train as train_field
 from .site_templates import extract_text
 from .sketch_dedup import near_duplicates
+from .token_counts import token_counts
+
+
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    """Tokens per line of every document; a token across lines goes to the line it begins in."""
+    ranks = read_vocabulary(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +157,8 @@ FROM t WINDOW w AS (PARTITION BY h)
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hidden_markov": op1_hidden_markov,
+    "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op4_site_templates": op4_site_templates,
     "op5_pii_crf": op5_pii_crf,
