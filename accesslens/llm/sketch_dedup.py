@@ -12,8 +12,9 @@ O(t log t + set size) per document instead of O(t * set size).
 3. Buckets that still hold several components are looked at again, with another leader in each,
    then once more for every pair of members of different components. Members that are linked
    already, the bulk of a large group of copies, take no part; no pair is left out but those of
-   one component, pairs whose set sizes rule the similarity out, and pairs with so few equal
-   coordinates that a similarity of 0.8 has odds below one in a million.
+   one component, pairs whose set sizes or numbers of shingles found nowhere else rule the
+   similarity out, and pairs with so few equal coordinates that a similarity of 0.8 has odds below
+   one in a million.
 4. Every link is confirmed by intersecting the two full sets.
 
 With 24 bands of 4 rows, a pair at similarity 0.8 shares no band with odds of 3e-6.
@@ -134,6 +135,35 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _may_share(n_a: Column, own_a: Column, n_b: Column, own_b: Column, percent: int) -> Column:
+    """An upper bound of the similarity: shingles that only one of all candidates has are not shared."""
+    most = F.least(n_a - own_a, n_b - own_b)
+    return most * 100 >= (n_a + n_b - most) * percent
+
+
+def _own_shingles(texts: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(rep, own): how many shingles of each candidate no other candidate has."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(text, k).view(np.int64) for text in batch.column(1).to_pylist()]
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets))
+            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["rep", "shingles"])
+
+    kind = dict(candidates.dtypes)["rep"]
+    mine = texts.join(candidates.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text")
+    sets = mine.mapInArrow(run, f"rep {kind}, shingles ARRAY<BIGINT>")
+    once = (
+        sets.select("rep", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+        .where("rep = last")
+    )
+    return once.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+
+
 def _equal_tags(a: Column, b: Column) -> Column:
     """Coordinates with equal tags: per byte of the difference, its lowest bit gathers all eight."""
     ones = F.lit(0x0101010101010101).cast("bigint")
@@ -221,37 +251,36 @@ def near_duplicates(
         plain.join(buckets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts"
     )
 
-    state = buckets.withColumn("component", F.col("rep"))
-    for order in (F.struct("rep"), F.struct(F.xxhash64("rep", "bucket"), "rep")):
-        leaders = state.groupBy("bucket").agg(
-            F.min(F.struct(order.alias("order"), "rep", "n", "tags", "component")).alias("leader"),
-            F.min("component").alias("least"),
-            F.max("component").alias("most"),
-        ).where("least <> most").select("bucket", "leader")
+    state = buckets.select("*", F.col("rep").alias("component"), F.lit(0).cast("bigint").alias("own"))
+    # First the smallest class leads every bucket, which proposes few different pairs; then any.
+    for order in (F.col("rep"), F.xxhash64("rep", "bucket")):
         lead = F.col("leader")
+        leaders = (
+            state.groupBy("bucket")
+            .agg(
+                F.min_by(F.struct("rep", "n", "own", "tags", "component"), F.struct(order.alias("order"), "rep")).alias("leader"),
+                F.min("component").alias("least"),
+                F.max("component").alias("most"),
+            )
+            .where("least <> most")
+            .select("bucket", "leader")
+        )
         pairs = (
             state.join(leaders, "bucket")
             .where(
                 (F.col("component") != lead["component"])
                 & _similar_sizes(F.col("n"), lead["n"], percent)
+                & _may_share(F.col("n"), F.col("own"), lead["n"], lead["own"], percent)
                 & (_equal_tags(F.col("tags"), lead["tags"]) >= FEWEST_EQUAL)
             )
             .select(F.col("rep").alias("a"), lead["rep"].alias("b"))
             .distinct()
         )
-        links = settle(_verified(pairs, texts, k, percent), "verified")
-        edges = edges.union(links)
-        state = _with_component(buckets, edges)
+        edges = edges.union(settle(_verified(pairs, texts, k, percent), "verified"))
+        state = _mixed(state, edges, texts, k)
 
     # What is left: members of different components that share a bucket.
-    mixed = (
-        state.groupBy("bucket")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .where("least <> most")
-        .select("bucket")
-    )
-    open_ = settle(state.join(mixed, "bucket"), "mixed")
-    a, b = open_.alias("a"), open_.alias("b")
+    a, b = state.alias("a"), state.alias("b")
     rest = (
         a.join(
             b,
@@ -259,6 +288,7 @@ def near_duplicates(
             & (F.col("a.rep") < F.col("b.rep"))
             & (F.col("a.component") != F.col("b.component"))
             & _similar_sizes(F.col("a.n"), F.col("b.n"), percent)
+            & _may_share(F.col("a.n"), F.col("a.own"), F.col("b.n"), F.col("b.own"), percent)
             & (_equal_tags(F.col("a.tags"), F.col("b.tags")) >= FEWEST_EQUAL),
         )
         .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
@@ -277,14 +307,25 @@ def near_duplicates(
     )
 
 
-def _with_component(buckets: DataFrame, edges: DataFrame) -> DataFrame:
+def _mixed(state: DataFrame, edges: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Members of buckets that still hold several components, with `component` and `own` brought up to date."""
     found = components(edges)
-    return settle(
-        buckets.join(found, F.col("rep") == F.col("member"), "left")
+    now = settle(
+        state.drop("component", "own")
+        .join(found, F.col("rep") == F.col("member"), "left")
         .withColumn("component", F.coalesce("component", "rep"))
         .drop("member"),
         "state",
     )
+    several = (
+        now.groupBy("bucket")
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        .where("least <> most")
+        .select("bucket")
+    )
+    open_ = settle(now.join(several, "bucket"), "mixed")
+    own = _own_shingles(texts, open_, k)
+    return settle(open_.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))), "state")
 
 
 def _arrow_type(spark, frame: DataFrame) -> pa.DataType:
