@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from .common import most_frequent, settle
+
 #: Words compiled into the automaton, and how often a word must occur to be worth it.
 LEXICON_WORDS = 20_000
 MIN_COUNT = 2
@@ -262,10 +264,10 @@ def word_counts(docs: DataFrame, text_col: str, vocabulary: str) -> DataFrame:
 def frequent_words(
     docs: DataFrame, text_col: str, vocabulary: str, size: int = LEXICON_WORDS, min_count: int = MIN_COUNT
 ) -> list[str]:
-    """The `size` most frequent words of at most 64 characters; ties go to the smaller word."""
-    counts = word_counts(docs, text_col, vocabulary)
-    top = counts.where((F.col("n") >= min_count) & (F.char_length("word") <= 64))
-    return [row["word"] for row in top.orderBy(F.desc("n"), "word").limit(size).collect()]
+    """The most frequent words of at most 64 characters, at most `size` of them."""
+    counts = settle(word_counts(docs, text_col, vocabulary), "word-counts")
+    usable = counts.where((F.col("n") >= min_count) & (F.char_length("word") <= 64))
+    return [word for word, _ in most_frequent(usable, size)]
 
 
 def build_lexicon(words: list[str], vocabulary: str) -> bytes:

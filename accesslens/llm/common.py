@@ -69,3 +69,28 @@ def join_by_group(
     salted = rows.withColumn("_salt", F.pmod(spread(), F.lit(salts)).cast("int"))
     copies = groups.frame.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
+def most_frequent(counts: DataFrame, size: int) -> list[tuple[bytes | str, int]]:
+    """(word, n) of the most frequent words, at most `size`, most frequent first, ties by word.
+
+    All words above a count or none: the count is found from a histogram of bounded size, so that
+    no task sends more than its share of the result (a sorted limit would send `size` per task).
+    """
+    level = F.when(F.col("n") < 1024, F.col("n").cast("double")).otherwise(F.floor(F.log2("n") * 64) * 1.0 + 1024)
+    histogram = (
+        counts.groupBy(level.alias("level"))
+        .agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"))
+        .orderBy(F.desc("least"))
+        .collect()
+    )
+    held, threshold = 0, None
+    for row in histogram:
+        held += row["words"]
+        if held > size:
+            break
+        threshold = row["least"]
+    if threshold is None:
+        return []
+    rows = counts.where(F.col("n") >= threshold).select("word", "n").collect()
+    return sorted(((row["word"], row["n"]) for row in rows), key=lambda x: (-x[1], x[0]))

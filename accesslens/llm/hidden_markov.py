@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import settle
+from .common import most_frequent, settle
 
 STATES = 8
 #: Words with a class of their own, classes shared by the others, words resolved without a join.
-OWN_CLASSES, SHARED_CLASSES, RESOLVED_WORDS = 1024, 1024, 200_000
+OWN_CLASSES, SHARED_CLASSES, RESOLVED_WORDS = 1024, 1024, 65_536
 #: Baum-Welch rounds on a bounded sample, to find a start, then over all training documents.
 START_DOCS, START_ROUNDS, ROUNDS = 1000, 12, 2
 
@@ -91,8 +91,7 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, documents: int) -> Lexicon:
-    top = counts.orderBy(F.desc("n"), "word").limit(RESOLVED_WORDS).collect()
-    frequent = {bytes(row["word"]): row["n"] for row in top}
+    frequent = {bytes(word): n for word, n in most_frequent(counts, RESOLVED_WORDS)}
     own = {word: i for i, word in zip(range(OWN_CLASSES), frequent, strict=False)}
 
     def run(batches):
@@ -133,7 +132,8 @@ def code(texts: DataFrame, known: Lexicon) -> DataFrame:
         class_of: dict[bytes, int] = {}
         end_log = float(np.log10(lex.documents + 0.5))
         for batch in batches:
-            n, seen, sums, totals, classes, rare = [], [], [], [], [], []
+            n, seen, sums, totals, classes = [], [], [], [], []
+            rare, rare_counts, ends = [], [], [0]
             for text in batch.column(3).to_pylist():
                 words = words_of(text)
                 if len(class_of) > _WORDS_HELD:
@@ -145,17 +145,20 @@ def code(texts: DataFrame, known: Lexicon) -> DataFrame:
                 ids[:-1] = list(map(class_of.__getitem__, words))
                 ids[-1] = _END
                 found = [x for x in map(logs.get, words) if x is not None]
-                others = Counter(w for w in words if w not in logs) if len(found) < len(words) else {}
+                others = Counter(w for w in words if w not in logs) if len(found) < len(words) else Counter()
                 n.append(len(ids))
                 seen.append(len(found) + (lex.documents > 0))
                 sums.append(sum(found) + end_log)
                 totals.append(float(lex.class_total[ids].sum()))
                 classes.append(ids.tobytes())
-                rare.append([{"word": w, "n": c} for w, c in others.items()])
+                rare.extend(others)
+                rare_counts.extend(others.values())
+                ends.append(len(rare))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
             columns = [*batch.columns[:3]]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(),
-                     pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))
-            columns += [pa.array(c, k) for c, k in zip((n, seen, sums, totals, classes, rare), kinds, strict=True)]
+            columns += [pa.array(c, k) for c, k in zip((n, seen, sums, totals, classes), kinds, strict=True)]
+            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(rare_counts, pa.int32())], ["word", "n"])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
             yield pa.RecordBatch.from_arrays(
                 columns, names=["row", "doc_id", "held_out", "n_tokens", "known", "log_counts", "log_totals", "classes", "rare"]
             )
@@ -260,10 +263,13 @@ def _sequences(column) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint16).astype(np.int64) for b in column.to_pylist()]
 
 
-def train(coded: DataFrame, rounds: int = ROUNDS) -> Model:
+def train(coded: DataFrame, documents: int, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all training documents, started from a model of a bounded sample of them."""
     training = coded.where("NOT held_out")
-    sample = training.select("classes").orderBy(F.xxhash64("classes"), "classes").limit(START_DOCS).collect()
+    # About START_DOCS documents by a hash of their rows, and never more than twice as many.
+    share = F.lit(int(2**30 * min(1.0, START_DOCS / max(1, documents))))
+    chosen = training.where(F.pmod(F.xxhash64("row"), F.lit(2**30)) < share)
+    sample = chosen.select("classes").limit(2 * START_DOCS).collect()
     texts = [np.frombuffer(bytes(r["classes"]), np.uint16).astype(np.int64) for r in sample]
     model = Model.random()
     for _ in range(START_ROUNDS if texts else 0):
@@ -306,7 +312,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = settle(word_counts(texts), "word-counts")
     known = lexicon(counts, texts.where("NOT held_out").count())
     coded = settle(code(texts, known), "coded")
-    model = train(coded, rounds)
+    model = train(coded, known.documents, rounds)
 
     rare = (
         coded.select("row", F.explode("rare").alias("r"))
