@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .functions.times import utc_now
 from .operators.filters import DEFAULT_RANGE, RANGES, Filter
@@ -51,6 +51,13 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def _print(frame: DataFrame) -> None:
+    """Every row, tab-separated, fetched one partition at a time."""
+    print(*frame.columns, sep="\t")
+    for row in frame.toLocalIterator():
+        print(*row, sep="\t")
+
+
 def run(spark: SparkSession, options: argparse.Namespace) -> None:
     store = LogStore(options.store.rstrip("/"))
     sources = SourceTable(spark, f"{store.root}/sources", store.registry.names())
@@ -68,12 +75,12 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
         panels = store.dashboard(spark, filter, options.as_of or utc_now())
         for name, panel in panels.items():
             print(f"{name} ({filter.range_label})")
-            panel.show(1000, truncate=False)
+            _print(panel)
     elif options.command == "recent":
         for row in recent_json(store.read(spark)).collect():
             print(row["json"])
     elif options.command == "sources":
-        list_sources(sources.read()).show(10_000, truncate=False)
+        _print(list_sources(sources.read()))
     elif options.command == "add-source":
         sources.add(options.name, options.ip, options.log_type)
     elif options.command == "remove-source":

@@ -19,6 +19,18 @@ def status_class(status: Column, mode: str = "rounded") -> Column:
     raise ValueError(f"unknown status class mode {mode!r}")
 
 
+def in_status_class(status: Column, klass: int, mode: str = "rounded") -> Column:
+    """`status_class(status) == klass` as a range on the bare column, which reaches the scan."""
+    first = 100 * klass
+    if mode == "floor":
+        return (status >= first) & (status <= first + 99)
+    if mode != "rounded":
+        raise ValueError(f"unknown status class mode {mode!r}")
+    if klass % 2 == 0:  # both halves round to the even class
+        return (status >= first - 50) & (status <= first + 50)
+    return (status > first - 50) & (status < first + 50)
+
+
 def class_label(klass: Column) -> Column:
     return F.concat(klass.cast("string"), F.lit("xx"))
 

@@ -11,7 +11,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.status import status_class
+from ..functions.status import in_status_class
 from ..functions.times import (
     bucket_5_minutes,
     bucket_day,
@@ -117,7 +117,7 @@ class Filter:
         if self.path is not None:
             conditions.append(F.col("path") == F.lit(self.path))
         if self.status is not None:
-            conditions.append(status_class(F.col("status"), status_mode) == F.lit(self.status))
+            conditions.append(in_status_class(F.col("status"), self.status, status_mode))
         return conditions
 
     def apply(

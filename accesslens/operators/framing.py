@@ -15,11 +15,14 @@ def decode_datagrams(capture: DataFrame) -> DataFrame:
 
 
 def frame_lines(capture: DataFrame) -> DataFrame:
-    """Each payload is a run of lines ending in LF or CRLF; what follows the last one counts if not empty."""
+    """Each payload is a run of lines ending in LF or CRLF; what follows the last one counts if not empty.
+
+    A NULL payload is one NULL line, so that it is rejected and counted like a NULL datagram.
+    """
     lines = F.split(decode_utf8(F.col("payload")), r"\r?\n", -1)
     kept = F.when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, 1, F.size(lines) - 1))
     return capture.select(
-        "peer_ip", "received_at", F.explode(kept.otherwise(lines)).alias("line")
+        "peer_ip", "received_at", F.explode_outer(kept.otherwise(lines)).alias("line")
     )
 
 

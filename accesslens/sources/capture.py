@@ -31,7 +31,7 @@ def _from_text(rows: DataFrame) -> DataFrame:
         F.col("peer_ip").cast("string").alias("peer_ip"),
         utc_ntz(F.col("_metadata.file_modification_time")).alias("received_at"),
         # lineSep is '\n', so a CRLF sender leaves its '\r' behind.
-        F.regexp_replace("value", r"\r$", "").cast("binary").alias("payload"),
+        F.regexp_replace("value", r"\r\z", "").cast("binary").alias("payload"),
     )
 
 

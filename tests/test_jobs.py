@@ -33,3 +33,10 @@ def test_from_source_to_report(spark, tmp_path, capsys):
 def test_wrong_source(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown log type"):
         job(spark, tmp_path, "add-source", "n", "10.0.0.1", "mailer")
+
+
+def test_every_row_is_printed(spark, capsys):
+    from accesslens.__main__ import _print
+
+    _print(spark.range(10_500))
+    assert capsys.readouterr().out.split() == ["id", *map(str, range(10_500))]

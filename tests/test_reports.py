@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from accesslens import Filter, dashboard, dashboard_in_one_pass
 from accesslens.catalogue import AS_OF, access_rows as events_rows
-from accesslens.functions.status import status_class
+from accesslens.functions.status import in_status_class, status_class
 from accesslens.functions.text import one_decimal, readable_bytes, trim_whitespace
 from accesslens.functions.times import (
     bucket_5_minutes,
@@ -231,3 +231,11 @@ def test_rows_without_a_time_count_only_outside_windows(spark):
     text = 'h - - [no time] "GET / HTTP/1.1" 200 1'
     row = parse(spark, text)[text]
     assert row["ts"] is None and row["status"] == 200
+
+
+@pytest.mark.parametrize("mode", ["rounded", "floor"])
+def test_status_class_as_a_range(spark, mode):
+    codes = spark.range(-60, 1000).select(F.col("id").cast("int").alias("status"))
+    for klass in range(0, 10):
+        same = in_status_class(F.col("status"), klass, mode) == (status_class(F.col("status"), mode) == klass)
+        assert codes.where(~same).count() == 0
