@@ -14,7 +14,8 @@ O(t log t + set size) per document instead of O(t * set size).
    already, the bulk of a large group of copies, take no part; no pair is left out but those of
    one component, pairs whose set sizes or numbers of shingles found nowhere else rule the
    similarity out, and pairs with so few equal coordinates that a similarity of 0.8 has odds below
-   one in a million.
+   one in a million. What is left after the first look is told apart by a second sketch of 1,024
+   coordinates, one bit each, and a pair is made in the first of the buckets it shares only.
 4. Every link is confirmed by intersecting the two full sets.
 
 With 24 bands of 4 rows, a pair at similarity 0.8 shares no band with odds of 3e-6.
@@ -37,6 +38,11 @@ COORDINATES = BANDS * ROWS
 FEWEST_EQUAL = 53
 _TAGS = COORDINATES // 8  # longs that hold one byte per coordinate
 
+#: The second sketch, one bit per coordinate: a pair of similarity s agrees in (1 + s) / 2 of them.
+FINE = 1024
+#: Equal bits (of 1,024) below which a pair at the threshold is ruled out: odds of 5e-7.
+FEWEST_FINE = 872
+
 _U = np.uint64
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], _U)
 
@@ -48,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=_U) * _WEIGHTS[0])
+_SEEDS = mix(np.arange(1, 2 * FINE + 1, dtype=_U) * _WEIGHTS[0])
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -65,11 +71,23 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(shingles)
 
 
+def set_digest(elements: np.ndarray) -> bytes:
+    """128 bits that tell shingle sets apart."""
+    with np.errstate(over="ignore"):
+        sums = [int(mix(elements ^ w).sum(dtype=_U)) for w in _WEIGHTS[:2]]
+    return b"".join(s.to_bytes(8, "little") for s in sums)
+
+
+def _key() -> Column:
+    """A long in place of the digest: with the class' identifier it names the class."""
+    return F.xxhash64("digest").alias("key")
+
+
 def sketch(elements: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     """`t` coordinates of a non-empty set. Rounds run in blocks; the first to fill a bin wins it."""
     filled = np.zeros(t, bool)
     out = np.zeros(t, _U)
-    at, block = 0, max(1, 512 // len(elements))
+    at, block = 0, max(1, 6 * t // len(elements))
     while not filled.all():
         rounds = np.arange(at, min(at + block, 2 * t))
         h = mix(elements[None, :] ^ _SEEDS[rounds][:, None])
@@ -110,9 +128,7 @@ def _sketch_batches(k: int, id_field: pa.Field):
             for i, text in enumerate(batch.column(1).to_pylist()):
                 elements = shingle_set(text, k)
                 n.append(len(elements))
-                with np.errstate(over="ignore"):
-                    sums = [int(mix(elements ^ w).sum(dtype=_U)) for w in _WEIGHTS[:2]]
-                digests.append(b"".join(s.to_bytes(8, "little") for s in sums))
+                digests.append(set_digest(elements))
                 if len(elements):
                     sketches.append(sketch(elements))
                     at.append(i)
@@ -141,27 +157,61 @@ def _may_share(n_a: Column, own_a: Column, n_b: Column, own_b: Column, percent:
     return most * 100 >= (n_a + n_b - most) * percent
 
 
+def _candidate_texts(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    ids = candidates.select(F.col("rep").alias("id")).distinct()
+    return texts.join(ids, "id", "left_semi").select("id", "text")
+
+
 def _own_shingles(texts: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(rep, own): how many shingles of each candidate no other candidate has."""
+    """(rep, key, own): how many shingles of each candidate no other candidate has."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(text, k).view(np.int64) for text in batch.column(1).to_pylist()]
+            sets = [shingle_set(text, k) for text in batch.column(1).to_pylist()]
             lists = pa.ListArray.from_arrays(
-                pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets))
+                pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64))
             )
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["rep", "shingles"])
+            digests = pa.array(map(set_digest, sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, lists], names=["rep", "digest", "shingles"])
 
     kind = dict(candidates.dtypes)["rep"]
-    mine = texts.join(candidates.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text")
-    sets = mine.mapInArrow(run, f"rep {kind}, shingles ARRAY<BIGINT>")
+    sets = _candidate_texts(texts, candidates).mapInArrow(run, f"rep {kind}, digest BINARY, shingles ARRAY<BIGINT>")
     once = (
-        sets.select("rep", F.explode("shingles").alias("shingle"))
+        sets.select("rep", _key(), F.explode("shingles").alias("shingle"))
         .groupBy("shingle")
-        .agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
-        .where("rep = last")
+        .agg(
+            F.min("rep").alias("rep"), F.max("rep").alias("last"),
+            F.min("key").alias("key"), F.max("key").alias("last_key"),
+        )
+        .where("rep = last AND key = last_key")
     )
-    return once.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    return once.groupBy("rep", "key").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _fine_sketches(texts: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(rep, key, fine): the second sketch of each candidate, 64 coordinates a long."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(text, k) for text in batch.column(1).to_pylist()]
+            fine = [
+                np.packbits((sketch(one, FINE) & _U(1)).astype(bool)).view(np.int64) if len(one) else None
+                for one in sets
+            ]
+            columns = [pa.array(map(set_digest, sets), pa.binary()), pa.array(fine, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["rep", "digest", "fine"])
+
+    kind = dict(candidates.dtypes)["rep"]
+    made = _candidate_texts(texts, candidates).mapInArrow(run, f"rep {kind}, digest BINARY, fine ARRAY<BIGINT>")
+    return made.groupBy("rep", _key()).agg(F.first("fine").alias("fine"))
+
+
+def _fine_enough(a: Column, b: Column) -> Column:
+    """Whether the second sketches allow the similarity; those not made yet allow all."""
+    differing = F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0))))
+    for i in range(1, FINE // 64):
+        differing = differing + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    return F.coalesce(differing <= FINE - FEWEST_FINE, F.lit(True))
 
 
 def _equal_tags(a: Column, b: Column) -> Column:
@@ -244,21 +294,26 @@ def near_duplicates(
     edges = settle(same.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")), "copies")
 
     # Buckets of one class propose nothing; the others are written once for all rounds.
-    members = classes.select("rep", "n", "tags", F.explode("bands").alias("bucket"))
+    members = classes.select("rep", _key(), "n", "tags", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     buckets = settle(members.join(shared, "bucket"), "buckets")
     texts = settle(
         plain.join(buckets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts"
     )
 
-    state = buckets.select("*", F.col("rep").alias("component"), F.lit(0).cast("bigint").alias("own"))
+    state = buckets.select(
+        "*",
+        F.col("rep").alias("component"),
+        F.lit(0).cast("bigint").alias("own"),
+        F.lit(None).cast("array<bigint>").alias("fine"),
+    )
     # First the smallest class leads every bucket, which proposes few different pairs; then any.
     for order in (F.col("rep"), F.xxhash64("rep", "bucket")):
         lead = F.col("leader")
         leaders = (
             state.groupBy("bucket")
             .agg(
-                F.min_by(F.struct("rep", "n", "own", "tags", "component"), F.struct(order.alias("order"), "rep")).alias("leader"),
+                F.min_by(F.struct("rep", "n", "own", "tags", "fine", "component"), F.struct(order.alias("order"), "rep")).alias("leader"),
                 F.min("component").alias("least"),
                 F.max("component").alias("most"),
             )
@@ -272,6 +327,7 @@ def near_duplicates(
                 & _similar_sizes(F.col("n"), lead["n"], percent)
                 & _may_share(F.col("n"), F.col("own"), lead["n"], lead["own"], percent)
                 & (_equal_tags(F.col("tags"), lead["tags"]) >= FEWEST_EQUAL)
+                & _fine_enough(F.col("fine"), lead["fine"])
             )
             .select(F.col("rep").alias("a"), lead["rep"].alias("b"))
             .distinct()
@@ -279,8 +335,11 @@ def near_duplicates(
         edges = edges.union(settle(_verified(pairs, texts, k, percent), "verified"))
         state = _mixed(state, edges, texts, k)
 
-    # What is left: members of different components that share a bucket.
+    # What is left: members of different components that share a bucket, each pair in the first one.
+    # That bucket is still there: it has held both of their components all the time.
+    state = state.join(classes.select("rep", _key(), "bands"), ["rep", "key"])
     a, b = state.alias("a"), state.alias("b")
+    first_shared = F.get(F.array_intersect("a.bands", "b.bands"), F.lit(0))
     rest = (
         a.join(
             b,
@@ -289,7 +348,9 @@ def near_duplicates(
             & (F.col("a.component") != F.col("b.component"))
             & _similar_sizes(F.col("a.n"), F.col("b.n"), percent)
             & _may_share(F.col("a.n"), F.col("a.own"), F.col("b.n"), F.col("b.own"), percent)
-            & (_equal_tags(F.col("a.tags"), F.col("b.tags")) >= FEWEST_EQUAL),
+            & (_equal_tags(F.col("a.tags"), F.col("b.tags")) >= FEWEST_EQUAL)
+            & _fine_enough(F.col("a.fine"), F.col("b.fine"))
+            & (F.col("a.bucket") == first_shared),
         )
         .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
         .distinct()
@@ -308,10 +369,10 @@ def near_duplicates(
 
 
 def _mixed(state: DataFrame, edges: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Members of buckets that still hold several components, with `component` and `own` brought up to date."""
+    """Members of buckets that still hold several components, with `component`, `own`, `fine` brought up to date."""
     found = components(edges)
     now = settle(
-        state.drop("component", "own")
+        state.drop("component", "own", "fine")
         .join(found, F.col("rep") == F.col("member"), "left")
         .withColumn("component", F.coalesce("component", "rep"))
         .drop("member"),
@@ -324,8 +385,9 @@ def _mixed(state: DataFrame, edges: DataFrame, texts: DataFrame, k: int) -> Data
         .select("bucket")
     )
     open_ = settle(now.join(several, "bucket"), "mixed")
-    own = _own_shingles(texts, open_, k)
-    return settle(open_.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))), "state")
+    own, fine = _own_shingles(texts, open_, k), _fine_sketches(texts, open_, k)
+    told = open_.join(own, ["rep", "key"], "left").join(fine, ["rep", "key"], "left")
+    return settle(told.withColumn("own", F.coalesce("own", F.lit(0))), "state")
 
 
 def _arrow_type(spark, frame: DataFrame) -> pa.DataType:

@@ -79,6 +79,38 @@ def test_near_duplicates_agree_with_brute_force(spark):
     assert got == component | {None: None}
 
 
+def test_near_duplicates_of_unlike_copies_and_repeated_identifiers(spark):
+    """A group most of whose pairs are just below the threshold, and one identifier with two texts."""
+    random = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for at in random.choice(150, random.integers(1, 8), replace=False):
+            own[at] = f"edit{random.integers(0, 4)}at{at}"
+        rows.append((i % 140, " ".join(own), "c"))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, rows), k=4).collect()}
+    sets = [(i, set(shingle_set(t.encode(), 4).tolist())) for i, t, _ in rows]
+    component = {i: i for i, _ in sets}
+    links = [(i, j) for i, a in sets for j, b in sets if i < j and 100 * len(a & b) >= 80 * len(a | b)]
+    before = None
+    while before != component:
+        before = dict(component)
+        for i, j in links:
+            component[i] = component[j] = min(component[i], component[j])
+    assert 1 < len(set(component.values())) < 140
+    assert got == component
+
+
+def test_fine_sketch_bits_agree_as_often_as_expected():
+    random = np.random.default_rng(2)
+    both = random.integers(0, 2**63, 1100).astype(np.uint64)
+    for shared in (600, 900):  # of 1,000 and 1,000 + (1,000 - shared) more
+        one, two = both[:shared + 100], np.concatenate([both[:shared], both[-100:]])
+        equal = ((sketch(one, 1024) & np.uint64(1)) == (sketch(two, 1024) & np.uint64(1))).mean()
+        assert abs(equal - (1 + shared / (shared + 200)) / 2) < 0.06
+
+
 def test_sketch_estimates_similarity_for_sets_of_any_size():
     random = np.random.default_rng(1)
     for size in (1, 3, 40, 2000):
