@@ -30,7 +30,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     ingest.add_argument("--format", choices=[*_READERS, "kafka"], default="parquet")
     ingest.add_argument("--topic", help="topic for --format kafka")
     ingest.add_argument("--framing", choices=sorted(FRAMINGS), default="datagrams")
-    ingest.add_argument("--max-per-batch", type=int, help="files, or offsets, per micro-batch")
+    ingest.add_argument("--max-per-batch", type=int, help="files, or offsets, per micro-batch (bounded by default)")
     ingest.add_argument("--every", default="1 minute", help="trigger interval")
     ingest.add_argument("--once", action="store_true", help="take in what is there and stop")
 
@@ -62,10 +62,11 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
     store = LogStore(options.store.rstrip("/"))
     sources = SourceTable(spark, f"{store.root}/sources", store.registry.names())
     if options.command == "ingest":
+        limit = () if options.max_per_batch is None else (options.max_per_batch,)
         if options.format == "kafka":
-            capture = stream_bus_capture(spark, options.capture, options.topic, options.max_per_batch)
+            capture = stream_bus_capture(spark, options.capture, options.topic, *limit)
         else:
-            capture = _READERS[options.format](spark, options.capture, options.max_per_batch)
+            capture = _READERS[options.format](spark, options.capture, *limit)
         trigger = {"availableNow": True} if options.once else {"processingTime": options.every}
         start_ingest(
             capture, sources, store, f"{store.root}/checkpoint", options.framing, trigger=trigger

@@ -20,11 +20,13 @@ _BSD_TIME = r"[A-Z][a-z]{2} [ \d]?\d (?:\d{4} )?\d{2}:\d{2}:\d{2} "
 _ISO_TIME = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2}) "
 # A word that ends in ':' is the tag of a sender that leaves the host name out.
 _HOST = r"(?:(\S++)(?<!:) )?+"
-# An IPv6 client address opening the message must not be cut at its first ':' as if it were a tag.
+# An IPv6 client address opening the message must not be cut at its first ':' as if it were a tag;
+# nor a client with its port, which two more words and '[' follow.
 _NOT_IPV6 = r"(?!(?:[0-9A-Fa-f]*+:){2,}+[0-9A-Fa-f.:]*+(?:\s|$))"
-_TAG = _NOT_IPV6 + r"[A-Za-z0-9_./-]++(?:\[[^\]]*+\])?+: ?"
-# Forwarders with RFC 3339 stamps always send a tag, sometimes without its ':'.
-_BARE_TAG = r"[A-Za-z][A-Za-z0-9_-]{0,31} "
+_TAG = _NOT_IPV6 + r"[A-Za-z0-9_./-]++(?:\[[^\]]*+\])?+:(?!\d{1,5} \S++ \S++ \[) ?"
+# Forwarders with RFC 3339 stamps always send a tag, sometimes without its ':'. RFC 3164 allows it 32
+# characters. A word that opens an access line itself (two words and '[' follow) is a client.
+_BARE_TAG = r"[A-Za-z][A-Za-z0-9_-]{0,31} (?!\S++ \S++ \[)"
 _RFC3164 = (
     _PRI + " ?(?:" + _BSD_TIME + _HOST + "(?:" + _TAG + ")?"
     "|" + _ISO_TIME + _HOST + "(?:" + _TAG + "|" + _BARE_TAG + ")?)"

@@ -21,9 +21,9 @@ def frame_lines(capture: DataFrame) -> DataFrame:
     """
     lines = F.split(decode_utf8(F.col("payload")), r"\r?\n", -1)
     kept = F.when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, 1, F.size(lines) - 1))
-    return capture.select(
-        "peer_ip", "received_at", F.explode_outer(kept.otherwise(lines)).alias("line")
-    )
+    # Not explode_outer, which would turn an empty payload into a NULL line as well.
+    told = F.coalesce(kept.otherwise(lines), F.array(F.lit(None).cast("string")))
+    return capture.select("peer_ip", "received_at", F.explode(told).alias("line"))
 
 
 def open_envelopes(lines: DataFrame) -> DataFrame:

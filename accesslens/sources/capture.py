@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 from ..functions.times import utc_ntz
 from ..schema import CAPTURE
 
+#: Files, and offsets of a bus, that one micro-batch takes unless told otherwise; the rest waits.
+FILES_PER_BATCH = 1_000
+OFFSETS_PER_BATCH = 50_000_000
+
 
 def read_capture(spark: SparkSession, path: str) -> DataFrame:
     """Capture rows landed as parquet."""
     return spark.read.schema(CAPTURE).parquet(path)
 
 
-def stream_capture(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def stream_capture(spark: SparkSession, path: str, max_files: int = FILES_PER_BATCH) -> DataFrame:
     """The same as a stream. `max_files` bounds a micro-batch; the backlog waits, none is shed."""
-    reader = spark.readStream.schema(CAPTURE)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return spark.readStream.schema(CAPTURE).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def _from_text(rows: DataFrame) -> DataFrame:
@@ -47,10 +48,8 @@ def read_text_capture(spark: SparkSession, path: str) -> DataFrame:
     return _from_text(spark.read.schema(_TEXT_SCHEMA).option("lineSep", "\n").text(path))
 
 
-def stream_text_capture(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(_TEXT_SCHEMA).option("lineSep", "\n")
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+def stream_text_capture(spark: SparkSession, path: str, max_files: int = FILES_PER_BATCH) -> DataFrame:
+    reader = spark.readStream.schema(_TEXT_SCHEMA).option("lineSep", "\n").option("maxFilesPerTrigger", max_files)
     return _from_text(reader.text(path))
 
 
@@ -64,7 +63,7 @@ def from_bus(records: DataFrame) -> DataFrame:
 
 
 def stream_bus_capture(
-    spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None
+    spark: SparkSession, servers: str, topic: str, max_offsets: int = OFFSETS_PER_BATCH
 ) -> DataFrame:
     """A Kafka topic as a capture stream. Needs Spark's Kafka package on the class path."""
     reader = (
@@ -72,7 +71,6 @@ def stream_bus_capture(
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
+        .option("maxOffsetsPerTrigger", max_offsets)
     )
-    if max_offsets is not None:
-        reader = reader.option("maxOffsetsPerTrigger", max_offsets)
     return from_bus(reader.load())

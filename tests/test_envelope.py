@@ -48,6 +48,14 @@ def test_ipv6_client_is_no_tag(spark):
     assert opened(spark, "<134>Jun 12 09:00:00 web-1 apache: " + message) == ("web-1", message)
 
 
+@pytest.mark.parametrize("client", ["localhost", "10.0.0.1:54321", "web.example:8080"])
+@pytest.mark.parametrize("stamp", ["Jun 12 09:00:00", "2026-06-12T09:00:00Z"])
+@pytest.mark.parametrize("tag", ["", "apache: "])
+def test_client_names_and_ports_are_no_tag(spark, client, stamp, tag):
+    line = MSG.replace("1.2.3.4", client)
+    assert opened(spark, f"<134>{stamp} web-1 {tag}{line}") == ("web-1", line)
+
+
 @pytest.mark.parametrize("text", ["<134>", "<134>hello", "<x>1 - - - - - - m", "", " lead", "a\nb"])
 def test_other_text_is_all_message(spark, text):
     assert opened(spark, text) == (None, text)
@@ -110,6 +118,11 @@ def test_framing(spark, payload, lines):
     assert [r["line"] for r in rows] == lines
 
 
+def test_null_payload_is_one_null_line(spark):
+    rows = captures(spark, [("p", None), ("q", b"")])
+    assert [(r["peer_ip"], r["line"]) for r in frame_lines(rows).collect()] == [("p", None)]
+
+
 def test_datagram_keeps_line_breaks(spark):
     rows = decode_datagrams(captures(spark, [("p", b"a\nb\n")])).collect()
     assert [r["line"] for r in rows] == ["a\nb\n"]
