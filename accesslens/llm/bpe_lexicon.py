@@ -34,7 +34,7 @@ from .common import most_frequent, settle
 LEXICON_WORDS = 20_000
 MIN_COUNT = 2
 #: Distinct words a task remembers or counts before it starts anew.
-_WORDS_HELD = 200_000
+_WORDS_HELD = 400_000
 
 
 def _byte_characters() -> list[str]:
@@ -53,7 +53,10 @@ class Vocabulary:
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         pairs = (tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
+        # (left id, right id) -> rank; rank -> id of the two together.
+        known = [(left, right) for left, right in pairs if {left, right, left + right} <= self.ids.keys()]
+        self.ranks = {(self.ids[left], self.ids[right]): rank for rank, (left, right) in enumerate(known)}
+        self.joined = [self.ids[left + right] for left, right in known]
         self.end = model["end_of_word_suffix"] or ""
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.specials.items()}
@@ -61,7 +64,15 @@ class Vocabulary:
         self.words = regex.compile(pattern["pattern"]["Regex"])
         marks = sorted(self.specials, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
-        self.byte = _byte_characters()
+        self.parts_at_spaces = not any(" " in mark for mark in marks)
+        # Ids of single bytes, within and at the end of a word. Bytes outside the vocabulary have no id
+        # and merge with nothing, as it has no unknown token.
+        self.within = [self.ids.get(c, -1) for c in _byte_characters()]
+        self.at_end = [self.ids.get(c + self.end, -1) for c in _byte_characters()]
+
+    def chunks(self, text: str) -> list[str]:
+        """Parts of a text that can be told apart into words each by itself: no word holds a space."""
+        return text.split(" ") if self.parts_at_spaces else [text]
 
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens of a text, in order; white space goes."""
@@ -78,46 +89,53 @@ class Vocabulary:
         """Token ids of one word by its merges, lowest rank first, leftmost first among equals."""
         if word in self.specials:
             return (self.specials[word],)
-        symbols = [self.byte[b] for b in word.encode("utf-8", "replace")]
-        symbols[-1] += self.end
-        if len(symbols) > 48:
-            symbols = self._merge_long(symbols)
-        else:
-            ranks = self.ranks
-            while len(symbols) > 1:
-                best, at = min((ranks.get(pair, 1 << 60), i) for i, pair in enumerate(pairwise(symbols)))
-                if best == 1 << 60:
-                    break
-                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        # Symbols outside the vocabulary have no id, as the vocabulary has no unknown token.
-        return tuple(self.ids[s] for s in symbols if s in self.ids)
-
-    def _merge_long(self, symbols: list[str]) -> list[str]:
+        raw = word.encode("utf-8", "replace")
+        ids = [*map(self.within.__getitem__, raw[:-1]), self.at_end[raw[-1]]]
+        ids = self._merge_long(ids) if len(ids) > 256 else self._merge_short(ids)
+        return tuple(i for i in ids if i >= 0) if -1 in ids else tuple(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The ranks of neighbours in a list, of which a merge changes two."""
+        rank_of, none = self.ranks.get, len(self.joined)
+        ranks = [rank_of(pair, none) for pair in pairwise(ids)]
+        joined = self.joined
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i] = joined[best]
+            del ids[i + 1]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank_of((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         """The same in O(n log n), for words of any length."""
-        after = [*range(1, len(symbols)), -1]
-        before = [*range(-1, len(symbols) - 1)]
+        after = [*range(1, len(ids)), -1]
+        before = [*range(-1, len(ids) - 1)]
         queue = []
 
         def offer(i: int) -> None:
             if i >= 0 and after[i] >= 0:
-                rank = self.ranks.get((symbols[i], symbols[after[i]]))
+                rank = self.ranks.get((ids[i], ids[after[i]]))
                 if rank is not None:
-                    heapq.heappush(queue, (rank, i, symbols[i], symbols[after[i]]))
+                    heapq.heappush(queue, (rank, i, ids[i], ids[after[i]]))
 
-        for i in range(len(symbols)):
+        for i in range(len(ids)):
             offer(i)
         while queue:
-            _, i, left, right = heapq.heappop(queue)
+            rank, i, left, right = heapq.heappop(queue)
             j = after[i]
-            if symbols[i] != left or j < 0 or symbols[j] != right:
+            if ids[i] != left or j < 0 or ids[j] != right:
                 continue  # one of the two has been merged meanwhile
-            symbols[i], symbols[j] = left + right, ""
+            ids[i], ids[j] = self.joined[rank], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             offer(before[i])
             offer(i)
-        return [s for s in symbols if s]
+        return ids
 
 
 def _normal(text: str) -> str:
@@ -228,19 +246,32 @@ def _lexicon(block: bytes) -> Lexicon:
 
 
 class _Encoder(dict):
-    """Word to ids: remembered, else looked up, else merged."""
+    """Chunk to ids: remembered, else its words remembered, looked up or merged."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self._vocabulary, self._lexicon = vocabulary, lexicon
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self._lexicon.get(word.encode("utf-8", "replace"))
-        if ids is None:
-            ids = self._vocabulary.merge(word)
+        self._words: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        words = self._vocabulary.pieces(chunk)
+        ids = self._word(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self._word, words)))
         if len(self) >= _WORDS_HELD:
             self.clear()
-        if len(word) <= 64:
-            self[word] = ids
+        if len(chunk) <= 64:
+            self[chunk] = ids
+        return ids
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        ids = self._words.get(word)
+        if ids is None:
+            ids = self._lexicon.get(word.encode("utf-8", "replace"))
+            if ids is None:
+                ids = self._vocabulary.merge(word)
+            if len(self._words) >= _WORDS_HELD:
+                self._words.clear()
+            if len(word) <= 64:
+                self._words[word] = ids
         return ids
 
 
@@ -248,14 +279,22 @@ def word_counts(docs: DataFrame, text_col: str, vocabulary: str) -> DataFrame:
     """(word, n) over all texts, counted within tasks first."""
 
     def run(batches):
-        words, held = _vocabulary(vocabulary), Counter()
+        known, held = _vocabulary(vocabulary), Counter()
+
+        def told() -> pd.DataFrame:
+            words = Counter()
+            for chunk, n in held.items():
+                for word in known.pieces(chunk):
+                    words[word] += n
+            held.clear()
+            return pd.DataFrame({"word": list(words), "n": list(words.values())})
+
         for batch in batches:
             for text in batch["text"]:
-                held.update(words.pieces(text or ""))
+                held.update(known.chunks(text or ""))
                 if len(held) > _WORDS_HELD:
-                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-                    held.clear()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                    yield told()
+        yield told()
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(run, "word STRING, n BIGINT")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -286,7 +325,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: bytes, text_col: str = "te
         for batch in batches:
             ids, ends = array("i"), [0]
             for text in batch.column(text_col).to_pylist():
-                ids.extend(chain.from_iterable(map(encoder.__getitem__, known.pieces(text or ""))))
+                ids.extend(chain.from_iterable(map(encoder.__getitem__, known.chunks(text or ""))))
                 ends.append(len(ids))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids_col])
