@@ -5,15 +5,16 @@ host, on how many distinct pages each hash occurs; subtrees that recur on many p
 are its template and are deleted, together with what a page itself declares not to be content
 (navigation, headers, footers, asides, forms, scripts, styles, adverts, notices, comments).
 
-Pages of a host with the same main content count as one page, so that a copied article does not
-become a template, and prose inside the main container is never taken for one.
+The counts decide over the whole page, prose included; nothing else of a page goes, whether inside
+or beside its articles. Pages of a host with the same text count as one page, and for subtrees of
+articles pages with the same articles do, so that a copied article does not become a template.
+Subtrees without text are no templates, nor are parts of a line of text, such as a bold word.
 """
 
 from __future__ import annotations
 
 import html as markup
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -38,7 +39,6 @@ _BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote li dd dt td th figcaption b i em strong a span code sub sup u br".split())
 _CLOSES_P = _BLOCKS - {"html", "body"}
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _NOISE = re.compile(
@@ -63,9 +63,17 @@ class Element:
     attributes: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)  # elements and texts, in order
     hash: int = 0
+    text: bool = False  # whether there is text in its subtree
+    inside: bool = False  # whether it is, or is in, an article
+
+    def key(self) -> int:
+        """The subtree's hash, another one inside articles, where pages are told apart by other text."""
+        return self.hash ^ (self.inside << 62)
 
     def noise(self) -> bool:
         a = self.attributes
+        if not a:
+            return self.tag in _NEVER
         if self.tag in _NEVER or a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true":
             return True
         return any(_NOISE.search(a[k]) for k in ("class", "id") if k in a)
@@ -145,33 +153,54 @@ def hash_subtrees(root: Element) -> Element:
         for child in element.children:
             if isinstance(child, Element):
                 parts.append(f"\x00{child.hash:x}")
+                element.text |= child.text
             elif text := child.strip():
                 parts.append("\x01" + " ".join(text.split()))
+                element.text = True
         element.hash = xxh3_64_intdigest("\x02".join(parts).encode("utf-8", "replace")) >> 1
     return root
 
 
-def _container(root: Element) -> Element:
-    """The article if there is one (the largest), else main, else the whole page."""
-    sizes: dict[int, int] = {}
-    found: dict[str, list[tuple[int, Element]]] = {"article": [], "main": []}
-    for element in _walk(root):
-        size = sum(sizes[id(c)] if isinstance(c, Element) else len(c.strip()) for c in element.children)
-        sizes[id(element)] = 0 if element.noise() else size
-        kind = "main" if element.tag == "main" or element.attributes.get("role") == "main" else element.tag
-        if kind in found and not element.noise():
-            found[kind].append((size, element))
-    for kind in ("article", "main"):
-        if found[kind]:
-            return max(found[kind], key=lambda x: x[0])[1]
-    return root
+def _content(root: Element) -> list[Element]:
+    """Elements outside noise, in page order."""
+    order, todo = [], [root]
+    while todo:
+        element = todo.pop()
+        order.append(element)
+        todo.extend(c for c in reversed(element.children) if isinstance(c, Element) and not c.noise())
+    return order
+
+
+def mark_articles(root: Element) -> list[Element]:
+    """The outermost articles, else mains, in page order; `inside` is set on all that is in them."""
+    content = _content(root)
+    found = [e for e in content if e.tag == "article"]
+    found = found or [e for e in content if e.tag == "main" or e.attributes.get("role", "").lower() == "main"]
+    outermost = []
+    for top in found:
+        if not top.inside:
+            outermost.append(top)
+            for element in _content(top):
+                element.inside = True
+    return outermost
+
+
+def _own_lines(parent: Element) -> list[Element]:
+    """Children that may be templates: they hold text, and no text of the parent is in line with them."""
+    inline = sum(
+        (c.text and c.tag not in _BLOCKS) if isinstance(c, Element) else bool(c.strip()) for c in parent.children
+    )
+    return [
+        c for c in parent.children if isinstance(c, Element) and c.text and (c.tag in _BLOCKS or inline == 1)
+    ]
 
 
 def main_text(root: Element, templates: set[int] | frozenset[int] = frozenset()) -> str:
-    """Text blocks of the main container, without noise and template subtrees."""
-    top = _container(root)
+    """Text blocks of the page, without noise and template subtrees."""
+    if templates:
+        mark_articles(root)
     blocks: list[list[str]] = [[]]
-    todo: list = [("open", top)]
+    todo: list = [("open", root)]
     while todo:
         what, node = todo.pop()
         if what == "text":
@@ -179,17 +208,18 @@ def main_text(root: Element, templates: set[int] | frozenset[int] = frozenset())
         elif what == "close":
             blocks.append([])
         else:
-            if node is not top:
-                inside = top is not root and node.tag in _PROSE
-                if node.noise() or (node.hash in templates and not inside):
-                    continue
+            if node is not root and node.noise():
+                continue
             if node.tag == "br":
                 blocks[-1].append(" ")
             block = node.tag in _BLOCKS
             if block:
                 blocks.append([])
                 todo.append(("close", node))
-            todo.extend(("open" if isinstance(c, Element) else "text", c) for c in reversed(node.children))
+            gone = {id(c) for c in _own_lines(node) if c.key() in templates} if templates else ()
+            todo.extend(
+                ("open" if isinstance(c, Element) else "text", c) for c in reversed(node.children) if id(c) not in gone
+            )
     texts = (_SPACES.sub(" ", markup.unescape("".join(b))).strip() for b in blocks)
     return "\n".join(t for t in texts if t)
 
@@ -199,27 +229,41 @@ def _host(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2].lower().partition(":")[0]
 
 
+def page_subtrees(page: str) -> list[tuple[bool, int, list[int]]]:
+    """(inside articles, hash of the text that tells pages apart, keys of subtrees) of a page."""
+    root = hash_subtrees(parse(page))
+    articles = mark_articles(root)
+    keys: dict[bool, set[int]] = {False: set(), True: set()}
+    for parent in _content(root):
+        for element in _own_lines(parent):
+            if not element.noise():
+                keys[element.inside].add(element.key())
+    parts = [(False, main_text(root))]
+    if articles:
+        parts.append((True, "\n".join(main_text(a) for a in articles)))
+    return [(inside, xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1, list(keys[inside])) for inside, text in parts]
+
+
 def subtree_counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, key, n): distinct pages of the host with each subtree outside its main container's prose.
+    """(host, inside, key, n): distinct pages of the host with each subtree, inside and outside articles.
 
-    The NULL key counts the host's distinct pages. Pages are told apart by their main container.
+    The NULL key counts the host's distinct pages: by the text of their articles, and by all their text.
     """
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for url, page in zip(batch["url"], batch["html"], strict=True):
-                root = hash_subtrees(parse(page or ""))
-                top = _container(root)
-                keys = Counter(e.hash for e in _walk(root) if e is not top and e is not root)
-                rows.append((_host(url), top.hash, list(keys)))
-            yield pd.DataFrame(rows, columns=["host", "page", "keys"])
+            rows = [
+                (_host(url), *part)
+                for url, page in zip(batch["url"], batch["html"], strict=True)
+                for part in page_subtrees(page or "")
+            ]
+            yield pd.DataFrame(rows, columns=["host", "inside", "page", "keys"])
 
     plain = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = plain.mapInPandas(run, "host STRING, page BIGINT, keys ARRAY<BIGINT>")
-    distinct = found.groupBy("host", "page").agg(F.first("keys").alias("keys"))
+    found = plain.mapInPandas(run, "host STRING, inside BOOLEAN, page BIGINT, keys ARRAY<BIGINT>")
     with_total = F.concat(F.array(F.lit(None).cast("bigint")), F.col("keys"))
-    return distinct.select("host", F.explode(with_total).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    each = found.select("host", "inside", "page", F.explode(with_total).alias("key")).distinct()
+    return each.groupBy("host", "inside", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def site_templates(
@@ -229,10 +273,10 @@ def site_templates(
     counts = settle(
         subtree_counts(pages, url_col, html_col).where((F.col("n") >= min_pages) | F.col("key").isNull()), "subtrees"
     )
-    totals = counts.where(F.col("key").isNull()).select("host", F.col("n").alias("total"))
+    totals = counts.where(F.col("key").isNull()).select("host", "inside", F.col("n").alias("total"))
     return (
         counts.where(F.col("key").isNotNull())
-        .join(totals, "host")
+        .join(totals, ["host", "inside"])
         .where(F.col("n") / F.col("total") > ratio)
         .groupBy("host")
         .agg(F.collect_set("key").alias("keys"))
@@ -243,7 +287,7 @@ def extract_text(
     pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text",
     ratio: float = RATIO, min_pages: int = MIN_PAGES,
 ) -> DataFrame:
-    """`pages` with `text_col`: the main text of every page, '' where there is none.
+    """`pages` with `text_col`: the text of every page without noise and templates, '' where there is none.
 
     Character references are decoded, white space inside a block is one space, blocks are joined by
     a line feed in page order. NULL html counts as empty; a page without a usable URL belongs to the

@@ -160,6 +160,22 @@ def test_pages_lose_their_sites_template(spark):
     assert got[3] == "Story 3 told" and got[90] == ""
 
 
+def test_counts_choose_what_goes_from_prose_and_beside_articles(spark):
+    def page(i, story):
+        return (
+            f"<body><p>Read us daily</p><div>Beside {i}</div><article><h1>Title {story}</h1><p>Text <b>bold</b> "
+            f"of<br>{story}</p><ul><li>Buy it</li><li>Item {story}</li></ul></article><article><p>Second {story}</p></article>"
+            "<p>Read us daily</p><p><b>bold</b></p></body>"
+        )
+
+    rows = [(i, f"http://h.example/{i}", page(i, i)) for i in range(20)]
+    rows += [(100 + i, f"http://h.example/c{i}", page(100 + i, "copied")) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    got = {r["page_id"]: r["text"] for r in site_templates.extract_text(pages).collect()}
+    for i, story in [(3, 3), (103, "copied")]:
+        assert got[i] == f"Beside {i}\nTitle {story}\nText bold of {story}\nItem {story}\nSecond {story}"
+
+
 def test_personal_data():
     text = "a.b@c.de, 10.0.0.256 10.0.0.25 4845 1681-1440 7329 +1 (017) 555-7713 x@y@z.com"
     found = [(pii_crf.KINDS[k], text[s:e]) for k, s, e in pii_crf.base_spans(text)]
