@@ -17,6 +17,21 @@ from accesslens.llm.queries import encoded_digests
 from accesslens.llm.sketch_dedup import near_duplicates
 
 
+#: Identifies a row within a stage; doc_id may be NULL or repeated.
+KEY = "_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with a row key, written once so that the key stays the same whenever it is read."""
+    return settle(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def without(rows: DataFrame, keys: DataFrame, purpose: str) -> DataFrame:
+    """The rows whose key is not among `keys`, without the key."""
+    gone = Settled(keys, purpose).side()
+    return rows.join(gone, KEY, "left_anti").drop(KEY)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 by the quality classifier go."""
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")), score_col="_quality")
@@ -38,17 +53,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("dropped"))
-    gone = Settled(dropped.distinct(), "dropped").side()
-    return docs.join(gone, F.col("doc_id") == F.col("dropped"), "left_anti")
+    """One row of each group of near duplicates stays, the one with the smallest doc_id, NULL last.
+
+    Rows that repeat a doc_id are told apart; rows without words are in no group and stay.
+    """
+    rows = keyed(docs)
+    found = near_duplicates(rows, id_col=KEY)
+    groups = found.select(F.col(KEY).alias("member"), F.col("component_id").alias("group"))
+    ranked = rows.select(KEY, "doc_id").join(groups, F.col(KEY) == F.col("member"))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", KEY)
+    first = ranked.groupBy("group").agg(F.min(order).getField(KEY).alias("first"))
+    dropped = found.select(KEY).join(first.select("first"), F.col(KEY) == F.col("first"), "left_anti")
+    return without(rows, dropped, "dropped")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    hits = find_items(docs, table(spark, sf_dir, "benchmark"))
-    gone = Settled(hits.select(F.col("doc_id").alias("hit")).distinct(), "contaminated").side()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")
+    """Rows whose text contains a benchmark item go, whatever other rows have the same doc_id."""
+    rows = keyed(docs)
+    hits = find_items(rows, table(spark, sf_dir, "benchmark"), id_col=KEY)
+    return without(rows, hits.select(KEY).distinct(), "contaminated")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,29 @@ def test_pipeline_agrees_with_brute_force(spark, tmp_path):
         assert got[i]["n_tokens"] == len(ids)
         assert got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_stages_filter_rows_not_identifiers(spark, tmp_path):
+    prose = {n: " ".join(f"{n}{i}" for i in range(60)) for n in "abcde"}
+    bad = f"{prose['e']} {ITEM}"
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+
+    def frame(rows):
+        return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).repartition(5)
+
+    def kept(found):
+        return sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str)
+
+    spark.createDataFrame([(1, ITEM), (2, None)], "item_id BIGINT, text STRING").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [(None, prose["a"]), (None, None), (1, prose["b"]), (2, prose["c"])]
+    docs = frame([*clean, (None, bad), (1, bad), (3, bad)])
+    found = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert found.columns == docs.columns
+    assert kept(found) == sorted(clean, key=str)
+
+    rows = [(5, prose["a"])] * 3 + [(None, prose["a"])] + [(None, prose["b"])] * 2 + [(5, prose["c"])]
+    rows += [(7, prose["d"]), (6, prose["d"] + " x"), (None, None), (None, None), (8, "")]
+    found = corpus_pipeline.near_dedup(spark, frame(rows), str(tmp_path))
+    assert found.columns == docs.columns
+    want = [(5, prose["a"]), (None, prose["b"]), (5, prose["c"]), (6, prose["d"] + " x"), (None, None), (None, None), (8, "")]
+    assert kept(found) == sorted(want, key=str)
