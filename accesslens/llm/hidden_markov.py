@@ -33,13 +33,13 @@ from .common import most_frequent, settle
 STATES = 8
 #: Words with a class of their own, classes shared by the others, words resolved without a join.
 OWN_CLASSES, SHARED_CLASSES, RESOLVED_WORDS = 1024, 1024, 65_536
-#: Baum-Welch rounds on a bounded sample, to find a start, then over all training documents.
-START_DOCS, START_ROUNDS, ROUNDS = 1000, 12, 2
+#: Baum-Welch rounds, each over all training documents.
+ROUNDS = 14
 
 _END = OWN_CLASSES + SHARED_CLASSES  # the class of the token that ends a text
 CLASSES = _END + 1
 _WORDS_HELD = 200_000
-_TOKENS_AT_ONCE = 200_000
+_TOKENS_AT_ONCE = 400_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -244,9 +244,10 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
         steps = len(seen)
         beta = np.ones_like(alpha)
         later = np.zeros_like(alpha)  # emission times beta over scale, of the next step
+        emitted /= scale[:, :, None]
         for t in range(steps - 2, -1, -1):
             n = active[t + 1]
-            later[t, :n] = emitted[t + 1, :n] * beta[t + 1, :n] / scale[t + 1, :n, None]
+            later[t, :n] = emitted[t + 1, :n] * beta[t + 1, :n]
             beta[t, :n] = later[t, :n] @ model.move.T
         gamma = alpha * beta
         here = (np.arange(gamma.shape[1])[None, :] < active[:, None]).ravel()
@@ -264,17 +265,10 @@ def _sequences(column) -> list[np.ndarray]:
 
 
 def train(coded: DataFrame, documents: int, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training documents, started from a model of a bounded sample of them."""
+    """Baum-Welch from a random model; every round counts over all training documents."""
     training = coded.where("NOT held_out")
-    # About START_DOCS documents by a hash of their rows, and never more than twice as many.
-    share = F.lit(int(2**30 * min(1.0, START_DOCS / max(1, documents))))
-    chosen = training.where(F.pmod(F.xxhash64("row"), F.lit(2**30)) < share)
-    sample = chosen.select("classes").limit(2 * START_DOCS).collect()
-    texts = [np.frombuffer(bytes(r["classes"]), np.uint16).astype(np.int64) for r in sample]
     model = Model.random()
-    for _ in range(START_ROUNDS if texts else 0):
-        model = Model.from_counts(expected_counts(model, texts))
-    for _ in range(rounds if texts else 0):
+    for _ in range(rounds if documents else 0):
         model = Model.from_counts(_counts(training, model))
     return model
 

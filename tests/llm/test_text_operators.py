@@ -246,6 +246,18 @@ def test_likelihood_is_exact_and_counts_are_right(spark):
     assert hidden_markov.score_texts(docs(spark, []), rounds=1).count() == 0
 
 
+def test_every_round_counts_over_all_training_documents(spark):
+    chance = np.random.default_rng(4)
+    texts = [np.append(chance.integers(0, 40, n % 30) + 40 * (n % 3), hidden_markov._END) for n in range(300)]
+    model = hidden_markov.Model.random()
+    for _ in range(3):
+        model = hidden_markov.Model.from_counts(hidden_markov.expected_counts(model, texts))
+    rows = [(i, False, t.astype(np.uint16).tobytes()) for i, t in enumerate(texts)] + [(-1, True, b"\x05\x00" * 50)]
+    coded = spark.createDataFrame(rows, "row BIGINT, held_out BOOLEAN, classes BINARY").repartition(5)
+    got = hidden_markov.train(coded, len(texts), rounds=3)
+    assert np.allclose(got.start, model.start) and np.allclose(got.move, model.move) and np.allclose(got.emit, model.emit)
+
+
 def test_quality_of_held_out_documents(spark):
     rows = [(i, (PROSE + f" end{i}. ") if i % 3 else "%%% ### " * 30 + str(i), "a") for i in range(240)]
     frame = docs(spark, [*rows, (900, None, "a"), (901, "", "a")])
