@@ -79,7 +79,8 @@ def find_items(
     """(id, item_id, n_item, n_shared, containment) of every item contained in a document.
 
     Words are lower-cased (A-Z) and parted by ASCII white space; sets are of distinct k-word
-    shingles, of the whole sequence where there are fewer words. Containment is the shared
+    shingles, of the whole sequence where there are fewer words. So an item of fewer than k words
+    is found only as a whole document, never inside a longer one. Containment is the shared
     share of the item's set. NULL or empty texts hold nothing and are held by nothing; rows
     that repeat an identifier give one row per item; an empty table on either side gives none.
     NULL identifiers are identifiers like others. Extra columns are ignored.
