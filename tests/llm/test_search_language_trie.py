@@ -1,0 +1,266 @@
+"""Ranked search, language profiles and the conversation trie against brute force, on awkward tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from accesslens.llm import conversation_trie, language_id, ranked_search
+from accesslens.llm.queries import op12_rank_order_profiles
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+# Ranked search
+
+
+def brute_search(docs, items, k=10):
+    found = [(key, TERM.findall(lower(text))) for key, text in docs]
+    found = [(key, terms) for key, terms in found if terms]
+    n_docs, n_terms = len(found), sum(len(t) for _, t in found)
+    df = Counter(t for _, terms in found for t in set(terms))
+    wanted = {}
+    for item, text in items:
+        wanted.setdefault(item, set()).update(TERM.findall(lower(text)))
+    out = []
+    for item, terms in wanted.items():
+        scored = []
+        for key, own in found:
+            m, tf = 10 + (90 * len(own) * n_docs) // n_terms, Counter(own)
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * tf[t]) // (1000 * tf[t] + 8 * m))
+                for t in terms if tf[t]
+            )
+            if score > 0:
+                scored.append((-score, key is None, key or 0, key))
+        out += [(item, r + 1, row[3], -row[0]) for r, row in enumerate(sorted(scored)[:k])]
+    return sorted(out, key=str)
+
+
+def doc_frame(spark, rows):
+    schema = "doc_id BIGINT, text STRING, n BIGINT, terms STRING, item STRING, rank INT, score STRING, lang STRING"
+    return spark.createDataFrame([(i, t, 1, "x", "y", 2, "z", lang) for i, t, lang in rows], schema)
+
+
+def item_frame(spark, rows):
+    return spark.createDataFrame([(i, t, "x") for i, t in rows], "item_id BIGINT, text STRING, doc STRING")
+
+
+def searched(spark, docs, items, parts=3, **options):
+    frame = doc_frame(spark, [(i, t, "en") for i, t in docs]).repartition(parts)
+    got = ranked_search.search(frame, item_frame(spark, items), **options)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    return sorted(map(tuple, got.collect()), key=str)
+
+
+AWKWARD_DOCS = [
+    (1, "The Café opens. the CAFÉ closes"), (2, "the café opens. The café closes"), (2, "the café opens. The café closes"),
+    (None, "the café"), (None, "the café"), (3, None), (4, ""), (5, " .,;\n\t"), (6, "x " * 100_000 + "café"),
+    (7, "w" * 100_000), (8, "中文 the"), (9, "the the the"), (-5, "café\x00the"),
+]
+AWKWARD_ITEMS = [(1, "the Café"), (1, "opens"), (2, None), (3, ""), (None, "closes 中文"), (4, "nowhere"), (5, "the the"), (5, "the the")]
+
+
+def test_search_of_awkward_rows(spark):
+    assert searched(spark, AWKWARD_DOCS, AWKWARD_ITEMS) == brute_search(AWKWARD_DOCS, AWKWARD_ITEMS)
+    assert searched(spark, AWKWARD_DOCS, AWKWARD_ITEMS, k=2) == brute_search(AWKWARD_DOCS, AWKWARD_ITEMS, k=2)
+    assert searched(spark, [], AWKWARD_ITEMS) == [] and searched(spark, AWKWARD_DOCS, []) == []
+
+
+@pytest.mark.parametrize("block_pairs", [7, 20_000])
+def test_search_prunes_nothing_that_belongs(spark, monkeypatch, block_pairs):
+    random = np.random.default_rng(3)
+    vocabulary = [f"t{i}" for i in range(120)]
+    weights = 1 / np.arange(1, 121)
+    weights /= weights.sum()
+
+    def text(n):
+        return " ".join(random.choice(vocabulary, n, p=weights))
+
+    docs = [(int(i), text(random.integers(1, 60))) for i in range(700)]
+    docs += [(1000 + i, docs[5][1]) for i in range(90)] + [(2000 + i, "t7 t9 t11") for i in range(60)]
+    items = [(i, text(8)) for i in range(25)] + [(90, docs[5][1]), (91, "t7 t9 t11")]
+    assert searched(spark, docs, items, block_pairs=block_pairs) == brute_search(docs, items)
+
+
+def test_search_looks_at_few_documents():
+    """Bounds do leave out subtrees: most leaves of a large tree are never scored."""
+    random = np.random.default_rng(8)
+    docs = []
+    for i in range(1000):
+        ranks = np.unique(random.integers(0, 400, 30))
+        docs.append((100, i, ranks, np.ones(len(ranks), np.int32)))
+    docs[500] = (100, 500, np.arange(20), np.full(20, 9, np.int32))
+    tree = ranked_search.Tree(docs, 400)
+    looked = []
+    tree.impacts = type("Seen", (), {"__getitem__": lambda self, at, all=tree.impacts: looked.append(at[1]) or all[at]})()
+    best = []
+    tree.search(np.arange(20), np.full(20, 1000), best, 1)
+    assert best[0][1] == -500 and sum(at.stop - at.start for at in looked) < 200
+
+
+# Language profiles
+
+
+def brute_grams(text):
+    counts = Counter()
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        padded = f" {word} "
+        for size in (1, 2, 3):
+            counts.update(g for i in range(len(padded) - size + 1) if (g := padded[i : i + size]) != " ")
+    return counts
+
+
+def brute_profile(counts, size):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0]))[:size]]
+
+
+def brute_languages(taught, texts, size):
+    counts = {}
+    for text, lang in taught:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(brute_grams(text))
+    profiles = {lang: brute_profile(c, size) for lang, c in counts.items() if c}
+    out = []
+    for text in texts:
+        own = brute_profile(brute_grams(text or ""), size)
+        if not own or not profiles:
+            out.append(("und", 0.0))
+            continue
+        distance = {
+            lang: sum(min(abs(ranked.index(g) - i), size) if g in ranked else size for i, g in enumerate(own))
+            for lang, ranked in profiles.items()
+        }
+        lang = min(sorted(distance), key=distance.get)
+        out.append((lang, 1 - distance[lang] / (size * len(own))))
+    return out
+
+
+TEXTS = [
+    (1, "The quick brown fox and the lazy dog of the house", "en"), (2, "Der schnelle braune Fuchs und der faule Hund", "de"),
+    (3, "Über die Straße geht der Ärger und die Mühe", "de"), (4, "This is the way that they went with the others", "en"),
+    (4, "This is the way that they went with the others", "en"), (5, None, "en"), (6, "", "de"), (7, "1234 -- 99", "en"),
+    (8, "the other and the fox", None), (None, "der und die", "de"), (9, "a1b2 İstanbul ΟΔΟΣ 中文字 é", "xx"),
+    (10, "x" * 5000, "en"),
+]
+
+
+@pytest.mark.parametrize("size", [3, 400])
+def test_languages_agree_with_brute_force(spark, size):
+    frame = doc_frame(spark, TEXTS).withColumnRenamed("terms", "LANG_PRED").repartition(3)
+    profiles = language_id.learn(frame, size=size)
+    found = language_id.identify(frame, profiles)
+    assert found.columns == ["doc_id", "text", "n", "item", "rank", "lang", "lang_pred", "score"]
+    want = brute_languages([(t, lang) for _, t, lang in TEXTS], [t for _, t, _ in TEXTS], size)
+    got = sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 12)) for r in found.collect())
+    assert got == sorted((str(i), lang, round(score, 12)) for (i, _, _), (lang, score) in zip(TEXTS, want, strict=True))
+
+
+def test_long_texts_are_counted_whole(monkeypatch):
+    random = np.random.default_rng(2)
+    text = " ".join("".join(random.choice(list("abcé1'"), random.integers(1, 30))) for _ in range(800))
+    whole = language_id.gram_counts(text)
+    monkeypatch.setattr(language_id, "_BLOCK", 50)
+    for got, want in zip(language_id.gram_counts(text), whole, strict=True):
+        assert (got == want).all()
+    assert sum(whole[1]) == sum(brute_grams(text).values())
+
+
+def test_nothing_learned_is_unknown(spark):
+    frame = doc_frame(spark, TEXTS)
+    for none in (frame.limit(0), frame.where("text IS NULL")):
+        found = language_id.identify(frame, language_id.learn(none)).collect()
+        assert {(r["lang_pred"], r["score"]) for r in found} == {("und", 0.0)}
+    assert language_id.identify(frame.limit(0), language_id.learn(frame)).count() == 0
+
+
+def test_held_out_documents_get_their_language(spark, sf_dir):
+    found = op12_rank_order_profiles(spark, sf_dir).collect()
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in found)
+    tested = [r for r in found if r["held_out"] and langs[r["doc_id"]] and r["lang_pred"] != "und"]
+    assert len(tested) > 20 and sum(r["lang_pred"] == langs[r["doc_id"]] for r in tested) >= 0.97 * len(tested)
+
+
+# Conversation trie
+
+
+def brute_trie(convs):
+    """convs: id -> list of (role, text)."""
+    members = {}
+    for key, path in convs.items():
+        for d in range(len(path) + 1):
+            members.setdefault(tuple(path[:d]), []).append(key)
+    rows = []
+    for node, ids in members.items():
+        below = [n for n in members if n[: len(node)] == node]
+        children = [n for n in below if len(n) == len(node) + 1]
+        leaves = [n for n in below if not any(len(o) == len(n) + 1 and o[: len(n)] == n for o in below)]
+        saved = sum((len(members[n]) - 1) * len(n[-1][1].encode()) for n in below if n)
+        ends = ",".join(map(str, sorted(i for i in ids if len(convs[i]) == len(node))))
+        rows.append((min(ids), len(node), min(members[node[:-1]]) if node else None, len(ids), len(children), len(leaves),
+                     saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(rows, key=str)
+
+
+def conversations_of(rows):
+    convs = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            convs.setdefault(conv, []).append((turn is not None, turn or 0, role or "", hashlib.sha256((text or "").encode()).hexdigest(), text or ""))
+    return {conv: [(x[2], x[4]) for x in sorted(held)] for conv, held in convs.items()}
+
+
+def rebuild(convs):
+    out = {}
+    for c, own in convs.items():
+        h, base = zlib.crc32(str(c).encode()) % 9, c - int(math.fmod(c, 5))
+        out[c] = convs.get(base, [])[:h] + own[h:]
+    return out
+
+
+def conversation_frame(spark, rows):
+    schema = "conv_id BIGINT, turn BIGINT, role STRING, text STRING, position INT, node STRING, n_turns STRING, shard BIGINT"
+    return spark.createDataFrame([(*row, 9, "x", "y", 1) for row in rows], schema)
+
+
+def told(trie):
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_bytes", "ends_sha256"]
+    return sorted((tuple(r[n] for n in names) for r in trie.collect()), key=str)
+
+
+AWKWARD_TURNS = [
+    (1, 0, "user", "hi"), (1, 1, "bot", "héllo"), (2, 0, "user", "hi"), (2, 1, "bot", "héllo"), (3, 0, "user", "hi"),
+    (3, None, "system", "first"), (4, 0, None, None), (4, 1, "user", ""), (5, 0, "", ""), (6, 0, "a", "b:c"), (7, 0, "a:b", "c"),
+    (8, 3, "user", "hi"), (8, 3, "user", "hi"), (9, 0, "user", "x" * 100_000), (None, 0, "user", "lost"), (-3, 0, "user", "hi"),
+    (10, 0, "b", "t"), (10, 0, "a", "u"), (11, 0, "a", "u"), (11, 1, "b", "t"),
+]
+
+
+@pytest.mark.parametrize("most_turns,most_convs", [(1 << 16, 1024), (3, 2), (1, 1), (30, 4)])
+def test_trie_agrees_with_brute_force(spark, most_turns, most_convs):
+    random = np.random.default_rng(6)
+    rows = [*AWKWARD_TURNS]
+    for conv in range(20, 90):
+        rows += [(conv, t, "user", f"say {random.integers(0, 2 + t)}") for t in range(random.integers(1, 9))]
+    rows += [(conv, t, "user", f"copied {t}") for conv in range(100, 130) for t in range(4)]
+    rows += [(200, t, "user", f"long {t}") for t in range(60)]
+    got = conversation_trie.turns(conversation_frame(spark, rows).repartition(4))
+    convs = conversations_of(rows)
+    assert told(conversation_trie.prefix_trie(got, most_turns, most_convs)) == brute_trie(convs)
+    again = conversation_trie.prefix_trie(conversation_trie.branched(got), most_turns, most_convs)
+    assert told(again) == brute_trie(rebuild(convs))
+
+
+def test_trie_of_nothing(spark):
+    frame = conversation_frame(spark, AWKWARD_TURNS).where("conv_id IS NULL")
+    assert conversation_trie.conversation_trie(frame).count() == 0
+    assert conversation_trie.prefix_trie(conversation_trie.branched(conversation_trie.turns(frame))).count() == 0
