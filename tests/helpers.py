@@ -29,7 +29,7 @@ def captures(spark, payloads):
     """(peer, payload) pairs, one second apart."""
     return spark.createDataFrame(
         [
-            (peer, RECEIVED.replace(second=n % 60, minute=n // 60 % 60), bytearray(payload))
+            (peer, RECEIVED.replace(second=n % 60, minute=n // 60 % 60), None if payload is None else bytearray(payload))
             for n, (peer, payload) in enumerate(payloads)
         ],
         "peer_ip STRING, received_at TIMESTAMP_NTZ, payload BINARY",

@@ -1,3 +1,4 @@
+import threading
 from datetime import datetime
 
 import pytest
@@ -10,6 +11,8 @@ from accesslens.operators.source_changes import (
     list_sources,
     upsert_sources,
 )
+from accesslens.sources.files import Folder
+from accesslens.sources.source_table import ConcurrentEdit
 
 DAY = [datetime(2026, 6, d) for d in range(1, 10)]
 
@@ -114,9 +117,9 @@ def test_stored_table(spark, tmp_path):
     second = sources.read().first()
     assert second["name"] == "renamed" and second["created_at"] == first["created_at"]
     for name, ip, log_type, message in (
-        ("", "10.0.0.2", "apache", "name is required"),
-        ("n", "10.0.0", "apache", "not a valid IP"),
-        ("n", "10.0.0.2", "mailer", "unknown log type"),
+        ("", "10.0.0.2", "apache", "must have a name"),
+        ("n", "10.0.0", "apache", "neither an IPv4"),
+        ("n", "10.0.0.2", "mailer", "no parser"),
     ):
         with pytest.raises(ValueError, match=message):
             sources.add(name, ip, log_type)
@@ -142,6 +145,84 @@ def test_a_version_without_its_marker_is_not_read(spark, tmp_path):
     assert sorted(r["ip"] for r in sources.read().collect()) == ["10.0.0.1", "10.0.0.2"]
 
 
+def test_drafts_and_rows_that_no_version_names_are_not_read(spark, tmp_path):
+    sources = SourceTable(spark, str(tmp_path / "sources"), ["apache"])
+    sources.add("web", "10.0.0.1", "apache")
+    unfinished = table(spark, ("9.9.9.9", "x", "apache", DAY[0]))
+    unfinished.write.parquet(str(tmp_path / "sources" / "data" / "unfinished"))
+    (tmp_path / "sources" / "versions" / "_draft-left").write_text("unfinished")
+    assert [r["ip"] for r in sources.read().collect()] == ["10.0.0.1"]
+    sources.add("db", "10.0.0.2", "apache")
+    assert sorted(r["ip"] for r in sources.read().collect()) == ["10.0.0.1", "10.0.0.2"]
+
+
+def test_an_edit_of_an_old_version_is_refused(spark, tmp_path):
+    ours, theirs = (SourceTable(spark, str(tmp_path / "sources"), ["apache"]) for _ in range(2))
+    ours.add("one", "10.0.0.1", "apache")
+    more = upsert_sources(ours.read(), changes(spark, ("10.0.0.2", "two", "apache", DAY[0], 0)))
+    theirs.add("three", "10.0.0.3", "apache")
+    with pytest.raises(ConcurrentEdit):
+        ours.write(more)
+    ours.write(upsert_sources(ours.read(), changes(spark, ("10.0.0.2", "two", "apache", DAY[0], 0))))
+    assert sorted(r["ip"] for r in theirs.read().collect()) == ["10.0.0.1", "10.0.0.2", "10.0.0.3"]
+
+
+def test_an_edit_is_repeated_on_what_another_has_stored(spark, tmp_path):
+    ours, theirs = (SourceTable(spark, str(tmp_path / "sources"), ["apache"]) for _ in range(2))
+    seen = []
+
+    def change(current):
+        seen.append(sorted(r["ip"] for r in current.collect()))
+        if len(seen) == 1:
+            theirs.add("three", "10.0.0.3", "apache")
+        return upsert_sources(current, changes(spark, ("10.0.0.2", "two", "apache", DAY[0], 0)))
+
+    ours.edit(change)
+    assert seen == [[], ["10.0.0.3"]]
+    assert sorted(r["ip"] for r in ours.read().collect()) == ["10.0.0.2", "10.0.0.3"]
+
+
+def test_no_edit_of_two_threads_is_lost(spark, tmp_path):
+    root, each = str(tmp_path / "sources"), 20
+
+    def run(thread):
+        sources = SourceTable(spark, root, ["apache"])
+        for n in range(each):
+            sources.add(f"s{n}", f"10.0.{thread}.{n}", "apache")
+
+    threads = [threading.Thread(target=run, args=(n,)) for n in range(2)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    sources = SourceTable(spark, root, ["apache"])
+    assert sources.read().count() == 2 * each and sources.version() == 2 * each
+
+
+def test_one_of_many_claimants_gets_a_name(spark, tmp_path):
+    won = []
+
+    def run(n):
+        if Folder(spark, str(tmp_path / "claims")).claim("1", f"text {n}"):
+            won.append(n)
+
+    threads = [threading.Thread(target=run, args=(n,)) for n in range(16)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    folder = Folder(spark, str(tmp_path / "claims"))
+    assert len(won) == 1 and folder.names() == ["1"] and folder.text("1") == f"text {won[0]}"
+
+
+def test_a_name_is_claimed_by_rename_where_there_are_no_links(spark, tmp_path):
+    spark.conf.set("spark.hadoop.fs.viewfs.mounttable.claims.link./on", f"file://{tmp_path}")
+    spark.conf.set("fs.viewfs.mounttable.claims.link./on", f"file://{tmp_path}")
+    folder = Folder(spark, "viewfs://claims/on/names")
+    assert folder.claim("1", "first") and not folder.claim("1", "second")
+    assert folder.text("1") == "first" and folder.names() == ["1"]
+
+
 def test_routing_is_pinned_per_batch(spark, tmp_path):
     sources = SourceTable(spark, str(tmp_path / "sources"), ["apache"])
 
@@ -169,6 +250,6 @@ def test_routing_is_pinned_per_batch(spark, tmp_path):
 )
 def test_constraints(spark, tmp_path, rows):
     sources = SourceTable(spark, str(tmp_path / "sources"), ["t"])
-    with pytest.raises(ValueError, match="listed twice or without"):
+    with pytest.raises(ValueError, match="needs one row"):
         sources.write(table(spark, *[(*row, DAY[0]) for row in rows]))
     assert sources.read().count() == 0
