@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions.times import utc_now
 from .operators.filters import DEFAULT_RANGE, RANGES, Filter
 from .operators.framing import FRAMINGS
-from .operators.reports import recent_json
+from .operators.reports import as_json
 from .operators.source_changes import list_sources
 from .session import configure
 from .sources.capture import stream_bus_capture, stream_capture, stream_text_capture
@@ -78,7 +78,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
             print(f"{name} ({filter.range_label})")
             _print(panel)
     elif options.command == "recent":
-        for row in recent_json(store.read(spark)).collect():
+        for row in as_json(store.recent(spark)).collect():
             print(row["json"])
     elif options.command == "sources":
         _print(list_sources(sources.read()))

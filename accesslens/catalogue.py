@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,15 +30,18 @@ from .operators.source_changes import (
     upsert_sources,
 )
 from .plans.dashboard import dashboard_in_one_pass, dashboard_long, in_one_frame
-from .plans.ingest import classify, ingest, parse_messages, reject_report, rejected
+from .plans.ingest import classify, ingest, parse_messages, reject_report, rejected, rejected_as
 from .plans.registry import AccessLogType, Registry
 from .session import shared_folder
 from .sources.capture import from_bus, read_capture, read_text_capture, stream_capture
 from .sources.source_table import SourceTable
 from .streaming.ingest import LogStore, start_ingest
+from .streaming.live import read_live_counts, start_live_timeline
 
 AS_OF = datetime(2024, 1, 15, 12)
 ORDERS_AS_OF = datetime(2000, 6, 15)
+# The longer windows begin inside the data too, so that each leaves out rows that the next one has.
+LONG_AS_OF = {"30d": datetime(2024, 2, 4), "1y": datetime(2025, 1, 2)}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +98,12 @@ def streamed_store(spark: SparkSession, sf_dir: str) -> LogStore:
     return store
 
 
+def settled(rows: DataFrame, purpose: str) -> DataFrame:
+    folder = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored table after one batch with all of the table's messages."""
     traffic = samples.traffic(spark, sf_dir)
@@ -270,7 +280,7 @@ _REJECTS_SQL = (
 
 
 def _rejects_with(reason: str) -> Query:
-    return lambda spark, sf_dir: _rejects(spark, sf_dir).where(F.col("reason") == reason)
+    return lambda spark, sf_dir: rejected_as(routed_messages(spark, sf_dir), Registry.with_defaults(), reason)
 
 
 for _reason in ("unrouted", "unknown_type", "unparsed"):
@@ -282,6 +292,29 @@ register(
 )
 register("dispatch", ingested_rows, ingested_sql())
 
+
+def _two_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two log types behind one router: what each of them stored, and the rejects."""
+    registry = Registry(AccessLogType(), samples.NoteType(name="mailer"))
+    store = LogStore(shared_folder(spark, "types"), registry)
+    traffic = samples.traffic(spark, sf_dir)
+    store.write_batch(samples.capture(traffic), samples.senders(traffic), "batch", 0)
+    access = store.read(spark).select(F.lit("apache").alias("log_type"), "source_ip", "raw", F.col("path").alias("found"))
+    notes = store.read(spark, "mailer").select(F.lit("mailer").alias("log_type"), "source_ip", "raw", F.col("note").alias("found"))
+    rejects = store.read_rejects(spark).select(F.lit(None).alias("log_type"), "source_ip", "raw", F.col("reason").alias("found"))
+    return access.unionByName(notes).unionByName(rejects)
+
+
+register(
+    "dispatch_two_types",
+    _two_types,
+    "SELECT CASE WHEN log_type = 'apache' AND NOT is_bad THEN 'apache' WHEN log_type = 'mailer' AND is_bad THEN 'mailer' END"
+    " AS log_type, peer_ip AS source_ip, msg AS raw, CASE WHEN log_type IS NULL THEN 'unrouted'"
+    " WHEN log_type = 'apache' THEN CASE WHEN is_bad THEN 'unparsed' ELSE path END"
+    " WHEN is_bad THEN CAST(id AS VARCHAR) ELSE 'unparsed' END AS found"
+    f" FROM (SELECT *, CASE peer_ip {_ROUTE_CASES} END AS log_type FROM ({samples.traffic_sql()}))",
+)
+
 # --- source table --------------------------------------------------------------------------
 
 
@@ -378,11 +411,13 @@ _FILTERED_SQL = ", ".join(_FILTERED)
 
 
 def _filtered(filter: Filter) -> Query:
-    return lambda spark, sf_dir: covered(spark, sf_dir, filter).select(*_FILTERED)
+    as_of = LONG_AS_OF.get(filter.range, AS_OF)
+    return lambda spark, sf_dir: covered(spark, sf_dir, filter, as_of).select(*_FILTERED)
 
 
-def _filter_sql(range_key: str, condition: str = "TRUE") -> str:
-    return f"SELECT {_FILTERED_SQL} FROM ({window_sql(range_key)}) WHERE {condition}"
+def _filter_sql(range_key: str, condition: str = "TRUE", rows: str | None = None) -> str:
+    window = window_sql(range_key, LONG_AS_OF.get(range_key, AS_OF), rows)
+    return f"SELECT {_FILTERED_SQL} FROM ({window}) WHERE {condition}"
 
 
 for _key in ("1h", "24h", "7d", "30d", "1y"):
@@ -413,6 +448,25 @@ register(
     ),
 )
 
+
+
+def _looked_up(**columns: str) -> Query:
+    """Over the stored table, whose Bloom filters leave out row groups without the value."""
+    filter = Filter(range="1y", **columns)
+    return lambda spark, sf_dir: filter.apply(stored_rows(spark, sf_dir), LONG_AS_OF["1y"]).select(*_FILTERED)
+
+
+register(
+    "stored_filter_ip",
+    _looked_up(ip="192.168.2.42"),
+    _filter_sql("1y", "remote_host = '192.168.2.42'", ingested_sql()),
+)
+register(
+    "stored_filter_path",
+    _looked_up(path="/click/2"),
+    _filter_sql("1y", "path = '/click/2'", ingested_sql()),
+)
+
 # --- reports -------------------------------------------------------------------------------
 
 register(
@@ -442,8 +496,10 @@ def _size_sql(count: str) -> str:
 for _key in ("1h", "24h", "7d", "30d", "1y"):
     register(
         f"kpis_{_key}",
-        lambda spark, sf_dir, key=_key: reports.key_figures(covered(spark, sf_dir, Filter(range=key))),
-        f"SELECT {_FIGURES_SQL} FROM ({window_sql(_key)})",
+        lambda spark, sf_dir, key=_key: reports.key_figures(
+            covered(spark, sf_dir, Filter(range=key), LONG_AS_OF.get(key, AS_OF))
+        ),
+        f"SELECT {_FIGURES_SQL} FROM ({window_sql(_key, LONG_AS_OF.get(_key, AS_OF))})",
     )
 register(
     "kpis_empty",
@@ -452,6 +508,37 @@ register(
     ),
     f"SELECT {_FIGURES_SQL} FROM ({window_sql('24h', datetime(2030, 1, 1))})",
 )
+
+
+def _sketched_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Whole hours, so that the exact count of the same rows can be told beside the estimate.
+    rows = access_rows(spark, sf_dir).where("ts IS NOT NULL")
+    sketches = settled(reports.client_sketches(rows), "sketches")
+    days = [("day", "2024-01-15"), ("fortnight", "2024-01-10"), ("all", "1970-01-01")]
+
+    def view(name: str, since: str) -> DataFrame:
+        start = f"TIMESTAMP_NTZ'{since} 00:00:00'"
+        exact = reports.key_figures(rows.where(f"ts >= {start}")).select("unique_clients")
+        about = reports.unique_clients_of(sketches.where(f"hour >= {start}"))
+        return exact.crossJoin(about.select(F.col("unique_clients").alias("estimate"))).select(
+            F.lit(name).alias("view"),
+            "unique_clients",
+            (F.abs(F.col("estimate") - F.col("unique_clients")) <= 3 * reports.SKETCH_ERROR * F.col("unique_clients"))
+            .alias("within_error"),
+        )
+
+    return reduce(DataFrame.unionByName, [view(*day) for day in days])
+
+
+register(
+    "unique_clients_sketched",
+    _sketched_clients,
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS view, CAST(count(DISTINCT remote_host) AS BIGINT) AS unique_clients, TRUE AS within_error"
+        f" FROM ({access_sql()}) WHERE ts >= TIMESTAMP '{since}'"
+        for name, since in (("day", "2024-01-15"), ("fortnight", "2024-01-10"), ("all", "1970-01-01"))
+    ),
+)
 register(
     "kpi_texts",
     lambda spark, sf_dir: reports.key_figure_texts(
@@ -473,7 +560,7 @@ register(
     f" count(*) FILTER (WHERE status >= 400) AS errors FROM ({access_sql()}) GROUP BY path)",
 )
 
-# range -> bucket and label, as DuckDB has them
+# Range -> bucket and label, as DuckDB has them.
 _BUCKETS_SQL = {
     "1h": ("time_bucket(INTERVAL '5 minutes', ts)", "%H:%M"),
     "24h": ("date_trunc('hour', ts)", "%H:%M"),
@@ -703,6 +790,61 @@ register(
     .select("source_ip", "received_at", "raw", "reason"),
     _REJECTS_SQL,
 )
+
+
+def _edited_stream(spark: SparkSession, sf_dir: str) -> LogStore:
+    """Two micro-batches with an edit of the senders between them; the second one is run twice.
+
+    Odd ids come after 10.0.0.5 was removed and 10.0.0.7 added.
+    """
+    folder = shared_folder(spark, "edited")
+    traffic = samples.traffic(spark, sf_dir)
+    store = LogStore(f"{folder}/store")
+    sources = SourceTable(spark, f"{folder}/sources", store.registry.names())
+    sources.write(samples.senders(traffic))
+
+    def take_in(rows: DataFrame) -> None:
+        samples.capture(rows).coalesce(1).write.mode("append").parquet(f"{folder}/capture")
+        start_ingest(
+            stream_capture(spark, f"{folder}/capture"), sources, store,
+            checkpoint=f"{folder}/checkpoint", trigger={"availableNow": True},
+        ).awaitTermination()
+
+    take_in(traffic.where("id % 2 = 0"))
+    sources.remove("10.0.0.5")
+    sources.add("new", "10.0.0.7", "apache")
+    late = traffic.where("id % 2 = 1")
+    take_in(late)
+    query_id = store.read_rejects(spark).first()["query_id"]
+    pinned = sources.read_for_batch(query_id, 1)
+    store.write_batch(samples.capture(late), pinned, query_id, 1)
+    return store
+
+
+register(
+    "stream_with_edit",
+    lambda spark, sf_dir: _edited_stream(spark, sf_dir)
+    .read(spark)
+    .select("batch_id", *[f.name for f in Registry.with_defaults().schemas()["apache"].fields]),
+    f"SELECT CAST(id % 2 AS BIGINT) AS batch_id, {ACCESS_COLUMNS} FROM ({samples.traffic_sql()}) WHERE NOT is_bad"
+    " AND CASE WHEN id % 2 = 0 THEN peer_ip <= '10.0.0.5' ELSE peer_ip <= '10.0.0.4' OR peer_ip = '10.0.0.7' END",
+)
+
+
+def _stream_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "live")
+    samples.capture(samples.traffic(spark, sf_dir)).write.parquet(f"{folder}/capture")
+    rows = parse_messages(to_messages(stream_capture(spark, f"{folder}/capture", 2)), AccessLogType())
+    cutoff = Filter(range="1h").cutoff(AS_OF)
+    start_live_timeline(
+        # Files of the sample cover all times each, so nothing may count as late.
+        rows.where(f"ts >= TIMESTAMP_NTZ'{cutoff}'"), f"{folder}/counts", f"{folder}/checkpoint", late="365 days",
+        trigger={"availableNow": True},
+    ).awaitTermination()
+    return reports.show_timeline(read_live_counts(spark, f"{folder}/counts"), Filter(range="1h").time_range)
+
+
+register("stream_timeline_1h", _stream_timeline, timeline_sql("1h", window_sql("1h")))
 register(
     "stored_dashboard",
     lambda spark, sf_dir: in_one_frame(
@@ -712,6 +854,6 @@ register(
 )
 register(
     "stored_recent",
-    lambda spark, sf_dir: reports.recent(streamed_store(spark, sf_dir).read(spark)),
+    lambda spark, sf_dir: streamed_store(spark, sf_dir).recent(spark),
     _RECENT_SQL.format(rows=ingested_sql()),
 )

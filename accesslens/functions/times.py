@@ -24,6 +24,12 @@ def utc_ntz(instant: Column) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), ntz(_EPOCH))
 
 
+def instant_of(time: Column) -> Column:
+    """TIMESTAMP of a wall-clock time in UTC, in whole seconds: what watermarks are kept on."""
+    seconds = F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
+    return F.timestamp_seconds(F.unix_date(time.cast("date")).cast("bigint") * 86400 + seconds)
+
+
 def utc_now() -> datetime:
     return datetime.now(UTC).replace(tzinfo=None)
 

@@ -7,7 +7,7 @@ row per task and distinct bucket and class, path or client.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.status import is_error, status_class
@@ -17,6 +17,9 @@ TIMES_AND_STATUSES = "times_and_statuses"
 PATHS = "paths"
 CLIENTS = "clients"
 
+TOTALS = "totals"
+MOST_FREQUENT = "most_frequent"
+
 _KEYS = ("bucket", "class", "path", "remote_host")
 
 
@@ -50,37 +53,69 @@ def count_panels(
     return counted.select(aspect.alias("aspect"), *_KEYS, "requests", "bytes", "errors")
 
 
-def _aspect(counts: DataFrame, aspect: str) -> DataFrame:
-    return counts.where(F.col("aspect") == aspect)
+def bounded_counts(counts: DataFrame, n: int) -> DataFrame:
+    """What panels need of `count_panels`: (figure, aspect, bucket, class, label, requests, bytes, errors, clients).
+
+    The totals have a row per bucket and class and one each for all paths and all clients; the most
+    frequent are n paths and n clients, of which each task hands on n at most. Both read the same
+    shuffle: every column of `counts` is used on either side, so that their plans are equal below it.
+    """
+
+    def total(column: str) -> Column:
+        return F.sum(column).cast("bigint").alias(column)
+
+    label = F.coalesce("path", "remote_host")
+    totals = counts.groupBy("aspect", "bucket", "class").agg(
+        *map(total, ("requests", "bytes", "errors")),
+        F.count("remote_host").alias("clients"),
+        F.max(label).alias("label"),
+    )
+    order = Window.partitionBy("aspect").orderBy(F.desc("requests"), F.asc_nulls_last("label"))
+    first = (
+        counts.withColumn("label", label)
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= n)
+        .withColumn("clients", F.lit(None).cast("bigint"))
+    )
+    columns = ("aspect", "bucket", "class", "label", "requests", "bytes", "errors", "clients")
+    totals = totals.select(F.lit(TOTALS).alias("figure"), *columns)
+    first = first.select(F.lit(MOST_FREQUENT).alias("figure"), *columns)
+    # Of plans that read one relation Spark gives all but the first new column ids, and compares them
+    # by these: with a first one that the optimizer removes, the two others stay equal.
+    return totals.limit(0).unionByName(totals).unionByName(first)
+
+
+def _figure(bounded: DataFrame, figure: str, aspect: str) -> DataFrame:
+    return bounded.where((F.col("figure") == figure) & (F.col("aspect") == aspect))
 
 
-def key_figures_of(counts: DataFrame) -> DataFrame:
-    """Same as `reports.key_figures`, from the per-client counts."""
+def key_figures_of(bounded: DataFrame) -> DataFrame:
+    """Same as `reports.key_figures`, from the totals of all clients."""
 
     def total(column: str) -> Column:
         return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
 
-    return _aspect(counts, CLIENTS).agg(
+    return _figure(bounded, TOTALS, CLIENTS).agg(
         total("requests").alias("requests"),
-        F.count("remote_host").alias("unique_clients"),
+        total("clients").alias("unique_clients"),
         total("bytes").alias("total_bytes"),
         total("errors").alias("errors"),
     )
 
 
-def bucket_counts(counts: DataFrame) -> DataFrame:
-    times = _aspect(counts, TIMES_AND_STATUSES)
+def bucket_counts(bounded: DataFrame) -> DataFrame:
+    times = _figure(bounded, TOTALS, TIMES_AND_STATUSES)
     return times.groupBy("bucket").agg(F.sum("requests").alias("requests"))
 
 
-def class_counts(counts: DataFrame) -> DataFrame:
-    statuses = _aspect(counts, TIMES_AND_STATUSES).where(F.col("class").isNotNull())
+def class_counts(bounded: DataFrame) -> DataFrame:
+    statuses = _figure(bounded, TOTALS, TIMES_AND_STATUSES).where(F.col("class").isNotNull())
     return statuses.groupBy("class").agg(F.sum("requests").alias("requests"))
 
 
-def path_counts(counts: DataFrame) -> DataFrame:
-    return _aspect(counts, PATHS).select(F.col("path").alias("label"), "requests")
+def path_counts(bounded: DataFrame) -> DataFrame:
+    return _figure(bounded, MOST_FREQUENT, PATHS).select("label", "requests")
 
 
-def client_counts(counts: DataFrame) -> DataFrame:
-    return _aspect(counts, CLIENTS).select(F.col("remote_host").alias("label"), "requests")
+def client_counts(bounded: DataFrame) -> DataFrame:
+    return _figure(bounded, MOST_FREQUENT, CLIENTS).select("label", "requests")

@@ -54,6 +54,29 @@ def key_figures(rows: DataFrame, approximate_clients: bool = False) -> DataFrame
     return rows.agg(*_key_figures(approximate_clients))
 
 
+#: Sketches of 2^12 registers: a standard error of 1.6 % of the count, within 5 % almost always.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def client_sketches(rows: DataFrame) -> DataFrame:
+    """(hour, clients SKETCH) of a few KB at most per hour: kept, they count the clients of any span of hours."""
+    hour = F.window("ts", "1 hour")["start"]
+    return rows.where("ts IS NOT NULL").groupBy(hour.alias("hour")).agg(
+        F.hll_sketch_agg("remote_host", SKETCH_BITS).alias("clients")
+    )
+
+
+def unique_clients_of(sketches: DataFrame) -> DataFrame:
+    """About how many distinct clients these hours had together: one row, also over no hours.
+
+    For long windows over billions of clients; `key_figures` counts exactly. The relative error has
+    a standard deviation of `SKETCH_ERROR`.
+    """
+    estimate = F.hll_sketch_estimate(F.hll_union_agg("clients"))
+    return sketches.agg(F.coalesce(estimate, F.lit(0)).cast("bigint").alias("unique_clients"))
+
+
 def key_figure_texts(figures: DataFrame) -> DataFrame:
     """Add the error rate in percent and both figures that are shown as text."""
     return figures.withColumn("error_rate", error_rate(F.col("errors"), F.col("requests"))).select(
@@ -161,8 +184,13 @@ def recent(rows: DataFrame, n: int = RECENT_ROWS) -> DataFrame:
 
 
 def recent_json(rows: DataFrame, n: int = RECENT_ROWS) -> DataFrame:
-    """`recent` as JSON objects; a missing value is an explicit null."""
-    return recent(rows, n).select(
+    """`recent` as JSON objects."""
+    return as_json(recent(rows, n))
+
+
+def as_json(latest: DataFrame) -> DataFrame:
+    """Rows of `recent` as JSON objects; a missing value is an explicit null."""
+    return latest.select(
         F.to_json(F.struct(*RECENT_COLUMNS), {"ignoreNullFields": "false"}).alias("json")
     )
 

@@ -13,6 +13,7 @@ from ..functions.times import utc_now
 from ..operators import panel_counts as counted
 from ..operators.filters import Filter
 from ..operators.reports import (
+    TOP_N,
     key_figure_texts,
     key_figures,
     report_state,
@@ -39,8 +40,10 @@ def dashboard(
 ) -> dict[str, DataFrame]:
     """One lazy DataFrame per panel, each with a scan of its own once it is asked for.
 
+    Only whether anything is stored is looked up here (see `report_state`).
+
     All share one cutoff and, through `rows`, one file listing. If `rows` was read for recent
-    dates only, `stored` reads the whole table (see `report_state`). `status_mode` says how
+    dates only, `stored` reads the whole table. `status_mode` says how
     status classes are formed (see `status_class`), in the filter as in the breakdown.
     """
     filter = filter.normalized()
@@ -65,16 +68,17 @@ def dashboard_in_one_pass(
 ) -> dict[str, DataFrame]:
     """The same panels after one scan of the window, which runs at once.
 
-    Its counts are written, distributed and by aspect, to `folder` (by default a new one in
-    the cluster's shared checkpoint folder), and the panels read them from there: a lost
-    executor costs no second scan, and nothing stays cached. Prefer this for a whole view, and
+    What the panels show of its counts (a row per bucket and class, and the first of the paths and
+    clients) is written to `folder` (by default a new one in the cluster's shared checkpoint
+    folder), and the panels read it from there: a lost executor costs no second scan, and nothing
+    stays cached. Prefer this for a whole view, and
     `dashboard` for a panel or two.
     """
     filter = filter.normalized()
     covered = filter.apply(rows, as_of or utc_now(), status_mode)
     folder = folder or shared_folder(rows.sparkSession, "panel-counts")
-    plan = counted.count_panels(covered, filter.time_range, status_mode)
-    plan.write.partitionBy("aspect").parquet(folder)
+    plan = counted.bounded_counts(counted.count_panels(covered, filter.time_range, status_mode), TOP_N)
+    plan.write.partitionBy("figure", "aspect").parquet(folder)
     counts = rows.sparkSession.read.schema(plan.schema).parquet(folder)
     return {
         "state": _state_by_counts(rows, counts, stored),

@@ -47,7 +47,8 @@ def _column(name: str) -> Column:
 def classify(routed: DataFrame, registry: Registry) -> DataFrame:
     """One row per message: its entry under the type it was routed to, or the reason it has none.
 
-    Only the parser of the row's own type runs on a row.
+    Only the parser of the row's own type runs on a row. Entries and reason come out of `inline`,
+    below which Catalyst moves no filter: whatever is asked of the result, each parser runs once.
     """
     types = list(registry)
     tokens = {
@@ -60,12 +61,11 @@ def classify(routed: DataFrame, registry: Registry) -> DataFrame:
         .when(~F.col("log_type").isin(registry.names()), UNKNOWN_TYPE)
         .when(~parsed, UNPARSED)
     )
+    tagged = F.struct(*map(_column, entries), reason.alias("reason"))
     return (
         routed.withColumns(tokens)
         .withColumns(entries)
-        .select(
-            "source_ip", "received_at", "raw", *map(_column, entries), reason.alias("reason")
-        )
+        .select("source_ip", "received_at", "raw", F.inline(F.array(tagged)))
     )
 
 
@@ -81,6 +81,15 @@ def rejected(classified: DataFrame) -> DataFrame:
     )
 
 
+def rejected_as(routed: DataFrame, registry: Registry, reason: str) -> DataFrame:
+    """The rejects of one reason; nothing is parsed to find those that routing alone decides."""
+    known = F.col("log_type").isin(registry.names())
+    if reason == UNPARSED:
+        return rejected(classify(routed.where(known), registry))
+    chosen = {UNROUTED: F.col("log_type").isNull(), UNKNOWN_TYPE: ~known}[reason]
+    return routed.where(chosen).select("source_ip", "received_at", "raw", F.lit(reason).alias("reason"))
+
+
 def ingest(
     capture: DataFrame, sources: DataFrame, log_type: LogType, framing: str = "datagrams"
 ) -> DataFrame:

@@ -22,6 +22,7 @@ class LogType(Protocol):
 
     name: str
     entry_schema: T.StructType
+    # Optional `lookups`: entry columns that single rows are looked up by (they get Bloom filters).
 
     def tokens(self, raw: Column) -> Column: ...
 
@@ -36,6 +37,7 @@ class AccessLogType:
 
     name: str = "apache"  # Fixed value: the log type's name in stored source tables.
     entry_schema: T.StructType = ACCESS_ENTRY
+    lookups: tuple[str, ...] = ("remote_host", "path")
 
     def tokens(self, raw: Column) -> Column:
         return access_tokens(raw)

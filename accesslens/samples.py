@@ -7,7 +7,11 @@ builds the raw syslog line from them and has to get the same columns back by par
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # table -> its columns as (id, sent, user_id, kind, value)
 BASES = {
@@ -107,6 +111,22 @@ STEPS: list[dict[str, str]] = [
 SENDERS = {f"10.0.0.{n}": "apache" for n in range(6)} | {"10.0.0.6": "mailer"}
 
 
+@dataclass(frozen=True)
+class NoteType:
+    """A second log type: the messages that are no access lines, with the number they end in."""
+
+    name: str
+    entry_schema: T.StructType = T.StructType(
+        [T.StructField("ts", T.TimestampNTZType()), T.StructField("note", T.StringType())]
+    )
+
+    def tokens(self, raw: Column) -> Column:
+        return F.regexp_extract(raw, r"^not an access line (\d+)$", 1)
+
+    def entry(self, tokens: Column) -> Column:
+        return F.when(tokens != "", F.struct(F.lit(None).cast("timestamp_ntz").alias("ts"), tokens.alias("note")))
+
+
 def _typed(expression: str, text: str, timestamp: str) -> str:
     return expression.replace("{S}", text).replace("{T}", timestamp)
 

@@ -12,7 +12,6 @@ import threading
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,12 +78,9 @@ class SourceTable:
         return self.read_version(pin["version"])
 
     def _pinned(self, path: str) -> Row | None:
-        try:
-            return self._spark.read.schema("batch_id BIGINT, version INT").parquet(path).first()
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
+        if not Folder(self._spark, path).names():
+            return None
+        return self._spark.read.schema("batch_id BIGINT, version INT").parquet(path).first()
 
     def write(self, rows: DataFrame, after: int | None = None) -> None:
         """Store the version that follows `after`, by default the one this thread has read last.

@@ -8,11 +8,20 @@ from pyspark.sql import types as T
 from accesslens import Filter, LogStore, Registry, SourceTable, start_ingest
 from accesslens.operators import routing
 from accesslens.operators.framing import to_messages
+from accesslens.operators.reports import recent
 from accesslens.operators.panel_counts import count_panels
-from accesslens.plans.ingest import accepted, classify, ingest, reject_report, rejected
+from accesslens.plans.ingest import accepted, classify, ingest, parse_messages, reject_report, rejected, rejected_as
 from accesslens.plans.registry import AccessLogType
 from accesslens.sources.capture import read_text_capture, stream_capture, stream_text_capture
-from accesslens.sources.log_table import dates_since, read_log
+from accesslens.sources.log_table import (
+    dates_since,
+    newest_folders,
+    read_folders,
+    read_log,
+    write_arrivals,
+    write_log_batch,
+)
+from accesslens.streaming.live import read_live_counts, start_live_timeline
 from tests.helpers import captures
 
 ACCESS = b'h - - [12/Jun/2026:09:00:00 +0000] "GET /%d HTTP/1.1" 200 1'
@@ -136,6 +145,18 @@ def test_parsing_runs_its_expression_once(spark):
     assert plan.count("regexp_replace") == 2  # envelope and line
 
 
+@pytest.mark.parametrize("reason, passes", [("unparsed", 2), ("unrouted", 1), ("unknown_type", 1), (None, 2)])
+def test_rejects_parse_once_or_not_at_all(spark, reason, passes):
+    routed = routing.route(to_messages(captures(spark, MIXED)), mixed_sources(spark))
+    registry = Registry.with_defaults()
+    rows = reject_report(rejected(classify(routed, registry))) if reason is None else rejected_as(routed, registry, reason)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == passes  # one of them opens the envelope
+    if reason:
+        want = sorted(tuple(r) for r in rejected(classify(routed, registry)).where(F.col("reason") == reason).collect())
+        assert sorted(map(tuple, rows.collect())) == want
+
+
 def hot_messages(spark):
     """A third of all messages from one sender."""
     return spark.range(9_000).selectExpr(
@@ -162,6 +183,17 @@ def test_large_routing_table_is_joined_with_salt(spark):
     assert small.count() == 9_000
 
 
+def test_only_frequent_senders_are_spread(spark):
+    messages, table = hot_messages(spark), many_sources(spark)
+    assert routing.frequent_senders(messages) == ["10.0.0.1"]
+    assert routing.frequent_senders(messages.limit(0)) == []
+    assert len(routing.frequent_senders(messages, one_in=2000)) <= 2000
+    large = routing.route(messages, table, max_broadcast_bytes=100)
+    assert "CASE WHEN (source_ip#" in (plan := large._jdf.queryExecution().optimizedPlan().toString()) and "explode" in plan
+    odd = messages.limit(3).selectExpr("CAST(NULL AS STRING) AS source_ip", "hostname", "received_at", "raw")
+    assert routing.route(odd, table, max_broadcast_bytes=0).where("log_type IS NULL").count() == 3
+
+
 def test_routing_table_size_is_measured(spark):
     routes = routing.routing_table(many_sources(spark))
     assert routing.fits_broadcast(routes)
@@ -435,6 +467,118 @@ def test_a_view_scans_its_columns_once(spark, store):
     )
 
 
+def opened(frame):
+    return {f.split("received_date=")[1] for f in frame.inputFiles()}
+
+
+def test_latest_rows_open_the_newest_folders_only(spark, store):
+    day = [datetime(2026, 6, 10 + n, 9) for n in range(4)]
+
+    def batch(batch_id, times):
+        rows = captures(spark, [("10.0.0.1", ACCESS % (100 * batch_id + n)) for n, _ in enumerate(times)])
+        stamped = spark.createDataFrame(
+            [(r["peer_ip"], t, r["payload"]) for r, t in zip(rows.collect(), times, strict=True)], rows.schema
+        )
+        store.write_batch(stamped, mixed_sources(spark), "q", batch_id)
+
+    assert store.recent(spark).count() == 0
+    batch(0, [day[0]] * 60)
+    batch(1, [day[1]] * 3 + [day[0]])
+    batch(2, [day[3], day[2]])
+    root = store.arrivals_path("apache")
+    newest = {n: newest_folders(spark, root, n) for n in (1, 2, 5, 50, 66, 67)}
+    assert [len(newest[n] or ()) for n in (1, 2, 5)] == [1, 2, 3] and newest[67] is None
+    assert len(newest[66]) == 5 and all("batch_id=2" in f for f in newest[2])
+    schema = store.registry.schemas()["apache"]
+    picked = read_folders(spark, store.table_path("apache"), schema, newest[5])
+    assert {f[:10] for f in opened(picked)} == {"2026-06-11", "2026-06-12", "2026-06-13"}
+    for n in (1, 2, 4, 5, 6, 50, 66, 80):
+        got, want = store.recent(spark, n=n), recent(store.read(spark).drop("received_date"), n)
+        assert got.collect() == want.collect() and got.count() == min(n, 66)
+    batch(2, [day[3], day[2]])  # again
+    assert store.recent(spark, n=80).count() == 66
+
+
+def test_folders_that_overlap_in_time_are_all_read(spark, store, tmp_path):
+    times = "received_at TIMESTAMP_NTZ, ts TIMESTAMP_NTZ"
+    spans = {0: (1, 9), 1: (4, 5), 2: (2, 3), 3: (8, 8)}
+    root = str(tmp_path / "arrivals")
+    for batch_id, (first, last) in spans.items():
+        rows = [(datetime(2026, 6, 12, hour), None) for hour in (first, last)]
+        write_arrivals(spark.createDataFrame(rows, times), root, "q", batch_id)
+    write_arrivals(spark.createDataFrame([(None, None)], times), root, "q", 9)
+
+    def batches(n):
+        return sorted(int(f.rsplit("=")[-1]) for f in newest_folders(spark, root, n))
+
+    assert batches(1) == batches(2) == [0, 3]  # the newest row is in batch 0, which reaches far back
+    assert batches(3) == batches(4) == [0, 1, 3]
+    assert batches(5) == [0, 1, 2, 3] and batches(9) == [0, 1, 2, 3, 9]
+
+
+def test_lookups_leave_out_row_groups_without_the_value(spark, tmp_path):
+    rows = spark.range(0, 200_000, 1, 2).selectExpr(
+        "'10.0.0.1' AS source_ip", "concat('10.', id % 250, '.', id div 800, '.', id % 251) AS remote_host",
+        "concat('/page/', uuid()) AS path", "timestamp_ntz'2026-06-12 09:00:00' AS ts",
+        "timestamp_ntz'2026-06-12 09:00:01' AS received_at",
+    )
+    schema = T.StructType([rows.schema[name] for name in ("source_ip", "remote_host", "path", "ts", "received_at")])
+
+    def rows_read(root, condition):
+        frame = read_log(spark, root, schema).where(condition).select("path")
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan()
+        metrics = plan.collectLeaves().head().metrics()
+        return metrics.apply("numOutputRows").value()
+
+    plain, filtered = str(tmp_path / "plain"), str(tmp_path / "filtered")
+    write_log_batch(rows, plain, "q", 0, regroup=False)
+    write_log_batch(rows, filtered, "q", 0, regroup=False, lookups=("remote_host", "path"))
+    for condition in ("remote_host = '10.100.100.none'", "path = '/page/8'"):
+        assert rows_read(plain, condition) == 200_000
+        assert rows_read(filtered, condition) == 0
+    known = read_log(spark, filtered, schema).first()
+    assert rows_read(filtered, f"path = '{known['path']}'") > 0
+
+
+def test_every_message_of_a_batch_is_accounted_for(spark, tmp_path, source_table, store):
+    told = {}
+    land(spark, tmp_path / "capture", MIXED)
+    land(spark, tmp_path / "capture", MIXED[:2])
+    run(spark, tmp_path, source_table, store, report=told.__setitem__)
+    assert sorted(c.captured for c in told.values()) == [2, 7]
+    whole = next(c for c in told.values() if c.captured == 7)
+    assert (whole.stored, whole.unrouted, whole.unknown_type, whole.unparsed) == (2, 2, 1, 2)
+    for counts in told.values():
+        assert counts.captured == counts.stored + counts.unrouted + counts.unknown_type + counts.unparsed
+    stored = store.read(spark).count() + store.read(spark, "kv").count()
+    assert stored == sum(c.stored for c in told.values())
+
+
+def test_live_timeline_counts_late_rows_within_the_watermark(spark, tmp_path, zone):
+    zone("Asia/Kathmandu")
+
+    def land_at(*minutes):
+        lines = [b'h - - [12/Jun/2026:%02d:%02d:30 +0000] "GET / HTTP/1.1" 200 1' % divmod(m, 60) for m in minutes]
+        land(spark, tmp_path / "capture", [("10.0.0.1", line) for line in [*lines, b'h - - [?] "GET / HTTP/1.1" 200 1']])
+        rows = parse_messages(to_messages(stream_capture(spark, str(tmp_path / "capture"), 1)), AccessLogType())
+        query = start_live_timeline(
+            rows, str(tmp_path / "live"), str(tmp_path / "checkpoint"), late="30 minutes", trigger={"availableNow": True}
+        )
+        query.awaitTermination()
+
+    def counts():
+        live = read_live_counts(spark, str(tmp_path / "live")).orderBy("bucket").collect()
+        return {r["bucket"].hour * 60 + r["bucket"].minute: r["requests"] for r in live}
+
+    land_at(0, 1, 7, 60)
+    assert counts() == {0: 2, 5: 1, 60: 1}
+    land_at(58, 61, 62)  # 58 is late, but within half an hour of 60
+    assert counts() == {0: 2, 5: 1, 55: 1, 60: 3}
+    land_at(2, 120)  # 2 is beyond: its bucket stays as it was
+    assert counts() == {0: 2, 5: 1, 55: 1, 60: 3, 120: 1}
+
+
 def test_a_burst_lands_whole(spark, tmp_path, source_table, store):
     land(spark, tmp_path / "capture", [("10.0.0.1", ACCESS % n) for n in range(500)])
     run(spark, tmp_path, source_table, store)

@@ -18,7 +18,7 @@ from accesslens.functions.times import (
     label_month_day,
     label_year_month,
 )
-from accesslens.operators import reports
+from accesslens.operators import panel_counts, reports
 from accesslens.operators.filters import RANGES
 from accesslens.sources.log_table import with_pruning_columns
 from tests.helpers import access_rows, parse
@@ -199,6 +199,42 @@ def test_one_pass_equals_panel_by_panel(spark, sf_dir, filter):
         assert apart[panel].dtypes == together[panel].dtypes, panel
 
 
+def test_a_view_writes_what_its_panels_show(spark, tmp_path):
+    """Totals and the first paths and clients; the rows are read once, whatever is taken from them."""
+    rows = spark.range(0, 5_000, 1, 4).selectExpr(
+        "timestampadd(MINUTE, id % 50, timestamp_ntz'2026-06-12 09:00:00') AS ts", "concat('c', id % 700) AS remote_host",
+        "IF(id = 0, NULL, concat('/', id)) AS path", "CAST(200 + 100 * (id % 3) AS INT) AS status", "id AS bytes",
+    )
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    bounded = panel_counts.bounded_counts(panel_counts.count_panels(rows, RANGES["1h"]), 10)
+    assert bounded.count() == 10 * 3 + 2 + 10 * 3  # buckets by classes, all paths, all clients; three aspects' first
+    bounded.collect()
+    plan = bounded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+    folder = str(tmp_path / "counts")
+    view = dashboard_in_one_pass(rows, Filter(range="1h"), datetime(2026, 6, 12, 9, 30), folder)
+    assert spark.read.parquet(folder).count() <= 62
+    assert view["key_figures"].first()["unique_clients"] == 700
+    apart = dashboard(rows, Filter(range="1h"), datetime(2026, 6, 12, 9, 30))
+    for panel in apart:
+        assert plain(apart[panel]) == plain(view[panel]), panel
+
+
+def test_sketches_count_clients_about(spark):
+    rows = spark.range(60_000).selectExpr(
+        "timestampadd(MINUTE, id % 300, timestamp_ntz'2026-06-12 09:00:00') AS ts", "concat('c', id % 50000) AS remote_host"
+    )
+    sketches = reports.client_sketches(rows)
+    assert sketches.count() == 5
+    whole = reports.unique_clients_of(sketches).first()[0]
+    assert abs(whole - 50_000) < 3 * reports.SKETCH_ERROR * 50_000
+    hour = reports.unique_clients_of(sketches.where("hour = TIMESTAMP_NTZ'2026-06-12 10:00:00'")).first()[0]
+    exact = rows.where("hour(ts) = 10").select("remote_host").distinct().count()
+    assert abs(hour - exact) < 3 * reports.SKETCH_ERROR * exact
+    assert reports.unique_clients_of(sketches.limit(0)).first()[0] == 0
+
+
 @pytest.mark.parametrize("view", [dashboard, dashboard_in_one_pass])
 def test_views_of_true_classes(spark, view):
     rows = access_rows(spark, [(T0, "a", "/", s, 1) for s in (404, 451, 499, 500, 550)])
