@@ -1,10 +1,14 @@
 """BPE encoding through a minimal acyclic transducer of frequent words, and decoding.
 
-The corpus' frequent words are counted in Spark and encoded once; a minimal automaton that shares
-prefixes and suffixes maps each of them to its number (the sum of the outputs along its path,
-which works whatever suffixes are shared), and the number to its token ids. The automaton is one
-flat block of bytes of bounded size: it is sent to the executors, put in a file there and
-memory-mapped. Words it does not hold are merged exactly, by rank.
+A text is taken apart at its spaces, as no token crosses one. The words so found are counted over
+the whole corpus in Spark and the frequent ones encoded once; a minimal automaton that shares
+prefixes and suffixes maps each of them to its number (the sum of the outputs along its path, which
+works whatever suffixes are shared), and the number to its token ids. The automaton is one flat
+block of bytes of bounded size: it is sent to the executors, put in a file there and memory-mapped.
+
+Texts are encoded in blocks of bounded size. Every distinct word of a block is walked through the
+automaton, all of them together, a byte a step; those it does not hold are told apart into the
+vocabulary's own words and merged exactly, again together, a merge a step.
 """
 
 from __future__ import annotations
@@ -16,25 +20,30 @@ import re
 import tempfile
 import unicodedata
 from array import array
-from collections import Counter
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import most_frequent, settle
 
-#: Words compiled into the automaton, and how often a word must occur to be worth it.
-LEXICON_WORDS = 20_000
+#: Words compiled into the automaton, their bytes, and how often a word must occur to be worth it.
+LEXICON_WORDS = 100_000
+WORD_BYTES = 64
 MIN_COUNT = 2
-#: Distinct words a task remembers or counts before it starts anew.
-_WORDS_HELD = 400_000
+#: Bytes of text that are encoded, or counted, at a time.
+ENCODED_BYTES = 4 << 20
+COUNTED_BYTES = 16 << 20
+#: Words of so many bytes are merged together; longer ones, which are rare, one by one.
+_TOGETHER = 32
 
 
 def _byte_characters() -> list[str]:
@@ -62,6 +71,7 @@ class Vocabulary:
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.specials.items()}
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern["pattern"]["Regex"])
+        self.words_and_spaces = regex.compile(f"{pattern['pattern']['Regex']}| ")
         marks = sorted(self.specials, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
         self.parts_at_spaces = not any(" " in mark for mark in marks)
@@ -69,10 +79,89 @@ class Vocabulary:
         # and merge with nothing, as it has no unknown token.
         self.within = [self.ids.get(c, -1) for c in _byte_characters()]
         self.at_end = [self.ids.get(c + self.end, -1) for c in _byte_characters()]
+        # The same for many words at once: pairs in order, and the ranks of two bytes side by side.
+        self._size = max(self.tokens) + 1
+        pairs = np.array([left * self._size + right for left, right in self.ranks], np.int64)
+        order = np.argsort(pairs)
+        self._pairs, self._pair_ranks = pairs[order], np.fromiter(self.ranks.values(), np.int32, len(pairs))[order]
+        self._joined = np.array(self.joined, np.int32)
+        self._within, self._at_end = np.array(self.within, np.int32), np.array(self.at_end, np.int32)
+        self._byte_ranks, self._last_ranks = (
+            self._ranks_of(np.repeat(self._within, 256), np.tile(second, 256)).reshape(256, 256)
+            for second in (self._within, self._at_end)
+        )
 
-    def chunks(self, text: str) -> list[str]:
-        """Parts of a text that can be told apart into words each by itself: no word holds a space."""
-        return text.split(" ") if self.parts_at_spaces else [text]
+    def chunks(self, texts: pa.Array) -> pa.ListArray:
+        """Parts of texts that can be told apart into words each by itself: no word holds a space."""
+        if self.parts_at_spaces:
+            return pc.split_pattern(texts, " ")
+        return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32), texts)
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; pairs that do not merge have the number of ranks."""
+        none = len(self.joined)
+        if not none:
+            return np.full(len(left), none, np.int32)
+        keys = left.astype(np.int64) * self._size + right
+        at = np.minimum(np.searchsorted(self._pairs, keys), none - 1)
+        return np.where((self._pairs[at] == keys) & (left >= 0) & (right >= 0), self._pair_ranks[at], none).astype(np.int32)
+
+    def merge_together(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many per word) of words given as runs of bytes, none of them empty.
+
+        As `merge`, for all words at once: each round makes one merge in every word that has one left.
+        """
+        none, width = len(self.joined), int(lengths.max())
+        column = np.arange(width)
+        inside = column < lengths[:, None]
+        raw = np.where(inside, data[np.where(inside, starts[:, None] + column, 0)], 0)
+        last = column == lengths[:, None] - 1
+        ids = np.where(inside, np.where(last, self._at_end[raw], self._within[raw]), -1)
+        ranks = np.full((len(starts), width), none, np.int32)
+        pair = np.where(last[:, 1:], self._last_ranks[raw[:, :-1], raw[:, 1:]], self._byte_ranks[raw[:, :-1], raw[:, 1:]])
+        ranks[:, :-1] = np.where(inside[:, 1:], pair, none)
+
+        done = ids.copy()
+        rows = np.arange(len(starts))
+        while True:
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(rows)), at]
+            going = best < none
+            if not going.all():
+                done[rows[~going]] = ids[~going]
+                rows, ids, ranks, at, best = rows[going], ids[going], ranks[going], at[going], best[going]
+            if not len(rows):
+                break
+            one = np.arange(len(rows))
+            ids[one, at] = self._joined[best]
+            # What follows the pair moves one place to the left; two ranks are new.
+            after = np.minimum(column + (column > at[:, None]), width - 1)
+            ids = np.take_along_axis(ids, after, axis=1)
+            ids[:, -1] = -1
+            ranks = np.take_along_axis(ranks, np.minimum(column + (column >= at[:, None]), width - 1), axis=1)
+            ranks[:, -1] = none
+            follows = np.minimum(at + 1, width - 1)
+            right = np.where(at + 1 < width, ids[one, follows], -1)
+            ranks[one, at] = self._ranks_of(ids[one, at], right)
+            before = np.flatnonzero(at > 0)
+            ranks[before, at[before] - 1] = self._ranks_of(ids[before, at[before] - 1], ids[before, at[before]])
+        known = done >= 0
+        return done[known], known.sum(axis=1)
+
+    def token_table(self) -> pa.Array:
+        """The token of every id; NULL where there is none."""
+        return pa.array([self.tokens.get(i) for i in range(self._size)], pa.string())
+
+    def all_pieces(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
+        """(pieces, how many per chunk) of many chunks."""
+        together = " ".join(chunks)
+        if not self.parts_at_spaces or self.marks is not None and self.marks.search(together):
+            pieces = list(map(self.pieces, chunks))
+            return list(chain.from_iterable(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        found = np.array(self.words_and_spaces.findall(_normal(together)), object)
+        space = found == " "
+        ends = np.append(np.flatnonzero(space), len(found)) - np.arange(len(chunks))
+        return found[~space].tolist(), np.diff(ends, prepend=0)
 
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens of a text, in order; white space goes."""
@@ -180,22 +269,21 @@ def compile_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
     below: list[int] = []  # words from a node on; edges lead to nodes finished before
     for final, edges in nodes:
         below.append(final + sum(below[target] for _, target in edges))
-    first, final_flags, labels, targets, outputs = [0], [], [], [], []
-    for final, edges in nodes:
+    edges_out, final_flags, targets, outputs = [], [], [], []
+    for number, (final, edges) in enumerate(nodes):
         passed = int(final)
         final_flags.append(passed)
         for label, target in edges:
-            labels.append(label)
+            edges_out.append(number << 8 | label)  # ascending, as labels are within a node
             targets.append(target)
             outputs.append(passed)
             passed += below[target]
-        first.append(len(labels))
     starts, ids = [0], []
     for word in order:
         ids.extend(entries[word])
         starts.append(len(ids))
-    parts = [array("I", p) for p in (first, final_flags, labels, targets, outputs, starts, ids)]
-    head = array("I", [root, *map(len, parts)])
+    parts = [array("I", p) for p in (edges_out, final_flags, targets, outputs, starts, ids)]
+    head = array("I", [root, max(map(len, order), default=0), *map(len, parts)])
     return b"".join(p.tobytes() for p in (head, *parts))
 
 
@@ -207,31 +295,45 @@ class Lexicon:
             file.write(block)
             file.flush()
             self._map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        numbers = memoryview(self._map).cast("I")
-        self._root, *sizes = numbers[:8]
+        numbers = np.frombuffer(self._map, np.uint32)
+        self._root, self._longest, *sizes = map(int, numbers[:8])
         at, parts = 8, []
         for size in sizes:
             parts.append(numbers[at : at + size])
             at += size
-        self._first, self._final, self._labels, self._targets, self._outputs, self._starts, self._ids = parts
+        self._edges, self._final, self._targets, self._outputs, self.starts, self.ids = parts
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
         node, number = self._root, 0
         for byte in word:
-            low, high = self._first[node], self._first[node + 1]
-            while low < high:
-                middle = (low + high) // 2
-                if self._labels[middle] < byte:
-                    low = middle + 1
-                else:
-                    high = middle
-            if low == self._first[node + 1] or self._labels[low] != byte:
+            edge = node << 8 | byte
+            at = bisect_left(self._edges, edge)
+            if at == len(self._edges) or self._edges[at] != edge:
                 return None
-            number += self._outputs[low]
-            node = self._targets[low]
+            number += int(self._outputs[at])
+            node = int(self._targets[at])
         if not self._final[node]:
             return None
-        return tuple(self._ids[self._starts[number] : self._starts[number + 1]])
+        return tuple(map(int, self.ids[self.starts[number] : self.starts[number + 1]]))
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The numbers of words given as runs of bytes, -1 for those it does not hold."""
+        node = np.full(len(starts), self._root, np.uint32)
+        number = np.zeros(len(starts), np.int64)
+        number[lengths > self._longest] = -1
+        active = np.flatnonzero(number == 0)
+        for step in range(self._longest):
+            active = active[lengths[active] > step]
+            if not len(active):
+                break
+            wanted = node[active] << np.uint32(8) | data[starts[active] + step]
+            at = np.minimum(np.searchsorted(self._edges, wanted), len(self._edges) - 1)
+            found = self._edges[at] == wanted
+            number[active[~found]] = -1
+            active, at = active[found], at[found]
+            node[active] = self._targets[at]
+            number[active] += self._outputs[at]
+        return np.where(self._final[node] == 1, number, -1)
 
 
 # One per Python worker, however many batches and tasks it serves.
@@ -245,112 +347,231 @@ def _lexicon(block: bytes) -> Lexicon:
     return Lexicon(block)
 
 
-class _Encoder(dict):
-    """Chunk to ids: remembered, else its words remembered, looked up or merged."""
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(data, starts, lengths) of an array of strings."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(1, np.uint8), ends[:-1], np.diff(ends)
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        self._vocabulary, self._lexicon = vocabulary, lexicon
 
-        self._words: dict[str, tuple[int, ...]] = {}
+class Runs:
+    """Lists of numbers, one after the other."""
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        words = self._vocabulary.pieces(chunk)
-        ids = self._word(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self._word, words)))
-        if len(self) >= _WORDS_HELD:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+    def __init__(self, starts: np.ndarray, lengths: np.ndarray, values: np.ndarray):
+        self.starts, self.lengths, self.values = starts, lengths, values
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = self._words.get(word)
-        if ids is None:
-            ids = self._lexicon.get(word.encode("utf-8", "replace"))
-            if ids is None:
-                ids = self._vocabulary.merge(word)
-            if len(self._words) >= _WORDS_HELD:
-                self._words.clear()
-            if len(word) <= 64:
-                self._words[word] = ids
-        return ids
+    @classmethod
+    def of(cls, lengths: np.ndarray, values: np.ndarray) -> Runs:
+        return cls(np.cumsum(lengths) - lengths, lengths, values)
 
+    def take(self, places: np.ndarray) -> Runs:
+        """The lists at these places, as lists of their own."""
+        lengths = self.lengths[places]
+        ends = np.cumsum(lengths)
+        within = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[places] - (ends - lengths), lengths)
+        return Runs(ends - lengths, lengths, self.values[within])
 
-def word_counts(docs: DataFrame, text_col: str, vocabulary: str) -> DataFrame:
-    """(word, n) over all texts, counted within tasks first."""
+    def gathered(self, counts: np.ndarray) -> Runs:
+        """Neighbouring lists put together, so many at a time; only for lists without gaps."""
+        ends = np.concatenate(([0], np.cumsum(self.lengths)))
+        cuts = ends[np.concatenate(([0], np.cumsum(counts)))]
+        return Runs(cuts[:-1], np.diff(cuts), self.values)
 
-    def run(batches):
-        known, held = _vocabulary(vocabulary), Counter()
+    def replaced(self, places: np.ndarray, other: Runs) -> Runs:
+        """With the lists at these places replaced by those of `other`."""
+        starts, lengths = self.starts.copy(), self.lengths.copy()
+        starts[places], lengths[places] = other.starts + len(self.values), other.lengths
+        return Runs(starts, lengths, np.concatenate([self.values, other.values]))
 
-        def told() -> pd.DataFrame:
-            words = Counter()
-            for chunk, n in held.items():
-                for word in known.pieces(chunk):
-                    words[word] += n
-            held.clear()
-            return pd.DataFrame({"word": list(words), "n": list(words.values())})
 
-        for batch in batches:
-            for text in batch["text"]:
-                held.update(known.chunks(text or ""))
-                if len(held) > _WORDS_HELD:
-                    yield told()
-        yield told()
+class Encoder:
+    """Texts to token ids, a block at a time."""
 
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(run, "word STRING, n BIGINT")
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
+        self._vocabulary, self._lexicon = vocabulary, lexicon
+        self.parts_at_spaces = vocabulary.parts_at_spaces
+        self.asked, self.answered = 0, 0  # words of the texts, and those that the automaton holds
+
+    def encode(self, texts: pa.Array) -> Runs:
+        """Ids per text. Texts must not be NULL."""
+        parted = self._vocabulary.chunks(texts)
+        words = parted.flatten().dictionary_encode()
+        places = words.indices.to_numpy(zero_copy_only=False)
+        held = self._held(words.dictionary)
+        unseen = np.flatnonzero(held.lengths < 0)
+        self.asked += len(places)
+        self.answered += int((held.lengths[places] >= 0).sum())
+        if len(unseen):
+            held = held.replaced(unseen, self._unseen(words.dictionary.take(pa.array(unseen)).to_pylist()))
+        counts = np.diff(parted.offsets.to_numpy())
+        return held.take(places).gathered(counts)
+
+    def _held(self, words: pa.Array) -> Runs:
+        """Ids by the automaton; a length of -1 for words it does not hold."""
+        numbers, starts = self._lexicon.numbers(*_bytes_of(words)), self._lexicon.starts.astype(np.int64)
+        known = np.maximum(numbers, 0)
+        last = np.minimum(known + 1, len(starts) - 1)
+        return Runs(starts[np.minimum(known, len(starts) - 1)], np.where(numbers >= 0, starts[last] - starts[known], -1),
+                    self._lexicon.ids.astype(np.int32))
+
+    def _unseen(self, chunks: list[str]) -> Runs:
+        pieces, counts = self._vocabulary.all_pieces(chunks)
+        words = pa.array(pieces, pa.string()).dictionary_encode()
+        held = self._held(words.dictionary)
+        rest = np.flatnonzero(held.lengths < 0)
+        if len(rest):
+            held = held.replaced(rest, self._merged(words.dictionary.take(pa.array(rest))))
+        return held.take(words.indices.to_numpy(zero_copy_only=False)).gathered(counts)
+
+    def _merged(self, words: pa.Array) -> Runs:
+        data, starts, lengths = _bytes_of(words)
+        marks = pa.array(list(self._vocabulary.specials), pa.string())
+        special = pc.is_in(words, value_set=marks).to_numpy(zero_copy_only=False)
+        alone = special | (lengths > _TOGETHER) | (lengths == 0)
+        all_lengths, values = np.zeros(len(words), np.int64), np.zeros(0, np.int32)
+        all_starts = np.zeros(len(words), np.int64)
+        # Words of like length together, so that rows are not wider than they need be.
+        for low, high in ((0, 8), (8, 16), (16, _TOGETHER)):
+            few = np.flatnonzero(~alone & (lengths > low) & (lengths <= high))
+            if len(few):
+                ids, many = self._vocabulary.merge_together(data, starts[few], lengths[few])
+                all_lengths[few] = many
+                all_starts[few] = np.cumsum(many) - many + len(values)
+                values = np.concatenate([values, ids])
+        for i in np.flatnonzero(alone):
+            ids = np.array(self._vocabulary.merge(words[int(i)].as_py()), np.int32)
+            all_lengths[i], all_starts[i] = len(ids), len(values)
+            values = np.concatenate([values, ids])
+        return Runs(all_starts, all_lengths, values)
+
+
+def _blocks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of so many bytes, or of one longer text."""
+    ends = np.cumsum(_bytes_of(texts)[2]) if len(texts) else np.zeros(0, np.int64)
+    start, before = 0, 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, end
+        start, before = end, int(ends[end - 1])
+
+
+def _texts(column: pa.Array) -> pa.Array:
+    return pc.fill_null(column.cast(pa.string()), "")
+
+
+def word_counts(docs: DataFrame, text_col: str, vocabulary: str) -> DataFrame:
+    """(word, n) over all texts of the words between spaces that the automaton may hold, counted within blocks first."""
+
+    def run(batches):
+        known = _vocabulary(vocabulary)
+        for batch in batches:
+            texts = _texts(batch.column(0))
+            for start, end in _blocks(texts, COUNTED_BYTES):
+                counted = known.chunks(texts.slice(start, end - start)).flatten().value_counts()
+                words = counted.field("values")
+                sizes = pc.binary_length(words)
+                usable = pc.and_(pc.greater(sizes, 0), pc.less_equal(sizes, WORD_BYTES))
+                yield pa.RecordBatch.from_arrays([words, counted.field("counts")], ["word", "n"]).filter(usable)
+
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word STRING, n BIGINT")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(
     docs: DataFrame, text_col: str, vocabulary: str, size: int = LEXICON_WORDS, min_count: int = MIN_COUNT
 ) -> list[str]:
-    """The most frequent words of at most 64 characters, at most `size` of them."""
-    counts = settle(word_counts(docs, text_col, vocabulary), "word-counts")
-    usable = counts.where((F.col("n") >= min_count) & (F.char_length("word") <= 64))
-    return [word for word, _ in most_frequent(usable, size)]
+    """The most frequent words of at most 64 bytes, at most `size` of them."""
+    counts = settle(word_counts(docs, text_col, vocabulary).where(F.col("n") >= min_count), "word-counts")
+    return [word for word, _ in most_frequent(counts, size)]
 
 
 def build_lexicon(words: list[str], vocabulary: str) -> bytes:
-    merge = _vocabulary(vocabulary).merge
-    return compile_lexicon({w.encode("utf-8", "replace"): merge(w) for w in words})
+    known = _vocabulary(vocabulary)
+    return compile_lexicon({
+        word.encode("utf-8", "replace"): tuple(chain.from_iterable(map(known.merge, known.pieces(word)))) for word in words
+    })
 
 
 def encode(docs: DataFrame, vocabulary: str, lexicon: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """`docs` with `ids_col` ARRAY<INT>: the whole text's token ids. NULL or empty texts have none."""
+    """`docs` with `ids_col` ARRAY<INT>: the whole text's token ids; a column of that name is replaced.
+
+    NULL or empty texts have none. Texts longer than a block are encoded in parts, cut at spaces.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, lexicon))
+    rows = _without(docs, ids_col, text_col)
+    read = rows.columns
+    at, names = read.index(text_col), [c for c in read if c.lower() != ids_col.lower()]
 
     def run(batches):
         spec, block = shared.value
-        known = _vocabulary(spec)
-        encoder = _Encoder(known, _lexicon(block))
+        encoder = Encoder(_vocabulary(spec), _lexicon(block))
         for batch in batches:
-            ids, ends = array("i"), [0]
-            for text in batch.column(text_col).to_pylist():
-                ids.extend(chain.from_iterable(map(encoder.__getitem__, known.chunks(text or ""))))
-                ends.append(len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids_col])
+            texts = _texts(batch.column(at))
+            for start, end in _blocks(texts, ENCODED_BYTES):
+                few = texts.slice(start, end - start)
+                if end - start == 1 and _bytes_of(few)[2][0] > ENCODED_BYTES:
+                    parts = [encoder.encode(pa.array([part], pa.string())) for part in _parts(few[0].as_py(), encoder)]
+                    ids = Runs.of(np.array([sum(int(p.lengths[0]) for p in parts)]), np.concatenate([p.values for p in parts]))
+                else:
+                    ids = encoder.encode(few)
+                ends = np.append(ids.starts, len(ids.values)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.values.astype(np.int32)))
+                part = batch.slice(start, end - start)
+                columns = [part.column(i) for i, c in enumerate(read) if c in names]
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=[*names, ids_col])
 
     # A map over batches, not a UDF: Spark would run a UDF anew inside each one that reads its ids.
-    schema = StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
-    return docs.mapInArrow(run, schema)
+    fields = [f for f in rows.schema.fields if f.name in names]
+    return rows.mapInArrow(run, StructType([*fields, StructField(ids_col, ArrayType(IntegerType()))]))
+
+
+def _parts(text: str, encoder: Encoder) -> Iterator[str]:
+    """A long text in parts that end before a space; the space itself is no word."""
+    step, start = ENCODED_BYTES // 4, 0
+    while start < len(text):
+        end = text.find(" ", start + step) if encoder.parts_at_spaces else -1
+        end = len(text) if end < 0 else end
+        yield text[start:end]
+        start = end
+
+
+def _without(docs: DataFrame, column: str, but: str) -> DataFrame:
+    """`docs` without the column that is to be made, unless that is the one it is made from."""
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower() or c == but))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """`docs` with `text_col`: the tokens of the ids, parted by a space, special tokens included.
 
     That is what the vocabulary's library gives where a vocabulary names no decoder. NULL ids give
-    an empty text; ids outside the vocabulary give nothing.
+    an empty text; ids outside the vocabulary give nothing. A column of that name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = _without(docs, text_col, ids_col)
+    read = rows.columns
+    at, names = read.index(ids_col), [c for c in read if c.lower() != text_col.lower()]
 
-    @F.pandas_udf("string")
-    def text_of(rows: pd.Series) -> pd.Series:
-        tokens = _vocabulary(shared.value).tokens
-        return pd.Series(
-            [" ".join([tokens[i] for i in (() if r is None else list(r)) if i in tokens]) for r in rows], dtype=object
-        )
-
-    return docs.withColumn(text_col, text_of(F.col(ids_col)))
+    def run(batches):
+        table = _vocabulary(shared.value).token_table()
+        for batch in batches:
+            lists = pc.fill_null(batch.column(at), pa.scalar([], batch.column(at).type))
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.concatenate(([-1], np.cumsum(sizes) // (ENCODED_BYTES // 4)))))
+            for start, end in pairwise([*cuts, batch.num_rows]):
+                few = lists.slice(start, end - start)
+                ids, counts = few.flatten().to_numpy(zero_copy_only=False), sizes[start:end]
+                known = (ids >= 0) & (ids < len(table))
+                tokens = table.take(pa.array(np.where(known, ids, 0)))
+                known &= tokens.is_valid().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(end - start), counts)[known]
+                ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=end - start)))).astype(np.int32)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens.filter(pa.array(known))), " ")
+                part = batch.slice(start, end - start)
+                columns = [part.column(i) for i, c in enumerate(read) if c in names]
+                yield pa.RecordBatch.from_arrays([*columns, joined], names=[*names, text_col])
+
+    fields = [f for f in rows.schema.fields if f.name in names]
+    return rows.mapInArrow(run, StructType([*fields, StructField(text_col, StringType())]))
 
 
 def read_vocabulary(path: str) -> str:

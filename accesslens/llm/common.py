@@ -74,23 +74,29 @@ def join_by_group(
 def most_frequent(counts: DataFrame, size: int) -> list[tuple[bytes | str, int]]:
     """(word, n) of the most frequent words, at most `size`, most frequent first, ties by word.
 
-    All words above a count or none: the count is found from a histogram of bounded size, so that
-    no task sends more than its share of the result (a sorted limit would send `size` per task).
+    Counts are found from a histogram of bounded size, so that no task sends more than its share of
+    the result (a sorted limit would send `size` per task). Of the first count that does not fit as
+    a whole, words are taken by ranges of a hash, so that ties leave out few and never all.
     """
     level = F.when(F.col("n") < 1024, F.col("n").cast("double")).otherwise(F.floor(F.log2("n") * 64) * 1.0 + 1024)
-    histogram = (
-        counts.groupBy(level.alias("level"))
-        .agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"))
-        .orderBy(F.desc("least"))
-        .collect()
-    )
-    held, threshold = 0, None
-    for row in histogram:
-        held += row["words"]
-        if held > size:
+    part = F.pmod(F.xxhash64(F.col("word").cast("string"), F.lit(1)), F.lit(4096)).cast("int")
+    levelled = counts.select("word", "n", level.alias("level"), part.alias("part"))
+    held, last = 0, None
+    fitting = []
+    for row in levelled.groupBy("level").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect():
+        if held + row["words"] > size:
+            last = row["level"]
             break
-        threshold = row["least"]
-    if threshold is None:
-        return []
-    rows = counts.where(F.col("n") >= threshold).select("word", "n").collect()
+        held += row["words"]
+        fitting.append(row["level"])
+    wanted = F.col("level") >= min(fitting) if fitting else F.lit(False)
+    if last is not None:
+        parts = 0
+        for row in levelled.where(F.col("level") == last).groupBy("part").count().orderBy("part").collect():
+            if held + row["count"] > size:
+                break
+            held += row["count"]
+            parts = row["part"] + 1
+        wanted = wanted | ((F.col("level") == last) & (F.col("part") < parts))
+    rows = levelled.where(wanted).select("word", "n").collect()
     return sorted(((row["word"], row["n"]) for row in rows), key=lambda x: (-x[1], x[0]))

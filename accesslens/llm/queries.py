@@ -74,12 +74,13 @@ def op6_bpe_lexicon(spark: SparkSession, sf_dir: str, vocabulary_path: str | Non
 
 
 def encoded_digests(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
-    """`docs` encoded and decoded, with digests of both instead of the ids and texts themselves."""
+    """`docs` encoded and decoded: digests of ids and decoded text instead of `text`, ids and texts themselves."""
     vocabulary = read_vocabulary(vocabulary_path or public_tokenizers.path("word_bpe_49k.json"))
     lexicon = build_lexicon(frequent_words(docs, "text", vocabulary), vocabulary)
-    both = decode(encode(docs, vocabulary, lexicon), vocabulary)
+    kept = [c for c in docs.columns if c != "text"]
+    both = decode(encode(docs, vocabulary, lexicon).drop("text"), vocabulary)
     return both.select(
-        *docs.columns,
+        *kept,
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),

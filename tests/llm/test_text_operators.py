@@ -8,11 +8,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from check import compare, duck
 from tokenizers import Tokenizer
 
 from accesslens.llm import bpe_lexicon, hidden_markov, mil_quality, pii_crf, site_templates
+from accesslens.llm.common import most_frequent
 from accesslens.llm.decontamination import doublings, find_items
 from accesslens.llm.exact_dedup import exact_duplicates
 from accesslens.llm.line_dedup import drop_boilerplate_lines
@@ -203,6 +205,54 @@ def test_bpe_equals_the_library(spark):
         assert row["ids"] == want and row["decoded"] == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("size", [0, 5, 2_000])
+def test_words_in_and_outside_the_automaton_are_encoded_alike(spark, monkeypatch, size):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    spec, library = bpe_lexicon.read_vocabulary(path), Tokenizer.from_file(path)
+    random = np.random.default_rng(size)
+    letters = list("aabcdeeénoßİΣσ中'’.,!1٣ \n\t") + ["  ", "<|endoftext|>", "ing", "tion", "\u0301"]
+    texts = ["".join(random.choice(letters, random.integers(0, 60))) for _ in range(400)] + ["", " ", "x" * 700]
+    frame = docs(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    lexicon = bpe_lexicon.build_lexicon(bpe_lexicon.frequent_words(frame, "text", spec, size=size, min_count=1), spec)
+    encoder = bpe_lexicon.Encoder(bpe_lexicon.Vocabulary(spec), bpe_lexicon.Lexicon(lexicon))
+    ids = encoder.encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        got = ids.values[ids.starts[i] : ids.starts[i] + ids.lengths[i]].tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids, text
+    assert (encoder.answered > 0) == (size > 0)
+
+
+def test_long_texts_are_encoded_in_parts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    spec, library = bpe_lexicon.read_vocabulary(path), Tokenizer.from_file(path)
+    text = "Héllo wörld, and  so on.\n" * 300_000
+    frame = docs(spark, [(1, text, "a"), (2, "x" * 5_000_000, "a"), (3, "short", "a"), (4, " " * 5_000_000, "a")])
+    got = {r["doc_id"]: r["ids"] for r in bpe_lexicon.encode(frame, spec, bpe_lexicon.build_lexicon([], spec)).collect()}
+    assert got[1] == library.encode(text, add_special_tokens=False).ids
+    assert got[3] == library.encode("short", add_special_tokens=False).ids and got[4] == []
+    assert got[2] == library.encode("x" * 5_000_000, add_special_tokens=False).ids
+
+
+def test_columns_that_encoding_makes_are_replaced(spark):
+    spec = bpe_lexicon.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    frame = spark.createDataFrame([(1, "a b", "x", 5), (1, "a b", "x", 5), (None, None, None, None)],
+                                  "doc_id BIGINT, text STRING, decoded STRING, IDS INT")
+    both = bpe_lexicon.decode(bpe_lexicon.encode(frame, spec, bpe_lexicon.build_lexicon(["a"], spec)), spec)
+    assert both.columns == ["doc_id", "text", "ids", "decoded"]
+    assert [tuple(r)[3] for r in both.collect()] == ["a</w> b</w>", "a</w> b</w>", ""]
+    odd = spark.createDataFrame([([0, -1, 10**6, 49407],), (None,), ([],)], "ids ARRAY<INT>")
+    assert [r["decoded"] for r in bpe_lexicon.decode(odd, spec).collect()] == ["! <|endoftext|>", "", ""]
+    nothing = bpe_lexicon.decode(bpe_lexicon.encode(frame.limit(0), spec, bpe_lexicon.build_lexicon([], spec)), spec)
+    assert nothing.count() == 0
+
+
+def test_ties_do_not_empty_the_frequent_words(spark):
+    counts = spark.range(30_000).selectExpr("concat('w', id) AS word", "IF(id < 10, 9, 3) AS n")
+    found = most_frequent(counts, 5_000)
+    assert 4_900 <= len(found) <= 5_000 and [n for _, n in found[:10]] == [9] * 10
+    assert len(most_frequent(counts, 10)) == 10 and most_frequent(counts.limit(0), 10) == []
+
+
 def test_lexicon_is_minimal_and_exact():
     entries = {w.encode(): (i, i + 1) for i, w in enumerate(["walking", "talking", "talk", "walk", "é", "balking"])}
     lexicon = bpe_lexicon.Lexicon(bpe_lexicon.compile_lexicon(entries))
