@@ -41,7 +41,7 @@ WORD_BYTES = 64
 MIN_COUNT = 2
 #: Bytes of text that are encoded, or counted, at a time.
 ENCODED_BYTES = 4 << 20
-COUNTED_BYTES = 16 << 20
+COUNTED_BYTES = 8 << 20
 #: Words of so many bytes are merged together; longer ones, which are rare, one by one.
 _TOGETHER = 32
 
@@ -472,6 +472,8 @@ def word_counts(docs: DataFrame, text_col: str, vocabulary: str) -> DataFrame:
                 sizes = pc.binary_length(words)
                 usable = pc.and_(pc.greater(sizes, 0), pc.less_equal(sizes, WORD_BYTES))
                 yield pa.RecordBatch.from_arrays([words, counted.field("counts")], ["word", "n"]).filter(usable)
+                del counted, words
+                pa.default_memory_pool().release_unused()
 
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word STRING, n BIGINT")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -492,37 +494,61 @@ def build_lexicon(words: list[str], vocabulary: str) -> bytes:
     })
 
 
-def encode(docs: DataFrame, vocabulary: str, lexicon: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: str, lexicon: bytes, text_col: str = "text", ids_col: str = "ids",
+    decoded_col: str | None = None, keep_text: bool = True,
+) -> DataFrame:
     """`docs` with `ids_col` ARRAY<INT>: the whole text's token ids; a column of that name is replaced.
 
     NULL or empty texts have none. Texts longer than a block are encoded in parts, cut at spaces.
+    With `decoded_col` the ids are decoded at once, as by `decode` but by the same Python worker.
     """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, lexicon))
-    rows = _without(docs, ids_col, text_col)
+    new = {c.lower() for c in (ids_col, decoded_col) if c}
+    rows = _without(docs, new, text_col)
     read = rows.columns
-    at, names = read.index(text_col), [c for c in read if c.lower() != ids_col.lower()]
+    at, names = read.index(text_col), [c for c in read if c.lower() not in new and (keep_text or c != text_col)]
+    made = [ids_col, *([decoded_col] if decoded_col else [])]
+
+    def encoded(encoder: Encoder, texts: pa.Array) -> Runs:
+        if len(texts) > 1 or _bytes_of(texts)[2][0] <= ENCODED_BYTES:
+            return encoder.encode(texts)
+        parts = [encoder.encode(pa.array([part], pa.string())) for part in _parts(texts[0].as_py(), encoder)]
+        return Runs.of(np.array([sum(int(p.lengths[0]) for p in parts)]), np.concatenate([p.values for p in parts]))
 
     def run(batches):
         spec, block = shared.value
-        encoder = Encoder(_vocabulary(spec), _lexicon(block))
+        known, encoder = _vocabulary(spec), Encoder(_vocabulary(spec), _lexicon(block))
+        table = known.token_table()
         for batch in batches:
             texts = _texts(batch.column(at))
             for start, end in _blocks(texts, ENCODED_BYTES):
-                few = texts.slice(start, end - start)
-                if end - start == 1 and _bytes_of(few)[2][0] > ENCODED_BYTES:
-                    parts = [encoder.encode(pa.array([part], pa.string())) for part in _parts(few[0].as_py(), encoder)]
-                    ids = Runs.of(np.array([sum(int(p.lengths[0]) for p in parts)]), np.concatenate([p.values for p in parts]))
-                else:
-                    ids = encoder.encode(few)
-                ends = np.append(ids.starts, len(ids.values)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.values.astype(np.int32)))
+                ids = encoded(encoder, texts.slice(start, end - start))
+                values = ids.values.astype(np.int32)
+                ends = pa.array(np.append(ids.starts, len(values)).astype(np.int32))
+                added = [pa.ListArray.from_arrays(ends, pa.array(values))]
+                if decoded_col:
+                    added.append(_decoded(table, values, ids.lengths))
                 part = batch.slice(start, end - start)
                 columns = [part.column(i) for i, c in enumerate(read) if c in names]
-                yield pa.RecordBatch.from_arrays([*columns, lists], names=[*names, ids_col])
+                yield pa.RecordBatch.from_arrays([*columns, *added], names=[*names, *made])
+                pa.default_memory_pool().release_unused()
 
     # A map over batches, not a UDF: Spark would run a UDF anew inside each one that reads its ids.
-    fields = [f for f in rows.schema.fields if f.name in names]
-    return rows.mapInArrow(run, StructType([*fields, StructField(ids_col, ArrayType(IntegerType()))]))
+    fields = [f for f in rows.schema.fields if f.name in names] + [StructField(ids_col, ArrayType(IntegerType()))]
+    if decoded_col:
+        fields.append(StructField(decoded_col, StringType()))
+    return rows.mapInArrow(run, StructType(fields))
+
+
+def _decoded(table: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The texts of lists of ids, given one after the other."""
+    known = (ids >= 0) & (ids < len(table))
+    tokens = table.take(pa.array(np.where(known, ids, 0)))
+    known &= tokens.is_valid().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(counts)), counts)[known]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(counts))))).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens.filter(pa.array(known))), " ")
 
 
 def _parts(text: str, encoder: Encoder) -> Iterator[str]:
@@ -535,9 +561,9 @@ def _parts(text: str, encoder: Encoder) -> Iterator[str]:
         start = end
 
 
-def _without(docs: DataFrame, column: str, but: str) -> DataFrame:
-    """`docs` without the column that is to be made, unless that is the one it is made from."""
-    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower() or c == but))
+def _without(docs: DataFrame, new: set[str], but: str) -> DataFrame:
+    """`docs` without the columns that are to be made, unless that is the one they are made from."""
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new or c == but))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -547,7 +573,7 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str
     an empty text; ids outside the vocabulary give nothing. A column of that name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rows = _without(docs, text_col, ids_col)
+    rows = _without(docs, {text_col.lower()}, ids_col)
     read = rows.columns
     at, names = read.index(ids_col), [c for c in read if c.lower() != text_col.lower()]
 
@@ -558,17 +584,10 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.diff(np.concatenate(([-1], np.cumsum(sizes) // (ENCODED_BYTES // 4)))))
             for start, end in pairwise([*cuts, batch.num_rows]):
-                few = lists.slice(start, end - start)
-                ids, counts = few.flatten().to_numpy(zero_copy_only=False), sizes[start:end]
-                known = (ids >= 0) & (ids < len(table))
-                tokens = table.take(pa.array(np.where(known, ids, 0)))
-                known &= tokens.is_valid().to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(end - start), counts)[known]
-                ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=end - start)))).astype(np.int32)
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens.filter(pa.array(known))), " ")
+                ids = lists.slice(start, end - start).flatten().to_numpy(zero_copy_only=False)
                 part = batch.slice(start, end - start)
                 columns = [part.column(i) for i, c in enumerate(read) if c in names]
-                yield pa.RecordBatch.from_arrays([*columns, joined], names=[*names, text_col])
+                yield pa.RecordBatch.from_arrays([*columns, _decoded(table, ids, sizes[start:end])], names=[*names, text_col])
 
     fields = [f for f in rows.schema.fields if f.name in names]
     return rows.mapInArrow(run, StructType([*fields, StructField(text_col, StringType())]))

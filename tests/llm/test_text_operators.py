@@ -240,6 +240,9 @@ def test_columns_that_encoding_makes_are_replaced(spark):
     both = bpe_lexicon.decode(bpe_lexicon.encode(frame, spec, bpe_lexicon.build_lexicon(["a"], spec)), spec)
     assert both.columns == ["doc_id", "text", "ids", "decoded"]
     assert [tuple(r)[3] for r in both.collect()] == ["a</w> b</w>", "a</w> b</w>", ""]
+    at_once = bpe_lexicon.encode(frame, spec, bpe_lexicon.build_lexicon(["a"], spec), decoded_col="decoded", keep_text=False)
+    assert at_once.columns == ["doc_id", "ids", "decoded"]
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, both.select("doc_id", "ids", "decoded").collect()))
     odd = spark.createDataFrame([([0, -1, 10**6, 49407],), (None,), ([],)], "ids ARRAY<INT>")
     assert [r["decoded"] for r in bpe_lexicon.decode(odd, spec).collect()] == ["! <|endoftext|>", "", ""]
     nothing = bpe_lexicon.decode(bpe_lexicon.encode(frame.limit(0), spec, bpe_lexicon.build_lexicon([], spec)), spec)
