@@ -40,8 +40,8 @@ LEXICON_WORDS = 100_000
 WORD_BYTES = 64
 MIN_COUNT = 2
 #: Bytes of text that are encoded, or counted, at a time.
-ENCODED_BYTES = 4 << 20
-COUNTED_BYTES = 8 << 20
+ENCODED_BYTES = 2 << 20
+COUNTED_BYTES = 4 << 20
 #: Words of so many bytes are merged together; longer ones, which are rare, one by one.
 _TOGETHER = 32
 

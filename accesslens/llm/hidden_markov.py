@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,18 @@ from .common import most_frequent, settle
 STATES = 8
 #: Words with a class of their own, classes shared by the others, words resolved without a join.
 OWN_CLASSES, SHARED_CLASSES, RESOLVED_WORDS = 1024, 1024, 65_536
-#: Baum-Welch rounds, each over all training documents.
+#: Baum-Welch rounds at most, each over all training documents, and the share of the log likelihood
+#: that a round must gain for another one to follow.
 ROUNDS = 14
+LEAST_GAIN = 1e-3
 
 _END = OWN_CLASSES + SHARED_CLASSES  # the class of the token that ends a text
 CLASSES = _END + 1
 _WORDS_HELD = 200_000
-_TOKENS_AT_ONCE = 400_000
+_TEXTS_AT_ONCE = 512
+#: Tokens that a step of the recursions is held for at once, and of texts side by side, ends filled up.
+_TOKENS_AT_ONCE = 50_000
+_CELLS = 1_500_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -128,40 +134,52 @@ def code(texts: DataFrame, known: Lexicon) -> DataFrame:
     def run(batches):
         lex = shared.value
         own = lex.classes()
-        logs = {word: float(x) for word, x in zip(lex.counts, np.log10(np.array([*lex.counts.values(), 1]) + 0.5), strict=False)}
-        class_of: dict[bytes, int] = {}
+        logs = dict(zip(lex.counts, np.log10(np.array([*lex.counts.values(), 1]) + 0.5).tolist(), strict=False))
         end_log = float(np.log10(lex.documents + 0.5))
         for batch in batches:
-            n, seen, sums, totals, classes = [], [], [], [], []
-            rare, rare_counts, ends = [], [], [0]
-            for text in batch.column(3).to_pylist():
-                words = words_of(text)
-                if len(class_of) > _WORDS_HELD:
-                    class_of.clear()
-                for word in set(words).difference(class_of):
-                    at = own.get(word)
-                    class_of[word] = _shared_class(word) if at is None else at
-                ids = np.empty(len(words) + 1, np.uint16)
-                ids[:-1] = list(map(class_of.__getitem__, words))
-                ids[-1] = _END
-                found = [x for x in map(logs.get, words) if x is not None]
-                others = Counter(w for w in words if w not in logs) if len(found) < len(words) else Counter()
-                n.append(len(ids))
-                seen.append(len(found) + (lex.documents > 0))
-                sums.append(sum(found) + end_log)
-                totals.append(float(lex.class_total[ids].sum()))
-                classes.append(ids.tobytes())
-                rare.extend(others)
-                rare_counts.extend(others.values())
-                ends.append(len(rare))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-            columns = [*batch.columns[:3]]
-            columns += [pa.array(c, k) for c, k in zip((n, seen, sums, totals, classes), kinds, strict=True)]
-            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(rare_counts, pa.int32())], ["word", "n"])
-            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
-            yield pa.RecordBatch.from_arrays(
-                columns, names=["row", "doc_id", "held_out", "n_tokens", "known", "log_counts", "log_totals", "classes", "rare"]
-            )
+            texts = batch.column(3)
+            for first in range(0, batch.num_rows, _TEXTS_AT_ONCE):
+                few = [words_of(text) for text in texts.slice(first, _TEXTS_AT_ONCE).to_pylist()]
+                # Each distinct word once: its class, and the logarithm of its count where that is known here.
+                words = pa.array(list(chain.from_iterable(few)), pa.binary()).dictionary_encode()
+                places = words.indices.to_numpy(zero_copy_only=False)
+                distinct = words.dictionary.to_pylist()
+                class_of = np.array([_shared_class(w) if (at := own.get(w)) is None else at for w in distinct], np.uint16)
+                log_of = np.array([logs.get(w, np.nan) for w in distinct])
+                found = log_of[places]
+                known_here, found = ~np.isnan(found), np.nan_to_num(found)
+                lengths = np.array(list(map(len, few)))
+                of_text = np.repeat(np.arange(len(few)), lengths)
+
+                # Words and, after each text's, its end.
+                tokens = np.full(len(places) + len(few), _END, np.uint16)
+                tokens[np.arange(len(places)) + of_text] = class_of[places]
+                cuts = np.cumsum(lengths + 1)
+                totals = np.add.reduceat(lex.class_total[tokens], cuts - lengths - 1)
+
+                # The others, counted per text.
+                pairs, times = np.unique(of_text[~known_here] * len(distinct) + places[~known_here], return_counts=True)
+                ends = np.searchsorted(pairs, np.arange(len(few) + 1) * len(distinct))
+                rare = words.dictionary.take(pa.array(pairs % max(1, len(distinct))))
+                rare = pa.StructArray.from_arrays([rare, pa.array(times.astype(np.int32))], ["word", "n"])
+
+                def per_text(values, base, of_text=of_text, few=few):
+                    return np.bincount(of_text, values, len(few)) + base
+
+                part = batch.slice(first, _TEXTS_AT_ONCE)
+                columns = [
+                    *part.columns[:3],
+                    pa.array(lengths + 1, pa.int64()),
+                    pa.array(per_text(known_here, lex.documents > 0).astype(np.int64)),
+                    pa.array(per_text(found, end_log)),
+                    pa.array(totals),
+                    pa.array([t.tobytes() for t in np.split(tokens, cuts[:-1])], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rare),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    columns,
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "log_counts", "log_totals", "classes", "rare"],
+                )
 
     kind = dict(texts.dtypes)["doc_id"]
     return texts.select("row", "doc_id", "held_out", "text").mapInArrow(run, _CODED.format(kind=kind))
@@ -180,6 +198,9 @@ class Model:
         move = chance.gamma(1.0, size=(STATES, STATES)) + 0.5 + 8 * np.eye(STATES)
         return Model(np.full(STATES, 1 / STATES), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
+    def single(self) -> Model:
+        return Model(*(part.astype(np.float32) for part in (self.start, self.move, self.emit)))
+
     @staticmethod
     def from_counts(flat: np.ndarray) -> Model:
         start, move, emit, _ = _parts(flat)
@@ -201,81 +222,139 @@ def _groups(texts: list[np.ndarray]):
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     at = 0
     while at < len(order):
-        width = max(1, _TOKENS_AT_ONCE // len(texts[order[at]]))
+        width = max(1, _CELLS // len(texts[order[at]]))
         yield order[at : at + width]
         at += width
 
 
-def _forward(model: Model, texts: list[np.ndarray]):
-    """Scaled forward recursion over texts sorted by falling length, one step for all of them at once."""
-    lengths = np.array([len(t) for t in texts])
-    steps = int(lengths[0])
-    seen = np.zeros((steps, len(texts)), np.int64)
-    for i, text in enumerate(texts):
-        seen[: len(text), i] = text
-    active = np.searchsorted(-lengths, -np.arange(steps), "left")  # texts longer than t
-    emitted = model.emit[seen]
+class _Padded:
+    """Texts sorted by falling length, side by side: a column each, a step of all of them at a time."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        lengths = np.array([len(t) for t in texts])
+        self.steps, self.columns = int(lengths[0]), len(texts)
+        self.seen = np.zeros((self.steps, self.columns), np.uint16)
+        for i, text in enumerate(texts):
+            self.seen[: len(text), i] = text
+        # Texts longer than t, for every step t and the one after the last.
+        self.active = np.searchsorted(-lengths, -np.arange(self.steps + 1), "left")
+
+    def blocks(self) -> list[tuple[int, int]]:
+        """Runs of steps whose arrays are of bounded size, however long the texts are."""
+        cuts = [0]
+        while cuts[-1] < self.steps:
+            cuts.append(min(cuts[-1] + max(1, _TOKENS_AT_ONCE // self.active[cuts[-1]]), self.steps))
+        return list(pairwise(cuts))
+
+
+def _forward(model: Model, padded: _Padded, first: int, last: int, before: np.ndarray | None):
+    """Scaled forward recursion over the steps [first, last), from the state probabilities before them.
+
+    Emissions and state probabilities are (states, steps, texts); a text that has ended has zeros.
+    """
+    kind = model.emit.dtype
+    emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    width = padded.active[first]
+    seen = padded.seen[first:last, :width].astype(np.intp)
+    emitted = np.take(emit, seen, axis=1, mode="clip")
     alpha = np.zeros_like(emitted)
-    scale = np.ones((steps, len(texts)))
-    for t in range(steps):
-        n = active[t]
-        now = emitted[t, :n] * (model.start if t == 0 else alpha[t - 1, :n] @ model.move)
-        total = now.sum(axis=1)
-        alpha[t, :n] = now / total[:, None]
+    scale = np.ones((last - first, width), kind)
+    for t in range(last - first):
+        n = padded.active[first + t]
+        now = emitted[:, t, :n] * (model.start[:, None] if before is None else move @ before[:, :n])
+        total = now.sum(axis=0)
+        np.divide(now, total, out=alpha[:, t, :n])
         scale[t, :n] = total
-    return seen, active, emitted, alpha, scale
+        before = alpha[:, t, :]
+    return emitted, alpha, scale
 
 
 def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Exact log10 likelihood of each sequence of classes."""
     out = np.zeros(len(texts))
     for group in _groups(texts):
-        *_, scale = _forward(model, [texts[i] for i in group])
-        out[group] = np.log10(scale).sum(axis=0)
+        padded, before = _Padded([texts[i] for i in group]), None
+        for first, last in padded.blocks():
+            _, alpha, scale = _forward(model, padded, first, last, before)
+            before = alpha[:, -1, :].copy()
+            out[group[: scale.shape[1]]] += np.log10(scale).sum(axis=0)
     return out
 
 
 def expected_counts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """Baum-Welch: expected starts, moves and emissions over the texts, and their log10 likelihood."""
+    """Baum-Welch: expected starts, moves and emissions over the texts, and their log10 likelihood.
+
+    Texts too long to be held as a whole go through block by block: forward once to know the states
+    at each block's start, then backward, each block forward once more.
+    """
     flat = np.zeros(_SIZE)
-    start, move, emit, likelihood = _parts(flat)
     for group in _groups(texts):
-        seen, active, emitted, alpha, scale = _forward(model, [texts[i] for i in group])
-        steps = len(seen)
-        beta = np.ones_like(alpha)
-        later = np.zeros_like(alpha)  # emission times beta over scale, of the next step
-        emitted /= scale[:, :, None]
-        for t in range(steps - 2, -1, -1):
-            n = active[t + 1]
-            later[t, :n] = emitted[t + 1, :n] * beta[t + 1, :n]
-            beta[t, :n] = later[t, :n] @ model.move.T
-        gamma = alpha * beta
-        here = (np.arange(gamma.shape[1])[None, :] < active[:, None]).ravel()
-        flat_seen, flat_gamma = seen.ravel()[here], gamma.reshape(-1, STATES)[here]
-        start += gamma[0].sum(axis=0)
-        move += alpha.reshape(-1, STATES).T @ later.reshape(-1, STATES) * model.move
-        for state in range(STATES):
-            emit[:, state] += np.bincount(flat_seen, flat_gamma[:, state], CLASSES)
-        likelihood += np.log10(scale).sum()
+        padded = _Padded([texts[i] for i in group])
+        blocks = padded.blocks()
+        held, befores = [], [None]
+        for first, last in blocks:
+            held.append(_forward(model, padded, first, last, befores[-1]))
+            befores.append(held[-1][1][:, -1, :].copy())
+            if padded.steps * padded.columns > _CELLS:
+                held[-1] = None  # one very long text
+        after = np.zeros((STATES, 0), model.emit.dtype)
+        for (first, last), before, forward in reversed(list(zip(blocks, befores, held, strict=False))):
+            after = _add_block(flat, model, padded, first, forward or _forward(model, padded, first, last, before), after)
+            held.pop()
     return flat
 
 
+def _add_block(flat, model: Model, padded: _Padded, first: int, forward: tuple, after: np.ndarray) -> np.ndarray:
+    """Add a block's counts; `after`, and what is returned, is emission times beta over scale of the step that follows."""
+    start, move, emit, likelihood = _parts(flat)
+    emitted, alpha, scale = forward
+    emitted /= scale
+    beta, later = np.ones_like(alpha), np.zeros_like(alpha)
+    for t in range(len(scale) - 1, -1, -1):
+        n = after.shape[1]
+        later[:, t, :n] = after
+        np.matmul(model.move, after, out=beta[:, t, :n])
+        n = padded.active[first + t]
+        after = emitted[:, t, :n] * beta[:, t, :n]
+    move += alpha.reshape(STATES, -1) @ later.reshape(STATES, -1).T * model.move
+    alpha *= beta  # now the probabilities of the states given the whole text
+    if first == 0:
+        start += alpha[:, 0, :].sum(axis=1)
+    seen = padded.seen[first : first + len(scale), : alpha.shape[2]].ravel()
+    for state in range(STATES):
+        emit[:, state] += np.bincount(seen, alpha[state].ravel(), CLASSES)
+    likelihood += np.log10(scale).sum(dtype=float)
+    return after
+
+
 def _sequences(column) -> list[np.ndarray]:
-    return [np.frombuffer(b, np.uint16).astype(np.int64) for b in column.to_pylist()]
+    return [np.frombuffer(b, np.uint16) for b in column.to_pylist()]
+
 
+def train(
+    coded: DataFrame, documents: int, rounds: int = ROUNDS, least_gain: float = LEAST_GAIN,
+    told: list[float] | None = None,
+) -> Model:
+    """Baum-Welch from a random model; every round counts over all training documents.
 
-def train(coded: DataFrame, documents: int, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch from a random model; every round counts over all training documents."""
+    Ends after `rounds`, or as soon as a round's log10 likelihood exceeds the one before by less than
+    `least_gain` of it. `told` is given each round's, of the model that the round started from.
+    """
     training = coded.where("NOT held_out")
-    model = Model.random()
+    model, likelihoods = Model.random(), [] if told is None else told
     for _ in range(rounds if documents else 0):
-        model = Model.from_counts(_counts(training, model))
+        flat = _counts(training, model)
+        model = Model.from_counts(flat)
+        likelihoods.append(float(flat[-1]))
+        if len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < least_gain * abs(likelihoods[-2]):
+            break
     return model
 
 
 def _counts(training: DataFrame, model: Model) -> np.ndarray:
     """Expected counts summed over tasks in Spark; what arrives has the fixed size of the model."""
-    shared = training.sparkSession.sparkContext.broadcast(model)
+    # Single precision for the recursions of a round; sums over texts are double.
+    shared = training.sparkSession.sparkContext.broadcast(model.single())
 
     def run(batches):
         flat = np.zeros(_SIZE)

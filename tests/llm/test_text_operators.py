@@ -307,8 +307,47 @@ def test_every_round_counts_over_all_training_documents(spark):
         model = hidden_markov.Model.from_counts(hidden_markov.expected_counts(model, texts))
     rows = [(i, False, t.astype(np.uint16).tobytes()) for i, t in enumerate(texts)] + [(-1, True, b"\x05\x00" * 50)]
     coded = spark.createDataFrame(rows, "row BIGINT, held_out BOOLEAN, classes BINARY").repartition(5)
-    got = hidden_markov.train(coded, len(texts), rounds=3)
-    assert np.allclose(got.start, model.start) and np.allclose(got.move, model.move) and np.allclose(got.emit, model.emit)
+    told = []
+    got = hidden_markov.train(coded, len(texts), rounds=3, told=told)
+    for part, want in zip((got.start, got.move, got.emit), (model.start, model.move, model.emit), strict=True):
+        assert np.allclose(part, want, rtol=1e-4)
+    assert len(told) == 3 and told == sorted(told)
+    assert len(hidden_markov.Model.random().single().emit) == hidden_markov.CLASSES
+    hidden_markov.train(coded, len(texts), rounds=9, least_gain=0.9, told=(few := []))
+    assert len(few) == 2
+
+
+def test_counts_agree_with_all_paths_and_do_not_depend_on_blocks(monkeypatch):
+    """Expected counts against a sum over every path of states, and long texts in blocks of steps."""
+    model = hidden_markov.Model.random(7)
+    texts = [np.array([3, 9, 3, hidden_markov._END], np.uint16), np.array([hidden_markov._END], np.uint16)]
+    emit, move = np.zeros_like(model.emit), np.zeros_like(model.move)
+    for text in texts:
+        weights = {}
+        for path in np.ndindex(*[hidden_markov.STATES] * len(text)):
+            p = model.start[path[0]] * model.emit[text[0], path[0]]
+            for t in range(1, len(text)):
+                p *= model.move[path[t - 1], path[t]] * model.emit[text[t], path[t]]
+            weights[path] = p
+        total = sum(weights.values())
+        for path, p in weights.items():
+            share = p / total
+            for t, state in enumerate(path):
+                emit[text[t], state] += share
+                if t:
+                    move[path[t - 1], state] += share
+    flat = hidden_markov.expected_counts(model, texts)
+    _, got_move, got_emit, _ = hidden_markov._parts(flat)
+    assert np.allclose(got_emit, emit) and np.allclose(got_move, move)
+
+    chance = np.random.default_rng(1)
+    texts = [np.append(chance.integers(0, 50, n), hidden_markov._END).astype(np.uint16) for n in (700, 3, 40, 1, 90)]
+    whole = hidden_markov.expected_counts(model, texts), hidden_markov.log_likelihoods(model, texts)
+    monkeypatch.setattr(hidden_markov, "_TOKENS_AT_ONCE", 37)
+    monkeypatch.setattr(hidden_markov, "_CELLS", 400)
+    parts = hidden_markov.expected_counts(model, texts), hidden_markov.log_likelihoods(model, texts)
+    for one, other in zip(whole, parts, strict=True):
+        assert np.allclose(one, other)
 
 
 def test_quality_of_held_out_documents(spark):
