@@ -1,14 +1,22 @@
 """Main text of web pages, with the templates of their sites removed.
 
-Every element subtree of a page is hashed (tag, class, and text or children). Spark counts, per
-host, on how many distinct pages each hash occurs; subtrees that recur on many pages of the host
-are its template and are deleted, together with what a page itself declares not to be content
-(navigation, headers, footers, asides, forms, scripts, styles, adverts, notices, comments).
-
-The counts decide over the whole page, prose included; nothing else of a page goes, whether inside
-or beside its articles. Pages of a host with the same text count as one page, and for subtrees of
-articles pages with the same articles do, so that a copied article does not become a template.
-Subtrees without text are no templates, nor are parts of a line of text, such as a bold word.
+Element subtrees of a page are hashed and Spark counts, per host, on how many distinct pages each
+hash occurs; subtrees that recur on many pages of the host are its template and are deleted. Two
+hashes are counted:
+
+- of a subtree's tag, class, and text or children: the same words again and again;
+- beside the articles of a page that has any, of a named slot, which is its path of tags, classes
+  and ids without text: a menu, an advert or a footer recurs whatever it says. Named are elements
+  with a class, id or role, and sectioning ones; a plain block is judged by its words alone.
+
+Articles share sentences, so inside them a subtree must recur on half of the host's pages to be
+template, far above any common sentence. What a page itself declares not to be content (navigation,
+headers, footers, asides, forms, scripts, styles, adverts, notices, comments) goes as well, for
+hosts with too few pages to count.
+
+Pages of a host with the same text count as one page, and for subtrees of articles pages with the
+same articles do, so that a copied article does not become a template. Subtrees without text are no
+templates, nor are parts of a line of text, such as a bold word.
 """
 
 from __future__ import annotations
@@ -24,8 +32,11 @@ from xxhash import xxh3_64_intdigest
 
 from .common import Settled, join_by_group, settle
 
-#: Share of a host's distinct pages, and number of them, from which a subtree is template.
+#: Share of a host's distinct pages, and number of them, from which a subtree is template: beside
+#: articles by its words, inside them by its words, and beside them by its place.
 RATIO = 0.05
+INSIDE_RATIO = 0.5
+SLOT_RATIO = 0.5
 MIN_PAGES = 5
 
 # HTML's elements by what they mean for a page's text.
@@ -40,6 +51,9 @@ _BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CLOSES_P = _BLOCKS - {"html", "body"}
+# Never shown as text, whatever the words of a page's markup.
+_SILENT = frozenset("script style noscript template iframe head title svg canvas object embed audio video datalist".split())
+_SECTIONS = frozenset("nav header footer aside section form menu dialog".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|notice\w*|gdpr|popup|modal|"
@@ -70,7 +84,10 @@ class Element:
         """The subtree's hash, another one inside articles, where pages are told apart by other text."""
         return self.hash ^ (self.inside << 62)
 
-    def noise(self) -> bool:
+    def noise(self, words: bool = True) -> bool:
+        """Whether the page itself declares it no content; without `words` only what is never text is."""
+        if not words:
+            return self.tag in _SILENT
         a = self.attributes
         if not a:
             return self.tag in _NEVER
@@ -161,16 +178,39 @@ def hash_subtrees(root: Element) -> Element:
     return root
 
 
-def _content(root: Element) -> list[Element]:
+def _content(root: Element, words: bool = True) -> list[Element]:
     """Elements outside noise, in page order."""
     order, todo = [], [root]
     while todo:
         element = todo.pop()
         order.append(element)
-        todo.extend(c for c in reversed(element.children) if isinstance(c, Element) and not c.noise())
+        todo.extend(c for c in reversed(element.children) if isinstance(c, Element) and not c.noise(words))
     return order
 
 
+def slots(root: Element, articles: list[Element]) -> dict[int, int]:
+    """id of element -> key of its slot, for the outermost named elements beside the articles."""
+    if not articles:
+        return {}
+    outer, around = {id(a) for a in articles}, set()
+    for element in _walk(root):  # children first
+        if any(isinstance(c, Element) and (id(c) in outer or id(c) in around) for c in element.children):
+            around.add(id(element))
+    found, todo = {}, [(root, "")]
+    while todo:
+        element, path = todo.pop()
+        for child in element.children:
+            if not isinstance(child, Element) or id(child) in outer or child.tag in _SILENT:
+                continue
+            names = [child.attributes.get(a, "") for a in ("class", "id", "role")]
+            place = "\x02".join([path, child.tag, *names])
+            if id(child) not in around and child.text and (child.tag in _SECTIONS or any(names)):
+                found[id(child)] = xxh3_64_intdigest(f"\x03{place}".encode("utf-8", "replace")) >> 1
+            else:
+                todo.append((child, place))
+    return found
+
+
 def mark_articles(root: Element) -> list[Element]:
     """The outermost articles, else mains, in page order; `inside` is set on all that is in them."""
     content = _content(root)
@@ -195,10 +235,9 @@ def _own_lines(parent: Element) -> list[Element]:
     ]
 
 
-def main_text(root: Element, templates: set[int] | frozenset[int] = frozenset()) -> str:
+def main_text(root: Element, templates: set[int] | frozenset[int] = frozenset(), words: bool = True) -> str:
     """Text blocks of the page, without noise and template subtrees."""
-    if templates:
-        mark_articles(root)
+    places = slots(root, mark_articles(root)) if templates else {}
     blocks: list[list[str]] = [[]]
     todo: list = [("open", root)]
     while todo:
@@ -208,7 +247,7 @@ def main_text(root: Element, templates: set[int] | frozenset[int] = frozenset())
         elif what == "close":
             blocks.append([])
         else:
-            if node is not root and node.noise():
+            if node is not root and node.noise(words) or places.get(id(node)) in templates:
                 continue
             if node.tag == "br":
                 blocks[-1].append(" ")
@@ -229,25 +268,31 @@ def _host(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2].lower().partition(":")[0]
 
 
-def page_subtrees(page: str) -> list[tuple[bool, int, list[int]]]:
-    """(inside articles, hash of the text that tells pages apart, keys of subtrees) of a page."""
+# What a hash is of: words beside articles, words inside them, a named slot beside them.
+_BESIDE, _INSIDE, _SLOT = 0, 1, 2
+
+
+def page_subtrees(page: str) -> list[tuple[int, int, list[int]]]:
+    """(kind, hash of the text that tells pages apart, keys of subtrees) of a page."""
     root = hash_subtrees(parse(page))
     articles = mark_articles(root)
-    keys: dict[bool, set[int]] = {False: set(), True: set()}
+    keys: dict[int, set[int]] = {_BESIDE: set(), _INSIDE: set()}
     for parent in _content(root):
         for element in _own_lines(parent):
             if not element.noise():
-                keys[element.inside].add(element.key())
-    parts = [(False, main_text(root))]
+                keys[_INSIDE if element.inside else _BESIDE].add(element.key())
+    parts = [(_BESIDE, main_text(root))]
     if articles:
-        parts.append((True, "\n".join(main_text(a) for a in articles)))
-    return [(inside, xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1, list(keys[inside])) for inside, text in parts]
+        parts.append((_INSIDE, "\n".join(main_text(a) for a in articles)))
+        parts.append((_SLOT, parts[0][1]))
+        keys[_SLOT] = set(slots(root, articles).values())
+    return [(kind, xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1, list(keys[kind])) for kind, text in parts]
 
 
 def subtree_counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, inside, key, n): distinct pages of the host with each subtree, inside and outside articles.
+    """(host, kind, key, n): distinct pages of the host with each subtree.
 
-    The NULL key counts the host's distinct pages: by the text of their articles, and by all their text.
+    The NULL key counts the host's distinct pages: by the text of their articles, or by all their text.
     """
 
     def run(batches):
@@ -257,27 +302,29 @@ def subtree_counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                 for url, page in zip(batch["url"], batch["html"], strict=True)
                 for part in page_subtrees(page or "")
             ]
-            yield pd.DataFrame(rows, columns=["host", "inside", "page", "keys"])
+            yield pd.DataFrame(rows, columns=["host", "kind", "page", "keys"])
 
     plain = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = plain.mapInPandas(run, "host STRING, inside BOOLEAN, page BIGINT, keys ARRAY<BIGINT>")
+    found = plain.mapInPandas(run, "host STRING, kind INT, page BIGINT, keys ARRAY<BIGINT>")
     with_total = F.concat(F.array(F.lit(None).cast("bigint")), F.col("keys"))
-    each = found.select("host", "inside", "page", F.explode(with_total).alias("key")).distinct()
-    return each.groupBy("host", "inside", "key").agg(F.count(F.lit(1)).alias("n"))
+    each = found.select("host", "kind", "page", F.explode(with_total).alias("key")).distinct()
+    return each.groupBy("host", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def site_templates(
-    pages: DataFrame, url_col: str = "url", html_col: str = "html", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, url_col: str = "url", html_col: str = "html", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    inside_ratio: float = INSIDE_RATIO, slot_ratio: float = SLOT_RATIO,
 ) -> DataFrame:
     """(host, keys): each host's template subtrees; fewer than (elements per page) / ratio of them."""
     counts = settle(
         subtree_counts(pages, url_col, html_col).where((F.col("n") >= min_pages) | F.col("key").isNull()), "subtrees"
     )
-    totals = counts.where(F.col("key").isNull()).select("host", "inside", F.col("n").alias("total"))
+    totals = counts.where(F.col("key").isNull()).select("host", "kind", F.col("n").alias("total"))
+    least = F.when(F.col("kind") == _BESIDE, ratio).when(F.col("kind") == _INSIDE, inside_ratio).otherwise(slot_ratio)
     return (
         counts.where(F.col("key").isNotNull())
-        .join(totals, ["host", "inside"])
-        .where(F.col("n") / F.col("total") > ratio)
+        .join(totals, ["host", "kind"])
+        .where(F.col("n") / F.col("total") > least)
         .groupBy("host")
         .agg(F.collect_set("key").alias("keys"))
     )
@@ -285,7 +332,7 @@ def site_templates(
 
 def extract_text(
     pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text",
-    ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    ratio: float = RATIO, min_pages: int = MIN_PAGES, words: bool = True,
 ) -> DataFrame:
     """`pages` with `text_col`: the text of every page without noise and templates, '' where there is none.
 
@@ -303,7 +350,10 @@ def extract_text(
     @F.pandas_udf("string")
     def text_of(htmls: pd.Series, keys: pd.Series) -> pd.Series:
         return pd.Series(
-            [main_text(hash_subtrees(parse(h or "")), frozenset(() if k is None else k.tolist())) for h, k in zip(htmls, keys, strict=True)],
+            [
+                main_text(hash_subtrees(parse(h or "")), frozenset(() if k is None else k.tolist()), words)
+                for h, k in zip(htmls, keys, strict=True)
+            ],
             dtype=object,
         )
 

@@ -1,6 +1,7 @@
 """The text operators against brute force, on small tables with all the awkward rows."""
 
 import hashlib
+import html
 import math
 import re
 import zlib
@@ -11,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from check import compare, duck
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from accesslens.llm import bpe_lexicon, hidden_markov, mil_quality, pii_crf, site_templates
@@ -178,6 +180,47 @@ def test_counts_choose_what_goes_from_prose_and_beside_articles(spark):
         assert got[i] == f"Beside {i}\nTitle {story}\nText bold of {story}\nItem {story}\nSecond {story}"
 
 
+def _article_text(page):
+    """The text of a page's article by a plainer reading: everything between its tags, without markup."""
+    inner = re.sub(r"<br>", " ", page.partition("<article>")[2].partition("</article>")[0])
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+def test_no_text_of_an_article_is_lost_and_nothing_else_stays(spark):
+    """The given pages hold one article each; spaces aside, its text is all that may come out."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = site_templates.extract_text(pages).select("html", "text").collect()
+    assert len(rows) > 1000
+    assert all("".join(r["text"].split()) == "".join(_article_text(r["html"]).split()) for r in rows)
+    # By the counts alone, where a host has pages enough to count.
+    host = F.regexp_extract("url", "//([^/]+)", 1)
+    large = pages.withColumn("host", host).join(pages.groupBy(host.alias("host")).count().where("count >= 20"), "host")
+    rows = site_templates.extract_text(large.select("page_id", "url", "html"), words=False).select("html", "text").collect()
+    assert len(rows) > 1000
+    assert all("".join(r["text"].split()) == "".join(_article_text(r["html"]).split()) for r in rows)
+
+
+def test_counts_of_subtrees_agree_with_brute_force(spark):
+    """Pages per (host, words) of plain blocks, and per named slot, counted by hand."""
+    rows, words, places = [], Counter(), Counter()
+    for i in range(12):
+        lines = {f"line {i % 3}", f"own {i}"}
+        slot = "ad" if i % 2 else "tip"
+        blocks = "".join(f"<p>{line}</p>" for line in sorted(lines))
+        rows.append((i, f"https://H.example:80/{i}", f"<body>{blocks}<div class='{slot}'>say {i}</div><article><p>a {i}</p></article>"))
+        words.update(lines)
+        places[slot] += 1
+    rows += [(50, rows[0][1], rows[0][2]), (51, None, None), (52, "x", "")]
+    frame = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    counts = site_templates.subtree_counts(frame, "url", "html").where("host = 'h.example'").collect()
+    by_kind = {k: sorted(r["n"] for r in counts if r["kind"] == k and r["key"] is not None) for k in (0, 1, 2)}
+    # (The article itself, and the paragraph that is all of it, are subtrees too.)
+    assert by_kind[2] == sorted(places.values())
+    assert Counter(by_kind[0])[4] == sum(n == 4 for n in words.values()) and {r["n"] for r in counts if r["key"] is None} == {12}
+    assert site_templates.extract_text(frame.limit(0)).count() == 0
+    assert sorted(r["text"] for r in site_templates.extract_text(frame).where("page_id > 50").collect()) == ["", ""]
+
+
 def test_personal_data():
     text = "a.b@c.de, 10.0.0.256 10.0.0.25 4845 1681-1440 7329 +1 (017) 555-7713 x@y@z.com"
     found = [(pii_crf.KINDS[k], text[s:e]) for k, s, e in pii_crf.base_spans(text)]
