@@ -221,6 +221,28 @@ register(
     lambda spark, sf_dir: to_messages(samples.capture(samples.traffic(spark, sf_dir))),
     f"SELECT peer_ip AS source_ip, hostname, received_at, msg AS raw FROM ({samples.traffic_sql()})",
 )
+
+# Headers as they come from forwarders and devices, by id; all name the host web-1.
+_HEADERS = (
+    "<134>2024-01-01T00:06:29+00:00 web-1 apache-access ", "<134>2024-01-01T00:06:29.5Z web-1 apache.access[7] ",
+    "<134>2024-01-01T00:06:29Z web-1 apache: ", "<134>Jan  1 00:06:29.123 web-1 apache: ",
+    "<134>Jan  1 00:06:29 UTC web-1 apache[7]: ", "<134>Jan  1 2024 00:06:29 web-1 apache[7] ",
+    "Jan  1 00:06:29 web-1 apache: ", "<134>1 2024-01-01T00:06:29Z web-1 apache 77 ID [a b=\"]\"] ",
+)
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers = F.array(*map(F.lit, _HEADERS))
+    line = F.concat(F.get(headers, (F.col("id") % len(_HEADERS)).cast("int")), "msg")
+    traffic = samples.traffic(spark, sf_dir)
+    return to_messages(traffic.select("peer_ip", "received_at", line.cast("binary").alias("payload")))
+
+
+register(
+    "parse_envelope_forms",
+    _headed,
+    f"SELECT peer_ip AS source_ip, 'web-1' AS hostname, received_at, msg AS raw FROM ({samples.traffic_sql()})",
+)
 register("parse_access", access_rows, access_sql())
 register(
     "parse_access_orders",

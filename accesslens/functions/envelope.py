@@ -16,7 +16,9 @@ _SD_ELEMENT = r'\[[^"\]]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^"\]]*+)*+\]'
 _RFC5424 = (
     _PRI + r"\d{1,2} \S++ (\S++) \S++ \S++ \S++ (?:-|(?:" + _SD_ELEMENT + r")++) ?\x{FEFF}?"
 )
-_BSD_TIME = r"[A-Z][a-z]{2} [ \d]?\d (?:\d{4} )?\d{2}:\d{2}:\d{2} "
+# Zone names that senders put behind a BSD stamp.
+_ZONES = "UTC|GMT|WET|WEST|CET|CEST|EET|EEST|BST|MSK|EST|EDT|CST|CDT|MST|MDT|PST|PDT|JST|IST"
+_BSD_TIME = r"[A-Z][a-z]{2} [ \d]?\d (?:\d{4} )?\d{2}:\d{2}:\d{2}(?:\.\d+)? (?:(?:" + _ZONES + ") )?+"
 _ISO_TIME = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2}) "
 # A word that ends in ':' is the tag of a sender that leaves the host name out.
 _HOST = r"(?:(\S++)(?<!:) )?+"
@@ -24,12 +26,15 @@ _HOST = r"(?:(\S++)(?<!:) )?+"
 # nor a client with its port, which two more words and '[' follow.
 _NOT_IPV6 = r"(?!(?:[0-9A-Fa-f]*+:){2,}+[0-9A-Fa-f.:]*+(?:\s|$))"
 _TAG = _NOT_IPV6 + r"[A-Za-z0-9_./-]++(?:\[[^\]]*+\])?+:(?!\d{1,5} \S++ \S++ \[) ?"
-# Forwarders with RFC 3339 stamps always send a tag, sometimes without its ':'. RFC 3164 allows it 32
-# characters. A word that opens an access line itself (two words and '[' follow) is a client.
-_BARE_TAG = r"[A-Za-z][A-Za-z0-9_-]{0,31} (?!\S++ \S++ \[)"
+# With a process number a word is a tag without its ':' too.
+_PID_TAG = r"[A-Za-z][A-Za-z0-9_./-]*+\[\d++\] "
+# Forwarders with RFC 3339 stamps always send a tag, sometimes without its ':'. A word that opens an
+# access line itself (two words and '[' follow) is a client.
+_BARE_TAG = r"[A-Za-z][A-Za-z0-9_.-]*+ (?!\S++ \S++ \[)"
+# A BSD stamp is told from a message without its priority, too.
 _RFC3164 = (
-    _PRI + " ?(?:" + _BSD_TIME + _HOST + "(?:" + _TAG + ")?"
-    "|" + _ISO_TIME + _HOST + "(?:" + _TAG + "|" + _BARE_TAG + ")?)"
+    "(?:" + _PRI + " ?)?+" + _BSD_TIME + _HOST + "(?:" + _TAG + "|" + _PID_TAG + ")?"
+    "|" + _PRI + " ?" + _ISO_TIME + _HOST + "(?:" + _TAG + "|" + _PID_TAG + "|" + _BARE_TAG + ")?"
 )
 ENVELOPE = "(?Us)^(?:" + _RFC5424 + "|" + _RFC3164 + ")?"
 

@@ -36,6 +36,15 @@ def opened(spark, text):
         ("<134>2026-06-12T09:00:00Z web-1 apache ", "web-1"),
         ("<134>2026-06-12T09:00:00Z web-1 apache[77]: ", "web-1"),
         ("<134>2026-06-12T09:00:00Z web-1 ", "web-1"),
+        ("<134>Jun 12 09:00:00.123 web-1 apache: ", "web-1"),
+        ("<134>Jun 12 09:00:00 UTC web-1 apache: ", "web-1"),
+        ("<134>Jun 12 2026 09:00:00.5 CEST web-1 ", "web-1"),
+        ("<134>Jun 12 09:00:00 web-1 apache[7] ", "web-1"),
+        ("<134>2026-06-12T09:00:00Z web-1 apache[7] ", "web-1"),
+        ("<134>2026-06-12T09:00:00Z web-1 apache.access ", "web-1"),
+        ("<134>2026-06-12T09:00:00Z web-1 " + "t" * 40 + " ", "web-1"),
+        ("Jun 12 09:00:00 web-1 apache: ", "web-1"),
+        ("Jun  2 09:00:00 web-1 ", "web-1"),
     ],
 )
 def test_headers(spark, header, host):

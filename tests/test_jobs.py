@@ -31,7 +31,7 @@ def test_from_source_to_report(spark, tmp_path, capsys):
 
 
 def test_wrong_source(spark, tmp_path):
-    with pytest.raises(ValueError, match="unknown log type"):
+    with pytest.raises(ValueError, match="no parser"):
         job(spark, tmp_path, "add-source", "n", "10.0.0.1", "mailer")
 
 
