@@ -176,7 +176,8 @@ def train(
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))
     )
-    sample = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample_docs)
+    one = known.groupBy("id").agg(F.max("label").alias("label"))
+    sample = one.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
 
     def run(batches):
         for batch in batches:
@@ -185,12 +186,14 @@ def train(
 
     kind = dict(known.dtypes)["id"]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    found = texts.join(F.broadcast(sample), "id").mapInPandas(run, f"id {kind}, label INT, bag BINARY").collect()
-    unique = {row["id"]: row for row in sorted(found, key=lambda r: (str(r["id"]), r["label"], bytes(r["bag"])))}
-    if not unique:
+    # One text per id before anything is collected, whatever rows repeat it.
+    chosen = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.max("text").alias("text"))
+    found = chosen.mapInPandas(run, f"id {kind}, label INT, bag BINARY").collect()
+    if not found:
         return None
-    bags = [np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, FEATURES) for r in unique.values()]
-    return fit(bags, np.array([r["label"] for r in unique.values()], float))
+    found.sort(key=lambda r: str(r["id"]))
+    bags = [np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, FEATURES) for r in found]
+    return fit(bags, np.array([r["label"] for r in found], float))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
