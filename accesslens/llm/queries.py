@@ -24,15 +24,20 @@ from .site_templates import extract_text
 from .sketch_dedup import near_duplicates
 from .token_counts import token_counts
 
+#: A sentence ends behind the white space after its sign, or behind a line feed.
+SENTENCE_END = r"[.!?]\s+|\n"
+
 
 def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
-    """Tokens per line of every document; a token across lines goes to the line it begins in."""
+    """Tokens per sentence of every document. Sentences end behind `SENTENCE_END`, inside the token that
+    begins with the space there; it goes to the sentence with most of its bytes."""
     ranks = read_vocabulary(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return token_counts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents")
+    return token_counts(docs, ranks, public_tokenizers.PATTERN, border=SENTENCE_END, rule="largest")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -15,14 +16,14 @@ from check import compare, duck
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from accesslens.llm import bpe_lexicon, hidden_markov, mil_quality, pii_crf, site_templates
+from accesslens.llm import bpe_lexicon, exact_dedup, hidden_markov, mil_quality, pii_crf, site_templates
 from accesslens.llm.common import most_frequent
 from accesslens.llm.decontamination import doublings, find_items
 from accesslens.llm.exact_dedup import exact_duplicates
 from accesslens.llm.line_dedup import drop_boilerplate_lines
-from accesslens.llm.queries import SQL
+from accesslens.llm.queries import SENTENCE_END, SQL
 from accesslens.llm.sketch_dedup import near_duplicates, shingle_set, sketch
-from accesslens.llm.token_counts import allocate, token_counts
+from accesslens.llm.token_counts import RULES, _encoding, allocate, token_counts
 
 SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, id STRING, row STRING, host STRING"
 
@@ -60,6 +61,37 @@ def test_exact_duplicates(spark, keep, best):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("fan_in", [2, 3, 16])
+def test_runs_are_merged_slice_by_slice(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(exact_dedup, "SLICE_ROWS", 16)
+    rows = [(i, f"text {i % 37}" if i % 3 else "copied everywhere", "a") for i in range(400)]
+    found = exact_duplicates(docs(spark, rows).repartition(13), fan_in=fan_in).collect()
+    ids = {}
+    for i, text, _ in rows:
+        ids.setdefault(text, []).append(i)
+    want = {i: (min(same), len(same), i == min(same)) for same in ids.values() for i in same}
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in found} == want
+    assert exact_duplicates(docs(spark, []), fan_in=fan_in).count() == 0
+
+
+def test_a_merge_compares_neighbours_and_leaves_sorted_runs(spark):
+    rows = [(run, 0, bytes([d]), 1, d, 10 * run + d, 1) for run in range(4) for d in (3, 1, 2, 3 + run) if d <= 3 + run]
+    rows = sorted(set(rows), key=str)
+    level = spark.createDataFrame(rows, "run INT, slice INT, digest BINARY, size INT, check BIGINT, keep_id BIGINT, group_size BIGINT")
+    merged = exact_dedup.merge_runs(level, F.min, 2)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    got = [(r["run"], r["digest"][0], r["keep_id"], r["group_size"]) for r in merged.collect()]
+    want = {}
+    for run, _, digest, _, _, keep, n in rows:
+        best, texts = want.get((run // 2, digest[0]), (10**6, 0))
+        want[run // 2, digest[0]] = min(best, keep), texts + n
+    assert sorted(got) == sorted((*key, *value) for key, value in want.items())
+    for run in (0, 1):
+        digests = [d for r, d, _, _ in got if r == run]
+        assert digests == sorted(digests)
+    assert "Aggregate" not in plan and plan.count("Exchange") == 1
+
+
 def test_near_duplicates_agree_with_brute_force(spark):
     words = [f"w{i}" for i in range(300)]
     rows = list(AWKWARD)
@@ -320,6 +352,39 @@ def test_token_counts_cover_every_token(spark):
     assert [(r["start"], r["end"], r["n_tokens"]) for r in got if r["doc_id"] == 2] == [(0, 0, 0)]
 
 
+@pytest.mark.parametrize("rule", RULES)
+def test_sections_agree_with_brute_force(spark, rule):
+    """Every code point's section and every token's bytes one by one, in sections that cut tokens."""
+    ranks = bpe_lexicon.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoding, lengths = _encoding(ranks, public_tokenizers.PATTERN)
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(["One. ", "two! ", "a", " the", ".  ", "\n", "día", "中文", "? ", "🙂"])
+                     for _ in range(draw.randrange(60))) for _ in range(60)]
+    texts += ["Sentence of words. " * 3000, ". ", None, texts[0]]
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    border = re.compile(SENTENCE_END)
+    want, crossed = [], 0
+    for i, text in enumerate(t or "" for t in texts):
+        cuts = [0, *(m.end() for m in border.finditer(text) if m.end() < len(text)), len(text)]
+        section_of = [sum(c <= at for c in cuts[1:-1]) for at in range(len(text))] if len(text) < 1000 else \
+            [k for k, (a, b) in enumerate(zip(cuts, cuts[1:])) for _ in range(a, b)]
+        of_byte = [section_of[at] for at, sign in enumerate(text) for _ in sign.encode()]
+        tokens, across, at = Counter(), Counter(), 0
+        for token in encoding.encode_ordinary(text):
+            own = of_byte[at : at + int(lengths[token])]
+            at += int(lengths[token])
+            chosen = {"first": own[0], "last": own[-1], "largest": max(dict.fromkeys(own), key=own.count)}[rule]
+            tokens[chosen] += 1
+            across[chosen] += own[0] != own[-1]
+        assert at == len(of_byte)
+        crossed += sum(across.values())
+        want += [(i, k, a, b, tokens[k], across[k]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    found = token_counts(docs(spark, rows), ranks, public_tokenizers.PATTERN, border=SENTENCE_END, rule=rule).collect()
+    assert sorted(tuple(r) for r in found) == sorted(want)
+    assert crossed > 1000
+    assert token_counts(docs(spark, []), ranks, public_tokenizers.PATTERN, rule=rule).count() == 0
+
+
 def test_likelihood_is_exact_and_counts_are_right(spark):
     model = hidden_markov.Model.random(3)
     text = np.array([1, 5, 1030, hidden_markov._END])
