@@ -2,23 +2,29 @@
 
 The patterns give the base spans. The field then labels the tokens that hold a digit or an '@'
 (every other token is O by construction, which cuts the chain into short segments) with O or a
-kind. Its potentials:
+kind. Neighbouring tokens of digits and signs make a form (a number typed in groups). Potentials:
 
 - node: log odds of the label given the token's shape, and given its neighbours on either side;
-- chain: neighbouring tokens of a segment;
-- skip: a token and the previous one in the document with the same key (its digits, or the local
-  part before an '@'), however far away, so that repeated and differently typed forms of one
-  entity share their evidence. A token links to one predecessor: links grow with the tokens.
-
-Potentials are trained piecewise: each factor's own log odds, with the base spans as labels, from
-counts over all documents, aggregated in Spark. Loopy belief propagation passes messages along
-chain and skip edges, damped, a fixed number of rounds. Tokens labelled with a kind outside every
-base span are added, joined where neighbours agree.
+  tokens inside base spans are observed;
+- chain: neighbouring tokens of a segment, but across the border of a base span, which the pattern
+  has settled, or between a token that is linked and one that is not;
+- skip: a form and the previous one in the document that ends in the same seven digits, token by
+  token along the digits they share; a token and the previous one with the same four numbers, or
+  with the same local part before an '@'. However far away and differently typed, forms of one
+  entity so share their evidence. A form has one predecessor for each key: links grow with the tokens.
+
+Potentials are trained piecewise from counts over all documents, aggregated in Spark: each factor's
+own log odds, the base spans being the labels. A token outside every base span that is linked to
+one inside has no known label: it is what the field is to tell, and teaches nothing. So the skip
+factor learns, from entities met by the patterns more than once, how far one form tells another.
+Loopy belief propagation passes messages along chain and skip edges, damped, a fixed number of
+rounds. Tokens labelled with a kind outside every base span are added, joined where neighbours agree.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -33,6 +39,12 @@ _BUCKETS = 4096
 ROUNDS = 12
 #: Added spans need this posterior probability.
 CERTAIN = 0.9
+#: Digits at their ends that two forms of one number share.
+TAIL = 7
+#: Log odds against any label but its own for a token inside a base span.
+OBSERVED = 20.0
+#: Edges whose messages are computed at a time, to bound memory on very long texts.
+EDGE_BLOCK = 100_000
 
 # The base patterns, with runs that a match cannot give back made possessive.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -91,29 +103,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _hash(*parts) -> int:
-    out = 2166136261
-    for byte in repr(parts).encode("utf-8", "replace"):
-        out = (out ^ byte) * 16777619 & 0xFFFFFFFF
-    return (out ^ out >> 15) % _BUCKETS
+    return zlib.crc32(repr(parts).encode("utf-8", "backslashreplace")) % _BUCKETS
 
 
 _RUNS = (re.compile(r"[0-9]++"), re.compile(r"[^\W\d_]++"))
 
 
 def _shape(token: str) -> str:
-    """Digits as 9 (a run of over four as 99), letters as a; signs as they are; 24 characters tell enough."""
-    token = token[:200]
+    """Digits as 9 (a run of over four as 99), letters as a; signs as they are."""
     token = _RUNS[0].sub(lambda m: "9" * len(m[0]) if len(m[0]) <= 4 else "99", token)
-    return _RUNS[1].sub("a", token)[:24]
+    return _RUNS[1].sub("a", token)
 
 
-def _key(token: str) -> str:
-    """What forms of one entity have in common; '' where a token has too little to tell."""
+_PLAIN = re.compile(r"[0-9+().,;:!?/-]++\Z")
+_FOUR = re.compile(r"(?<![0-9])([0-9]{1,3})[._-]([0-9]{1,3})[._-]([0-9]{1,3})[._-]([0-9]{1,3})(?![0-9])")
+
+
+def _keys(token: str) -> list[tuple]:
+    """What other forms of a token's entity have in common with it, besides a number's last digits."""
     local, sign, _ = token.partition("@")
     if sign:
-        return "@" + local.lower() if len(local) >= 3 else ""
-    digits = "".join(_DIGITS.findall(token))
-    return digits if len(digits) >= 7 else ""
+        return [("local", local.lower())] if len(local) >= 3 else []
+    four = _FOUR.search(token)
+    return [("four", *map(int, four.groups()))] if four and all(map(_small, four.groups())) else []
+
+
+def _shared_end(one: str, other: str) -> int:
+    """How many characters two strings share at their ends."""
+    n = min(len(one), len(other))
+    if n == 0 or one[-n:] == other[-n:]:
+        return n
+    low, high = 0, n - 1  # the longest shared end has between low and high characters
+    while low < high:
+        middle = (low + high + 1) // 2
+        if one[-middle:] == other[-middle:]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _cover(places: list[tuple[int, int]], other: list[tuple[int, int]], shared: int) -> list[tuple[int, int]]:
+    """Tokens of a form, each with the other form's token that holds its last digit, over the digits
+    that both share. Forms are (digits behind the token, token) from the last token on."""
+    pairs, at = [], 0
+    for behind, token in places:
+        if behind >= shared:
+            break
+        while at + 1 < len(other) and other[at + 1][0] <= behind:
+            at += 1
+        pairs.append((token, other[at][1]))
+    return pairs
 
 
 class Graph:
@@ -124,52 +164,110 @@ class Graph:
         n = len(self.tokens)
         self.labels = np.zeros(n, np.int64)
         order = sorted((s, e, kind) for kind, s, e in spans)
+        inside = [-1] * n
         at = 0
         for i, (start, end) in enumerate(self.tokens):
             while at < len(order) and order[at][1] <= start:
                 at += 1
             if at < len(order) and order[at][0] < end:
                 self.labels[i] = order[at][2] + 1
-        shapes = [_shape(text[s:e]) for s, e in self.tokens]
-        self.chain, self.skip = [], []
-        before: dict[str, int] = {}
+                inside[i] = at
+        words = [text[s:e] for s, e in self.tokens]
+        joined = [
+            i > 0 and self.tokens[i][0] - self.tokens[i - 1][1] <= 2
+            and text[self.tokens[i - 1][1] : self.tokens[i][0]].isspace()
+            for i in range(n)
+        ]
+        shapes = [_shape(word) for word in words]
         self.features = []
-        for i, (start, end) in enumerate(self.tokens):
-            joined = i > 0 and text[self.tokens[i - 1][1] : start].isspace() and start - self.tokens[i - 1][1] <= 2
-            follows = i + 1 < n and self.tokens[i + 1][0] - end <= 2
-            if joined:
-                self.chain.append((i - 1, i))
-            left = shapes[i - 1] if joined else ""
-            right = shapes[i + 1] if follows else ""
+        for i in range(n):
+            left = shapes[i - 1] if joined[i] else ""
+            right = shapes[i + 1] if i + 1 < n and joined[i + 1] else ""
             self.features.append((_hash("own", shapes[i]), _hash("left", left, shapes[i][:4]), _hash("right", right, shapes[i][:4])))
-            key = _key(text[start:end])
-            if key:
+
+        self.skip = self._links(words, joined, inside)
+        linked = np.zeros(n, bool)
+        told = self.labels > 0
+        near = defaultdict(list)
+        for i, j in self.skip:
+            linked[[i, j]] = True
+            near[i].append(j)
+            near[j].append(i)
+        # Along links from what is labelled: the labels of everything else there are not known.
+        ahead = [i for i in near if told[i]]
+        while ahead:
+            for j in near[ahead.pop()]:
+                if not told[j]:
+                    told[j] = True
+                    ahead.append(j)
+        self.known = ~told | (self.labels > 0)
+        self.chain = [
+            (i - 1, i) for i in range(1, n)
+            if joined[i] and inside[i] == inside[i - 1] and (inside[i] >= 0 or linked[i] == linked[i - 1])
+        ]
+
+    def _links(self, words: list[str], joined: list[bool], inside: list[int]) -> list[tuple[int, int]]:
+        links: list[tuple[int, int]] = []
+        before: dict[tuple, int] = {}
+        for i, word in enumerate(words):
+            for key in _keys(word):
                 if key in before:
-                    self.skip.append((before[key], i))
+                    links.append((before[key], i))
                 before[key] = i
 
+        digits = ["".join(_DIGITS.findall(word)) if "@" not in word else "" for word in words]
+        plain = [bool(_PLAIN.match(word)) for word in words]
+        ends: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+        i = 0
+        while i < len(words):
+            j = i + 1
+            while (j < len(words) and joined[j] and plain[j] and plain[j - 1] and inside[j] == inside[j - 1]
+                   and words[j][0] != "+" and words[j - 1][-1] not in ",;:!?"):
+                j += 1
+            number = "".join(digits[i:j])
+            if len(number) >= TAIL:
+                # Tokens from the last one on, each with the number of digits behind it.
+                places, behind = [], 0
+                for token in range(j - 1, i - 1, -1):
+                    places.append((behind, token))
+                    behind += len(digits[token])
+                other, their = ends.get(number[-TAIL:], ("", []))
+                shared = _shared_end(number, other)
+                links += [(j, i) for i, j in _cover(places, their, shared)]
+                links += _cover(their, places, shared)
+                ends[number[-TAIL:]] = number, places
+            i = j
+        return sorted(set(links))
+
 
 def _posteriors(graph: Graph, model: dict[str, np.ndarray]) -> np.ndarray:
     """Marginals by damped loopy belief propagation over all edges at once."""
     node = model["node"][np.array(graph.features)].sum(axis=1) + model["prior"]
+    observed = np.flatnonzero(graph.labels)
+    node[observed] = -OBSERVED
+    node[observed, graph.labels[observed]] = 0.0
     edges = np.array(graph.chain + graph.skip, np.int64).reshape(-1, 2)
     if not len(edges):
         beliefs = node
     else:
-        pair = np.concatenate([np.broadcast_to(model["chain"], (len(graph.chain), _LABELS, _LABELS)),
-                               np.broadcast_to(model["skip"], (len(graph.skip), _LABELS, _LABELS))])
         source = np.concatenate([edges[:, 0], edges[:, 1]])
         target = np.concatenate([edges[:, 1], edges[:, 0]])
-        both = np.concatenate([pair, pair.transpose(0, 2, 1)])
+        factors = np.stack([model["chain"], model["skip"], model["chain"].T, model["skip"].T])
+        kind = (np.arange(len(edges)) >= len(graph.chain)).astype(np.int64)
+        kind = np.concatenate([kind, kind + 2])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         messages = np.zeros((len(source), _LABELS))
         for _ in range(ROUNDS):
             beliefs = node.copy()
             np.add.at(beliefs, target, messages)
-            into = (beliefs[source] - messages[back])[:, :, None] + both
-            top = into.max(axis=1)
-            fresh = top + np.log(np.exp(into - top[:, None, :]).sum(axis=1))
-            messages = 0.5 * messages + 0.5 * (fresh - fresh.max(axis=1, keepdims=True))
+            fresh = np.empty_like(messages)
+            for at in range(0, len(source), EDGE_BLOCK):
+                part = slice(at, at + EDGE_BLOCK)
+                into = (beliefs[source[part]] - messages[back[part]])[:, :, None] + factors[kind[part]]
+                top = into.max(axis=1)
+                told = top + np.log(np.exp(into - top[:, None, :]).sum(axis=1))
+                fresh[part] = told - told.max(axis=1, keepdims=True)
+            messages = 0.5 * messages + 0.5 * fresh
         beliefs = node.copy()
         np.add.at(beliefs, target, messages)
     raised = np.exp(beliefs - beliefs.max(axis=1, keepdims=True))
@@ -210,13 +308,19 @@ def factor_counts(docs: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             for text in batch["text"]:
                 graph = Graph(text or "", base_spans(text or ""))
-                for features, label in zip(graph.features, graph.labels.tolist(), strict=True):
-                    counts[0, 0, label] += 1
-                    for feature in features:
-                        counts[1, feature, label] += 1
-                for factor, edges in ((2, graph.chain), (3, graph.skip)):
-                    for i, j in edges:
-                        counts[factor, int(graph.labels[i]), int(graph.labels[j])] += 1
+                labels, known = graph.labels.tolist(), graph.known.tolist()
+                for i, features in enumerate(graph.features):
+                    if known[i]:
+                        counts[0, 0, labels[i]] += 1
+                        for feature in features:
+                            counts[1, feature, labels[i]] += 1
+                for i, j in graph.chain:
+                    if known[i] and known[j]:
+                        counts[2, labels[i], labels[j]] += 1
+                for i, j in graph.skip:
+                    if known[i] and known[j]:  # alike both ways round
+                        counts[3, labels[i], labels[j]] += 1
+                        counts[3, labels[j], labels[i]] += 1
         rows = [(*key, n) for key, n in counts.items()]
         yield pd.DataFrame(rows, columns=["factor", "at", "label", "n"])
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
@@ -269,6 +270,75 @@ def test_field_carries_an_entity_to_its_other_forms(spark):
     assert all(s >= 22 for _, s, _ in added)
 
 
+def test_links_join_forms_of_one_entity():
+    text = ("+34 612 345 678 then 2024 pages, 0034612345678 and 612 345 678, host ip-10-0-0-25 is 10.0.0.25; "
+            "Ann.Lee@x.org wrote ann.lee@[10] in 2024, 987 612 345 679")
+    graph = pii_crf.Graph(text, pii_crf.base_spans(text))
+    words = [text[s:e] for s, e in graph.tokens]
+    assert {(words[i], words[j]) for i, j in graph.skip} == {
+        *((word, "0034612345678") for word in ("+34", "612", "345", "678")),
+        *(("0034612345678", word) for word in ("612", "345", "678,")),
+        ("ip-10-0-0-25", "10.0.0.25;"), ("Ann.Lee@x.org", "ann.lee@[10]"),
+    }
+    assert [words[i] for i in np.flatnonzero(~graph.known)] == [
+        "0034612345678", "612", "345", "678,", "ip-10-0-0-25", "ann.lee@[10]"]
+    assert all(graph.labels[i] == graph.labels[j] for i, j in graph.chain)
+    many = " ".join(["0034 612 345 678;"] * 20_000)
+    assert len(pii_crf.Graph(many, []).skip) == 4 * 19_999
+
+
+def _planted(spark):
+    """Documents where entities met twice in base forms teach what their other forms are."""
+    rows = []
+    for i in range(80):
+        phone, card, ip = f"{600000000 + 7919 * i}", "4111111111111111", f"10.{i}.7.{i + 9}"
+        rows.append((i, f"call +34 {phone[:3]} {phone[3:6]} {phone[6:]} or +34{phone} in {1900 + i}. Pay with {card} or 4111 1111 "
+                        f"1111 1111 by {i} May. There were {i + 100} {i + 300} {i + 500} rows. Host {ip} and again {ip} has {i * 37} files. Write m{i}.x@a.org, m{i}.x@b.org.", "a"))
+    return docs(spark, rows)
+
+
+def test_field_adds_the_other_forms_of_what_patterns_found(spark):
+    model = pii_crf.train(_planted(spark))
+    text = ("Ring +34 655 123 987 in 2024, that is 655 123 987 or 0034655123987. Card 4111-1111-1111-1111, kept as "
+            "4111.1111.1111.1111 here. At 10.3.7.12 the name is ip-10-3-7-12 with 2024 files and 655 123 988 rows.")
+    base = pii_crf.base_spans(text)
+    assert [text[s:e] for _, s, e in base] == ["10.3.7.12", "4111-1111-1111-1111", "+34 655 123 987"]
+    added = [(pii_crf.KINDS[k], text[s:e].rstrip(",.")) for k, s, e in pii_crf.added_spans(text, base, model)]
+    assert sorted(added) == [
+        ("card", "4111.1111.1111.1111"), ("ip", "ip-10-3-7-12"), ("phone", "0034655123987"), ("phone", "655 123 987"),
+    ]
+    unlinked = "In 2024 655 123 987 rows and 0034655123987 bytes on ip-10-3-7-12 or 4111.1111.1111.1111."
+    assert pii_crf.added_spans(unlinked, pii_crf.base_spans(unlinked), model) == []
+    long = text + " filler" * 100_000 + " again 655 123 987."
+    assert [long[s:e] for _, s, e in pii_crf.added_spans(long, pii_crf.base_spans(long), model)][-1] == "655 123 987."
+
+
+def test_messages_agree_with_all_labelings(spark, monkeypatch):
+    """On a forest, belief propagation is exact: every labelling summed one by one."""
+    model = pii_crf.train(_planted(spark))
+    monkeypatch.setattr(pii_crf, "ROUNDS", 60)
+    text = "655123987 and 0655123987 then 77 5 at 10.3.7.12 or ip-10-3-7-12"
+    graph = pii_crf.Graph(text, pii_crf.base_spans(text))
+    assert (len(graph.skip), len(graph.chain)) == (2, 1)
+    n = len(graph.tokens)
+    node = model["node"][np.array(graph.features)].sum(axis=1) + model["prior"]
+    seen = graph.labels.tolist().index(2)
+    node[seen] = -pii_crf.OBSERVED
+    node[seen, 2] = 0
+    want = np.zeros((n, 5))
+    for labels in itertools.product(range(5), repeat=n):
+        score = sum(node[i, a] for i, a in enumerate(labels))
+        score += sum(model["chain"][labels[i], labels[j]] for i, j in graph.chain)
+        score += sum(model["skip"][labels[i], labels[j]] for i, j in graph.skip)
+        for i, a in enumerate(labels):
+            want[i, a] += math.exp(score)
+    got = [pii_crf._posteriors(graph, model)]
+    monkeypatch.setattr(pii_crf, "EDGE_BLOCK", 2)
+    got.append(pii_crf._posteriors(graph, model))
+    for one in got:
+        assert np.allclose(one, want / want.sum(axis=1, keepdims=True), atol=1e-6)
+
+
 def test_bpe_equals_the_library(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     spec, library = bpe_lexicon.read_vocabulary(path), Tokenizer.from_file(path)
