@@ -17,25 +17,31 @@ from accesslens.llm.queries import encoded_digests
 from accesslens.llm.sketch_dedup import near_duplicates
 
 
-#: Identifies a row within a stage; doc_id may be NULL or repeated.
-KEY = "_row_key"
+def unused(name: str, docs: DataFrame) -> str:
+    """A column name that `docs` has not."""
+    taken = {column.lower() for column in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with a row key, written once so that the key stays the same whenever it is read."""
-    return settle(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a key of each row (doc_id may be NULL or repeated) and the key's name; written
+    once so that the key stays the same whenever it is read."""
+    key = unused("_row_key", docs)
+    return settle(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def without(rows: DataFrame, keys: DataFrame, purpose: str) -> DataFrame:
-    """The rows whose key is not among `keys`, without the key."""
-    gone = Settled(keys, purpose).side()
-    return rows.join(gone, KEY, "left_anti").drop(KEY)
+def without(rows: DataFrame, key: str, gone: DataFrame, purpose: str) -> DataFrame:
+    """The rows whose key is not in `gone`, without the key."""
+    return rows.join(Settled(gone, purpose).side(), key, "left_anti").drop(key)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 by the quality classifier go."""
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")), score_col="_quality")
-    return scored.where(F.col("_quality") >= 0.5).select(*docs.columns)
+    judged = unused("_quality", docs)
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")), score_col=judged)
+    return scored.where(F.col(judged) >= 0.5).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,21 +63,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat a doc_id are told apart; rows without words are in no group and stay.
     """
-    rows = keyed(docs)
-    found = near_duplicates(rows, id_col=KEY)
-    groups = found.select(F.col(KEY).alias("member"), F.col("component_id").alias("group"))
-    ranked = rows.select(KEY, "doc_id").join(groups, F.col(KEY) == F.col("member"))
-    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", KEY)
-    first = ranked.groupBy("group").agg(F.min(order).getField(KEY).alias("first"))
-    dropped = found.select(KEY).join(first.select("first"), F.col(KEY) == F.col("first"), "left_anti")
-    return without(rows, dropped, "dropped")
+    rows, key = keyed(docs)
+    found = near_duplicates(rows, id_col=key)
+    groups = found.select(F.col(key).alias("member"), F.col("component_id").alias("group"))
+    ranked = rows.select(F.col(key).alias("key"), "doc_id").join(groups, F.col("key") == F.col("member"))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
+    first = ranked.groupBy("group").agg(F.min(order).getField("key").alias("first"))
+    dropped = found.select(key).join(first.select("first"), F.col(key) == F.col("first"), "left_anti")
+    return without(rows, key, dropped, "dropped")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text contains a benchmark item go, whatever other rows have the same doc_id."""
-    rows = keyed(docs)
-    hits = find_items(rows, table(spark, sf_dir, "benchmark"), id_col=KEY)
-    return without(rows, hits.select(KEY).distinct(), "contaminated")
+    rows, key = keyed(docs)
+    hits = find_items(rows, table(spark, sf_dir, "benchmark"), id_col=key)
+    return without(rows, key, hits.select(key).distinct(), "contaminated")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
