@@ -20,7 +20,7 @@ from .functions.status import status_class
 from .functions.text import one_decimal, readable_bytes
 from .operators import reports
 from .operators.filters import Filter
-from .operators.framing import decode_datagrams, frame_lines, to_messages
+from .operators.framing import decode_datagrams, frame_lines, to_headed_messages, to_messages
 from .operators.routing import route
 from .operators.source_changes import (
     check_changes,
@@ -235,14 +235,50 @@ def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = F.array(*map(F.lit, _HEADERS))
     line = F.concat(F.get(headers, (F.col("id") % len(_HEADERS)).cast("int")), "msg")
     traffic = samples.traffic(spark, sf_dir)
-    return to_messages(traffic.select("peer_ip", "received_at", line.cast("binary").alias("payload")))
+    return traffic.select("peer_ip", "received_at", line.cast("binary").alias("payload"))
 
 
 register(
     "parse_envelope_forms",
-    _headed,
+    lambda spark, sf_dir: to_messages(_headed(spark, sf_dir)),
     f"SELECT peer_ip AS source_ip, 'web-1' AS hostname, received_at, msg AS raw FROM ({samples.traffic_sql()})",
 )
+
+register(
+    "envelope_fields",
+    lambda spark, sf_dir: to_headed_messages(samples.capture(samples.traffic(spark, sf_dir))),
+    "SELECT peer_ip AS source_ip, hostname, received_at,"
+    " CASE id % 3 WHEN 2 THEN 'rfc5424' WHEN 1 THEN 'bsd' END AS form,"
+    " CASE WHEN id % 3 > 0 THEN 134 END AS priority, CASE WHEN id % 3 > 0 THEN 16 END AS facility,"
+    " CASE WHEN id % 3 > 0 THEN 6 END AS severity, CASE WHEN id % 3 = 2 THEN 1 END AS version,"
+    " CASE id % 3 WHEN 2 THEN substring(utc_text, 1, 10) || 'T' || substring(utc_text, 12, 8) || 'Z'"
+    f" WHEN 1 THEN {samples.bsd_stamp('utc_text')} END AS stamp,"
+    " CASE WHEN id % 3 = 2 THEN ts0 END AS sent_at, CASE WHEN id % 3 > 0 THEN 'apache' END AS app,"
+    " CASE WHEN id % 3 = 2 OR id % 3 = 1 AND id % 2 = 0 THEN '77' END AS process,"
+    " CAST(NULL AS VARCHAR) AS message_kind, CAST(NULL AS VARCHAR) AS structured_data, msg AS raw"
+    f" FROM ({samples.traffic_sql()})",
+)
+
+# What the fields of `_HEADERS` are: place, form, priority, version, stamp, sent_text, app, process, kind, data.
+_HEADER_FIELDS_SQL = """(VALUES
+    (0, 'rfc3339', 134, NULL, '2024-01-01T00:06:29+00:00', '2024-01-01 00:06:29', 'apache-access', NULL, NULL, NULL),
+    (1, 'rfc3339', 134, NULL, '2024-01-01T00:06:29.5Z', '2024-01-01 00:06:29.5', 'apache.access', '7', NULL, NULL),
+    (2, 'rfc3339', 134, NULL, '2024-01-01T00:06:29Z', '2024-01-01 00:06:29', 'apache', NULL, NULL, NULL),
+    (3, 'bsd', 134, NULL, 'Jan  1 00:06:29.123', NULL, 'apache', NULL, NULL, NULL),
+    (4, 'bsd', 134, NULL, 'Jan  1 00:06:29 UTC', NULL, 'apache', '7', NULL, NULL),
+    (5, 'bsd', 134, NULL, 'Jan  1 2024 00:06:29', NULL, 'apache', '7', NULL, NULL),
+    (6, 'bsd', NULL, NULL, 'Jan  1 00:06:29', NULL, 'apache', NULL, NULL, NULL),
+    (7, 'rfc5424', 134, 1, '2024-01-01T00:06:29Z', '2024-01-01 00:06:29', 'apache', '77', 'ID', '[a b="]"]')
+) AS headers(place, form, priority, version, stamp, sent_text, app, process, message_kind, structured_data)"""
+
+register(
+    "envelope_fields_forms",
+    lambda spark, sf_dir: to_headed_messages(_headed(spark, sf_dir)),
+    "SELECT peer_ip AS source_ip, 'web-1' AS hostname, received_at, form, priority,"
+    " CAST(floor(priority / 8) AS INTEGER) AS facility, priority % 8 AS severity, version, stamp,"
+    " CAST(sent_text AS TIMESTAMP) AS sent_at, app, process, message_kind, structured_data, msg AS raw"
+    f" FROM ({samples.traffic_sql()}) JOIN {_HEADER_FIELDS_SQL} ON id % 8 = place",
+)
 register("parse_access", access_rows, access_sql())
 register(
     "parse_access_orders",

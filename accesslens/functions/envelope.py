@@ -52,3 +52,89 @@ def envelope_host(parts: Column) -> Column:
 
 def envelope_message(parts: Column) -> Column:
     return F.get(parts, F.lit(1))
+
+
+# --- header fields --------------------------------------------------------------------------
+
+_START = r"(?U)^(?:" + _PRI + " ?)?+"
+_STAMP = "(" + _BSD_TIME + "|" + _ISO_TIME + ")"
+_RFC3339 = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)\d*(?:Z|([+-])(\d{2}):?(\d{2}))$"
+#: Priority is 8 x facility + severity, with facilities up to 23.
+_SEVERITIES, _PRIORITIES = 8, 192
+
+
+def _found(text: Column, pattern: str, group: int = 1) -> Column:
+    """What a group matched, NULL where nothing or an empty text."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def _nil(word: Column) -> Column:
+    return F.when(word != "-", word)
+
+
+def envelope_header(line: Column, message: Column) -> Column:
+    """What stands before the message: '' where the line has no header."""
+    return F.left(line, F.char_length(line) - F.char_length(message))
+
+
+def header_form(header: Column) -> Column:
+    """'rfc5424', 'rfc3339' (a forwarder's stamp), 'bsd', or NULL for no header."""
+    return (
+        F.when(header.rlike(r"(?U)^<\d{1,3}>\d{1,2} "), "rfc5424")
+        .when(header.rlike(r"(?U)^<\d{1,3}> ?\d{4}-"), "rfc3339")
+        .when(header != "", "bsd")
+    )
+
+
+def header_words(header: Column) -> Column:
+    """ARRAY(priority and version, stamp, host, app, process, message kind, data) of an RFC 5424 header."""
+    return F.split(header, " ", 7)
+
+
+def header_stamp(header: Column, form: Column, words: Column) -> Column:
+    """The sender's time as it was sent."""
+    short = F.rtrim(F.regexp_extract(header, _START + _STAMP, 1))
+    return F.when(form == "rfc5424", _nil(F.get(words, F.lit(1)))).when(form.isNotNull(), short)
+
+
+def header_tag(header: Column, host: Column) -> Column:
+    """What stands between host and message in the short forms; `host` is '' where there is none."""
+    rest = F.regexp_replace(header, _START + _STAMP, "")
+    return F.when(host == "", rest).otherwise(F.substring(rest, F.char_length(host) + 2, F.char_length(rest)))
+
+
+def sent_time(stamp: Column) -> Column:
+    """UTC time of an RFC 3339 stamp to the microsecond; NULL for stamps without a year or a zone."""
+    local = F.regexp_extract(stamp, _RFC3339, 1).try_cast("timestamp_ntz")
+    hours, minutes = (F.regexp_extract(stamp, _RFC3339, n).try_cast("int") for n in (3, 4))
+    ahead = F.coalesce(hours * 60 + minutes, F.lit(0))
+    east = F.when(F.regexp_extract(stamp, _RFC3339, 2) == "-", -ahead).otherwise(ahead)
+    return F.when(ahead < 24 * 60, F.timestamp_add("MINUTE", -east, local))
+
+
+def header_fields(header: Column, form: Column, words: Column, stamp: Column, tag: Column) -> list[Column]:
+    """The fields of a header as columns; a nil ('-') or missing field is NULL.
+
+    Facility and severity are NULL for priorities above 191. Structured data keeps its text.
+    """
+    long = form == "rfc5424"
+    priority = F.regexp_extract(header, r"^<(\d{1,3})>", 1).try_cast("int")
+    valid = priority < _PRIORITIES
+    data = F.regexp_replace(F.get(words, F.lit(6)), r" ?\x{FEFF}?\z", "")
+
+    def either(place: int, pattern: str) -> Column:
+        return F.when(long, _nil(F.get(words, F.lit(place)))).otherwise(_found(tag, pattern))
+
+    return [
+        form.alias("form"),
+        priority.alias("priority"),
+        F.when(valid, F.floor(priority / _SEVERITIES).cast("int")).alias("facility"),
+        F.when(valid, priority % _SEVERITIES).alias("severity"),
+        F.when(long, F.regexp_extract(header, r"^<\d{1,3}>(\d{1,2}) ", 1).try_cast("int")).alias("version"),
+        stamp.alias("stamp"),
+        sent_time(stamp).alias("sent_at"),
+        either(3, r"^([A-Za-z0-9_./-]+)").alias("app"),
+        either(4, r"\[([^\]]*)\]").alias("process"),
+        F.when(long, _nil(F.get(words, F.lit(5)))).alias("message_kind"),
+        F.when(long, _nil(data)).alias("structured_data"),
+    ]

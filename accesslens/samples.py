@@ -47,6 +47,11 @@ def _access_time(stamp: str) -> str:
     )
 
 
+def bsd_stamp(stamp: str) -> str:
+    """SQL of a time's text ('2024-01-01 00:06:29') as a BSD stamp."""
+    return f"{_month(stamp)} || ' ' || {_bsd_day(stamp)} || ' ' || substring({stamp}, 12, 8)"
+
+
 # Each step may use the columns of the ones before it. {S} is the engine's text type, {T} its
 # timestamp type without a zone.
 STEPS: list[dict[str, str]] = [

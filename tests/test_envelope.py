@@ -1,11 +1,12 @@
 import time
+from datetime import datetime
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from accesslens.operators.framing import decode_datagrams, frame_lines, to_messages
+from accesslens.operators.framing import decode_datagrams, frame_lines, to_headed_messages, to_messages
 from tests.helpers import captures
 
 MSG = '1.2.3.4 - - [12/Jun/2026:09:00:00 +0000] "GET / HTTP/1.1" 200 1'
@@ -143,6 +144,77 @@ def test_one_regular_expression_pass(spark):
     assert plan.count("regexp_replace") == 1
 
 
+FIELDS = ("form", "priority", "facility", "severity", "version", "stamp", "sent_at", "app", "process",
+          "message_kind", "structured_data")
+
+
+def fields(spark, line):
+    row = to_headed_messages(captures(spark, [("10.0.0.1", line.encode())])).first()
+    assert (row["hostname"], row["raw"]) == opened(spark, line)
+    return {name: row[name] for name in FIELDS if row[name] is not None}
+
+
+@pytest.mark.parametrize(
+    "header, expected",
+    [
+        ("", {}),
+        (
+            "<165>1 2026-06-12T09:00:00.1234567-07:00 web-1 apache 77 ID7 [ex@1 a=\"1 2\" b=\"x\\\"]y\"][z] ",
+            {"form": "rfc5424", "priority": 165, "facility": 20, "severity": 5, "version": 1,
+             "stamp": "2026-06-12T09:00:00.1234567-07:00", "sent_at": datetime(2026, 6, 12, 16, 0, 0, 123456),
+             "app": "apache", "process": "77", "message_kind": "ID7",
+             "structured_data": "[ex@1 a=\"1 2\" b=\"x\\\"]y\"][z]"},
+        ),
+        ("<0>1 - - - - - - ", {"form": "rfc5424", "priority": 0, "facility": 0, "severity": 0, "version": 1}),
+        (
+            "<134>1 - h a p m - ﻿",
+            {"form": "rfc5424", "priority": 134, "facility": 16, "severity": 6, "version": 1, "app": "a",
+             "process": "p", "message_kind": "m"},
+        ),
+        (
+            "<200>Jun  2 09:00:00 web-1 apache[77]: ",
+            {"form": "bsd", "priority": 200, "stamp": "Jun  2 09:00:00", "app": "apache", "process": "77"},
+        ),
+        ("Jun 12 09:00:00 CEST web-1 ", {"form": "bsd", "stamp": "Jun 12 09:00:00 CEST"}),
+        (
+            "<13>Jun 12 09:00:00 apache: ",
+            {"form": "bsd", "priority": 13, "facility": 1, "severity": 5, "stamp": "Jun 12 09:00:00", "app": "apache"},
+        ),
+        (
+            "<13>2026-06-12T09:00:00+05:30 web-1 apache.access ",
+            {"form": "rfc3339", "priority": 13, "facility": 1, "severity": 5, "stamp": "2026-06-12T09:00:00+05:30",
+             "sent_at": datetime(2026, 6, 12, 3, 30), "app": "apache.access"},
+        ),
+        (
+            "<13>2026-13-12T09:00:00Z web-1 ",
+            {"form": "rfc3339", "priority": 13, "facility": 1, "severity": 5, "stamp": "2026-13-12T09:00:00Z"},
+        ),
+    ],
+)
+def test_header_fields(spark, header, expected):
+    assert fields(spark, header + MSG) == expected
+
+
+def test_null_and_empty_lines_have_no_header_fields(spark):
+    rows = to_headed_messages(captures(spark, [("p", None), ("q", b"")])).orderBy("source_ip").collect()
+    assert [row["raw"] for row in rows] == [None, ""]
+    assert all(row[name] is None for row in rows for name in FIELDS)
+
+
+def test_header_fields_match_the_line_once(spark):
+    frame = to_headed_messages(captures(spark, [("p", b"x")])).where(F.col("source_ip") == "p")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(line") <= 1
+    assert plan.count("split(regexp_replace") == 1
+
+
+def test_header_times_do_not_depend_on_the_session_zone(spark, zone):
+    zone("America/New_York")
+    line = "<13>2026-03-08T02:30:00Z web-1 apache: " + MSG
+    rows = to_headed_messages(captures(spark, [("p", line.encode())]))
+    assert rows.select(F.col("sent_at").cast("string")).first()[0] == "2026-03-08 02:30:00"
+
+
 _text = st.text(st.characters(codec="utf-8", exclude_categories=("Cs",)), max_size=30).filter(
     lambda t: not t.startswith(("<", chr(0xFEFF)))
 )
