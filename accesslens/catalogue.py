@@ -468,23 +468,26 @@ _FILTERED = ("source_ip", "remote_host", "ts", "path", "status", "bytes")
 _FILTERED_SQL = ", ".join(_FILTERED)
 
 
-def _filtered(filter: Filter) -> Query:
-    as_of = LONG_AS_OF.get(filter.range, AS_OF)
+def _filtered(filter: Filter, as_of: datetime | None = None) -> Query:
+    as_of = as_of or LONG_AS_OF.get(filter.range, AS_OF)
     return lambda spark, sf_dir: covered(spark, sf_dir, filter, as_of).select(*_FILTERED)
 
 
-def _filter_sql(range_key: str, condition: str = "TRUE", rows: str | None = None) -> str:
-    window = window_sql(range_key, LONG_AS_OF.get(range_key, AS_OF), rows)
+def _filter_sql(
+    range_key: str, condition: str = "TRUE", rows: str | None = None, as_of: datetime | None = None
+) -> str:
+    window = window_sql(range_key, as_of or LONG_AS_OF.get(range_key, AS_OF), rows)
     return f"SELECT {_FILTERED_SQL} FROM ({window}) WHERE {condition}"
 
 
 for _key in ("1h", "24h", "7d", "30d", "1y"):
     register(f"window_{_key}", _filtered(Filter(range=_key)), _filter_sql(_key))
 register("window_default", _filtered(Filter(range="fortnight").normalized()), _filter_sql("24h"))
+# As of the middle of the data, a window of 30 days has no row outside.
 register(
     "filter_ip",
-    _filtered(Filter(ip=" 192.168.2.42 ", range="30d").normalized()),
-    _filter_sql("30d", "remote_host = '192.168.2.42'"),
+    _filtered(Filter(ip=" 192.168.2.42 ", range="30d").normalized(), AS_OF),
+    _filter_sql("30d", "remote_host = '192.168.2.42'", as_of=AS_OF),
 )
 register(
     "filter_path",

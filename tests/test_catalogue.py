@@ -3,7 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry
-from accesslens.catalogue import CATALOGUE
+from accesslens.catalogue import CATALOGUE, access_sql
 from check import compare, duck
 
 
@@ -33,3 +33,11 @@ def test_results_do_not_depend_on_the_session_zone(spark, connection, sf_dir, zo
     zone("America/New_York")
     verdict, _ = compare(spark, connection, sf_dir, name)
     assert verdict == "ok", verdict
+
+
+@pytest.mark.parametrize("name, condition", [("filter_ip", "remote_host = '192.168.2.42'")])
+def test_filters_cover_all_of_the_table(spark, name, condition):
+    tables = "/root/testdata/sf0.01"
+    whole = f"SELECT count(*) FROM ({access_sql()}) WHERE ts IS NOT NULL AND {condition}"
+    found = CATALOGUE[name].query(spark, tables).count()
+    assert found == duck(tables).execute(whole).fetchone()[0] > 0
