@@ -491,8 +491,8 @@ register(
 )
 register(
     "filter_path",
-    _filtered(Filter(path="/click/2", range="30d")),
-    _filter_sql("30d", "path = '/click/2'"),
+    _filtered(Filter(path="/click/2", range="30d"), AS_OF),
+    _filter_sql("30d", "path = '/click/2'", as_of=AS_OF),
 )
 for _class in (2, 4, 5, 6):
     register(

@@ -35,7 +35,10 @@ def test_results_do_not_depend_on_the_session_zone(spark, connection, sf_dir, zo
     assert verdict == "ok", verdict
 
 
-@pytest.mark.parametrize("name, condition", [("filter_ip", "remote_host = '192.168.2.42'")])
+@pytest.mark.parametrize(
+    "name, condition",
+    [("filter_ip", "remote_host = '192.168.2.42'"), ("filter_path", "path = '/click/2'")],
+)
 def test_filters_cover_all_of_the_table(spark, name, condition):
     tables = "/root/testdata/sf0.01"
     whole = f"SELECT count(*) FROM ({access_sql()}) WHERE ts IS NOT NULL AND {condition}"
