@@ -11,10 +11,14 @@ from ..functions.envelope import (
     envelope_message,
     header_fields,
     header_form,
+    header_priority,
     header_stamp,
     header_tag,
     header_words,
+    minutes_east,
+    sent_time,
     split_envelope,
+    stamp_clock,
 )
 from ..functions.text import decode_utf8
 
@@ -68,12 +72,15 @@ def read_headers(lines: DataFrame) -> DataFrame:
         "*",
         header_stamp(header, form, words).alias("stamp"),
         header_tag(header, F.get("parts", F.lit(0))).alias("tag"),
+        header_priority(header).alias("priority"),
     )
-    return told.select(
+    timed = told.withColumn("clock", stamp_clock(F.col("stamp"))).withColumn("east", minutes_east(F.col("clock")))
+    sent_at = sent_time(F.col("clock"), F.col("east"))
+    return timed.select(
         "source_ip",
         envelope_host(F.col("parts")).alias("hostname"),
         "received_at",
-        *header_fields(header, form, words, F.col("stamp"), F.col("tag")),
+        *header_fields(header, form, words, F.col("priority"), F.col("stamp"), sent_at, F.col("tag")),
         message.alias("raw"),
     )
 

@@ -8,6 +8,7 @@ builds the raw syslog line from them and has to get the same columns back by par
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +113,9 @@ STEPS: list[dict[str, str]] = [
     },
 ]
 
+#: Rows of a table that one task makes lines of at most: seconds to a minute, however large the table is.
+ROWS_PER_TASK = 1_000_000
+
 # Senders: 10.0.0.0 to 10.0.0.5 known, 10.0.0.6 of a type nobody registered, 10.0.0.7 unknown.
 SENDERS = {f"10.0.0.{n}": "apache" for n in range(6)} | {"10.0.0.6": "mailer"}
 
@@ -147,9 +151,17 @@ def traffic(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFram
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """Use all cores on a table that is one small file; larger ones split by themselves."""
+    """Deal the rows to all cores, ROWS_PER_TASK at most to a task, unless the table's splits do so already.
+
+    Splits are cut by bytes, but a row group goes whole to one of them, and its few bytes are many
+    lines. Rows of each split are counted from the files' footers; no column is read for that.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, "id")
+    held = rows.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("rows"))
+    splits, largest, total = held.agg(F.count("rows"), F.max("rows"), F.sum("rows")).first()
+    if splits >= cores and largest <= ROWS_PER_TASK:
+        return rows
+    return rows.repartition(max(cores, ceil((total or 0) / ROWS_PER_TASK)), "id")
 
 
 def _columns(base: str) -> list[str]:

@@ -2,7 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from __spark_entry__ import entry
+from accesslens import samples
 from accesslens.catalogue import CATALOGUE, access_sql
 from check import compare, duck
 
@@ -44,3 +47,11 @@ def test_filters_cover_all_of_the_table(spark, name, condition):
     whole = f"SELECT count(*) FROM ({access_sql()}) WHERE ts IS NOT NULL AND {condition}"
     found = CATALOGUE[name].query(spark, tables).count()
     assert found == duck(tables).execute(whole).fetchone()[0] > 0
+
+
+def test_a_row_group_of_many_rows_is_dealt_to_many_tasks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(samples, "ROWS_PER_TASK", 100, raising=False)
+    rows = samples.traffic(spark, sf_dir)
+    tasks = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(row["count"] for row in tasks) == 1000
+    assert len(tasks) == 10 and max(row["count"] for row in tasks) < 200

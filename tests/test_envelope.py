@@ -208,6 +208,18 @@ def test_header_fields_match_the_line_once(spark):
     assert plan.count("split(regexp_replace") == 1
 
 
+def test_a_stamp_is_matched_once(spark):
+    frame = to_headed_messages(captures(spark, [("p", b"x")])).where(F.col("source_ip") == "p")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(stamp") == plan.count("regexp_replace(stamp") == 1
+
+
+@pytest.mark.parametrize("stamp", ["2026-06-12", "2026-06-12T09:00:00", "2026-06-12T09:00:00+24:00", "T+01:00"])
+def test_a_stamp_of_another_form_has_no_time(spark, stamp):
+    found = fields(spark, f"<13>1 {stamp} web-1 a - - - " + MSG)
+    assert found["stamp"] == stamp and found.get("sent_at") is None
+
+
 def test_header_times_do_not_depend_on_the_session_zone(spark, zone):
     zone("America/New_York")
     line = "<13>2026-03-08T02:30:00Z web-1 apache: " + MSG
