@@ -42,6 +42,8 @@ AS_OF = datetime(2024, 1, 15, 12)
 ORDERS_AS_OF = datetime(2000, 6, 15)
 # The longer windows begin inside the data too, so that each leaves out rows that the next one has.
 LONG_AS_OF = {"30d": datetime(2024, 2, 4), "1y": datetime(2025, 1, 2)}
+#: For a stream that takes whatever has landed as one micro-batch.
+ALL_FILES = 2**31 - 1
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -864,21 +866,21 @@ def _edited_stream(spark: SparkSession, sf_dir: str) -> LogStore:
     sources = SourceTable(spark, f"{folder}/sources", store.registry.names())
     sources.write(samples.senders(traffic))
 
-    def take_in(rows: DataFrame) -> None:
-        samples.capture(rows).coalesce(1).write.mode("append").parquet(f"{folder}/capture")
+    def take_in(turn: int) -> None:
+        landed = traffic.where(f"id % 2 = {turn}")
+        samples.capture(landed).write.parquet(f"{folder}/capture/{turn}")
         start_ingest(
-            stream_capture(spark, f"{folder}/capture"), sources, store,
+            stream_capture(spark, f"{folder}/capture/*", ALL_FILES), sources, store,
             checkpoint=f"{folder}/checkpoint", trigger={"availableNow": True},
         ).awaitTermination()
 
-    take_in(traffic.where("id % 2 = 0"))
+    take_in(0)
     sources.remove("10.0.0.5")
     sources.add("new", "10.0.0.7", "apache")
-    late = traffic.where("id % 2 = 1")
-    take_in(late)
+    take_in(1)
     query_id = store.read_rejects(spark).first()["query_id"]
     pinned = sources.read_for_batch(query_id, 1)
-    store.write_batch(samples.capture(late), pinned, query_id, 1)
+    store.write_batch(read_capture(spark, f"{folder}/capture/1"), pinned, query_id, 1)
     return store
 
 

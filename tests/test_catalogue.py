@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import entry
-from accesslens import samples
+from accesslens import catalogue, samples
 from accesslens.catalogue import CATALOGUE, access_sql
 from check import compare, duck
 
@@ -55,3 +55,10 @@ def test_a_row_group_of_many_rows_is_dealt_to_many_tasks(spark, sf_dir, monkeypa
     tasks = rows.groupBy(F.spark_partition_id()).count().collect()
     assert sum(row["count"] for row in tasks) == 1000
     assert len(tasks) == 10 and max(row["count"] for row in tasks) < 200
+
+
+def test_a_turn_of_the_edited_stream_is_landed_by_many_tasks_and_taken_in_at_once(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalogue, "shared_folder", lambda spark, purpose: str(tmp_path))
+    rows = CATALOGUE["stream_with_edit"].query(spark, sf_dir).groupBy("batch_id").count().collect()
+    assert {row["batch_id"] for row in rows} == {0, 1}
+    assert len(list((tmp_path / "capture").rglob("*.parquet"))) == 2 * spark.sparkContext.defaultParallelism
